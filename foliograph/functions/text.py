@@ -13,6 +13,9 @@ from pyspark.sql.functions import pandas_udf
 
 # Patterns and limits that decide results.
 WS = r"(?U)[\s\x1c-\x1f]"
+# Every character the pattern above matches, for tests on single characters.
+WS_CHARS = tuple("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
 NUMBER = r"(?U)^\s*(\d+(?:\.\d+)*[.)]?|[A-Z][.)])\s+\S"
 CAPTION = r"(?Ui)^\s*(Figure|Fig\.?|Table)\s*(\d+)\s*[.:]"
 ARXIV = r"(?i)arXiv:\s*(\d{4}\.\d{4,5})"
@@ -53,7 +56,7 @@ def squeeze(text: str | Column) -> Column:
 def kept_offsets(text: str | Column) -> Column:
     """For every non-whitespace character its offset in the text. One pass over the characters."""
     chars = F.regexp_extract_all(_c(text), F.lit("(?s)."), F.lit(0))
-    marked = F.transform(chars, lambda ch, i: F.when(~ch.rlike(WS), i))
+    marked = F.transform(chars, lambda ch, i: F.when(~ch.isin(*WS_CHARS), i))
     return F.filter(marked, lambda i: i.isNotNull())
 
 

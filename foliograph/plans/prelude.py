@@ -109,4 +109,70 @@ def with_tables(sql: str, *names: str) -> str:
     for name in names:
         visit(name)
     body = ",\n".join(f"{name} AS ({TABLES[name]})" for name in order)
-    return f"WITH RECURSIVE {body}\n{sql}" if body else sql
+    rest = sql.strip()
+    if body and rest.upper().startswith("WITH "):
+        return f"WITH RECURSIVE {body},\n{rest[5:]}"
+    return f"WITH RECURSIVE {body}\n{rest}" if body else rest
+
+TITLE = r"regexp_replace(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), '^[^\p{L}\p{N}\p{M}_(\[]+', '')"
+HEADING_NUMBER = r"'^\s*(\d+(?:\.\d+)*[.)]?|[A-Z][.)])\s+\S'"
+
+add_table("hbody", rf"""
+  SELECT *, (label IN ('section-header', 'title') AND NOT (label = 'title' AND page > 0) AND length(t) BETWEEN 2 AND 120
+    AND NOT regexp_matches(t, '^\d+$') AND NOT regexp_matches(t, '^\p{{Ll}}')
+    AND (NOT ends_with(t, '.') OR (regexp_matches(t, {HEADING_NUMBER}) AND length(t) <= 80 AND contains(t, ' ')
+         AND regexp_matches(list_extract(string_split(t, ' '), -1), '^\p{{Lu}}')))) AS is_heading
+  FROM (SELECT *, {TITLE} AS t FROM hregions) WHERE label NOT IN ('page-header', 'page-footer', 'footnote', 'caption')""", "hregions")
+add_table("srows", """
+  SELECT *, row_number() OVER (PARTITION BY paper_id, section_ord ORDER BY ord) AS seq FROM (
+    SELECT *, CAST(sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id ORDER BY ord) - 1 AS BIGINT) AS section_ord FROM hbody)
+  WHERE section_ord >= 0""", "hbody")
+add_table("sections", rf"""
+  SELECT h.paper_id, 'sec-' || h.section_ord AS section_id, h.section_ord AS ord, nullif(h.n, '') AS number, h.t AS title, h.page, h.x0, h.y0, h.x1, h.y1,
+         coalesce(b.text, '') AS text,
+         CASE WHEN h.n <> '' THEN length(h.n) - length(replace(h.n, '.', '')) + 1
+              WHEN max(CASE WHEN h.n <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY h.paper_id ORDER BY h.section_ord) = 0 THEN 1
+              ELSE greatest(1, h.header_level - 1) END AS depth
+  FROM (SELECT *, rtrim(regexp_extract(t, {HEADING_NUMBER}, 1), '.)') AS n FROM srows WHERE is_heading) h
+  LEFT JOIN (SELECT paper_id, section_ord, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text FROM srows WHERE NOT is_heading AND text <> ''
+             GROUP BY 1, 2) b ON b.paper_id = h.paper_id AND b.section_ord = h.section_ord""", "srows")
+add_table("section_fold", """
+  SELECT paper_id, section_ord, seq, page, x0, y0, x1, y1, y0 AS last_y0, 0 AS run_ord FROM srows WHERE seq = 1
+  UNION ALL
+  SELECT i.paper_id, i.section_ord, i.seq, i.page, CASE WHEN j THEN least(rx0, i.x0) ELSE i.x0 END, CASE WHEN j THEN least(ry0, i.y0) ELSE i.y0 END,
+         CASE WHEN j THEN greatest(rx1, i.x1) ELSE i.x1 END, CASE WHEN j THEN greatest(ry1, i.y1) ELSE i.y1 END, i.y0, run_ord + CASE WHEN j THEN 0 ELSE 1 END
+  FROM (SELECT i.*, r.x0 AS rx0, r.y0 AS ry0, r.x1 AS rx1, r.y1 AS ry1, r.run_ord,
+               i.page = r.page AND i.y0 >= r.last_y0 AND abs((r.x0 + r.x1) / 2 - (i.x0 + i.x1) / 2) <= 0.15::DOUBLE * 612 AS j
+        FROM section_fold r JOIN srows i ON i.paper_id = r.paper_id AND i.section_ord = r.section_ord AND i.seq = r.seq + 1) i""", "srows")
+add_table("section_rects", """
+  SELECT paper_id, 'sec-' || section_ord AS section_id, section_ord AS ord, CAST(run_ord AS BIGINT) AS run_ord, page,
+         arg_max(x0, seq) AS x0, arg_max(y0, seq) AS y0, arg_max(x1, seq) AS x1, arg_max(y1, seq) AS y1
+  FROM section_fold GROUP BY paper_id, section_ord, run_ord, page""", "section_fold")
+add_table("figures", r"""
+  SELECT paper_id, figure_id, kind, label, caption, page, cap_x0, cap_y0, cap_x1, cap_y1, a_x0 - 4 AS x0, a_y0 - 4 AS y0, a_x1 + 4 AS x1, a_y1 + 4 AS y1,
+         'region' AS confidence, row_number() OVER (PARTITION BY paper_id ORDER BY page, a_y0 - 4, cap_ord) - 1 AS ord
+  FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY cap_ord) AS keep FROM (
+    SELECT c.paper_id, CASE c.kind WHEN 'table' THEN 'tab-' ELSE 'fig-' END || c.number AS figure_id, c.kind,
+           CASE c.kind WHEN 'table' THEN 'Table ' ELSE 'Figure ' END || c.number AS label, c.text AS caption, c.page, c.ord AS cap_ord,
+           c.x0 AS cap_x0, c.y0 AS cap_y0, c.x1 AS cap_x1, c.y1 AS cap_y1, a.x0 AS a_x0, a.y0 AS a_y0, a.x1 AS a_x1, a.y1 AS a_y1,
+           row_number() OVER (PARTITION BY c.paper_id, c.ord ORDER BY CASE WHEN a.y1 <= c.y0 + 1 THEN 0 ELSE 1 END,
+                              CASE WHEN a.y1 <= c.y0 + 1 THEN -a.y1 ELSE a.y0 END, a.ord) AS pick
+    FROM (SELECT *, regexp_extract(text, '(?i)^\s*(Figure|Fig\.?|Table)\s*(\d+)\s*[.:]', 2) AS number,
+                 CASE WHEN starts_with(lower(regexp_extract(text, '(?i)^\s*(Figure|Fig\.?|Table)\s*(\d+)\s*[.:]', 1)), 'table') THEN 'table' ELSE 'figure' END AS kind
+          FROM hregions WHERE label IN ('caption', 'text') AND regexp_matches(text, '(?i)^\s*(Figure|Fig\.?|Table)\s*(\d+)\s*[.:]')) c
+    JOIN hregions a ON a.paper_id = c.paper_id AND a.page = c.page AND a.label = CASE c.kind WHEN 'table' THEN 'table' ELSE 'picture' END
+      AND (a.x1 - a.x0) * (a.y1 - a.y0) >= 2500
+      AND (least(a.x1, c.x1) - greatest(a.x0, c.x0)) / least(a.x1 - a.x0, c.x1 - c.x0) >= 0.3) WHERE pick = 1) WHERE keep = 1""", "hregions")
+# One drag per page, and the words under it.
+add_table("drags", """
+  SELECT paper_id, page, 'd' || page AS sel_id, 40.0::DOUBLE AS x0, (90 + paper_id % 60)::DOUBLE AS y0, (150 + paper_id % 250)::DOUBLE AS x1,
+         (180 + paper_id % 140)::DOUBLE AS y1 FROM pgs""", "pgs")
+add_table("drag_words", """
+  SELECT d.sel_id, w.* FROM words w JOIN drags d ON d.paper_id = w.paper_id AND d.page = w.page
+  JOIN (SELECT paper_id, page, block, min(y0) AS ly0, max(y1) AS ly1 FROM words GROUP BY 1, 2, 3) l
+    ON l.paper_id = w.paper_id AND l.page = w.page AND l.block = w.block
+  WHERE greatest(0, least(ly1, d.y1) - greatest(ly0, d.y0)) / (ly1 - ly0) >= 0.5
+    AND greatest(0, least(w.x1, d.x1) - greatest(w.x0, d.x0)) / (w.x1 - w.x0) >= 0.5""", "words", "drags")
+add_table("drags2", """
+  SELECT paper_id, page, 'd' || page AS sel_id, 45.0::DOUBLE AS x0, (95 + paper_id % 3 * 24)::DOUBLE AS y0, (60 + paper_id % 250)::DOUBLE AS x1,
+         (118 + paper_id % 3 * 24)::DOUBLE AS y1 FROM pgs""", "pgs")

@@ -30,14 +30,24 @@ class Library:
                                              F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
         return cut.where(F.trim("text") != "")
 
-    def regions(self) -> DataFrame:
+    def changed_lines(self) -> DataFrame:
+        """The same documents extracted again: a third gain a first line, a fifth lose the highlighted one."""
+        n = self.table("documents").select(F.col("doc_id").alias("paper_id"), F.size(F.split("text", "\n")).alias("_n"))
+        p = F.col("paper_id")
+        kept = (self.lines().join(n, "paper_id").where(~((p % 5 == 0) & (F.col("line_no") == p % F.col("_n"))))
+                .select(p, (F.col("line_no") + F.when(p % 3 == 0, 1).otherwise(0)).alias("line_no"), "text"))
+        added = self.table("documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("line_no"),
+                                                                       F.lit("inserted line").alias("text"))
+        return kept.unionByName(added)
+
+    def regions(self, lines: DataFrame | None = None) -> DataFrame:
         k, line = F.col("paper_id") + F.col("line_no"), F.col("line_no")
         label = (F.when(line == 0, "title").when(k % 7 == 0, "section-header").when(k % 11 == 0, "caption")
                  .when(k % 13 == 0, "page-footer").when(k % 17 == 0, "picture").otherwise("text"))
         x0 = F.when(line % 20 < 10, 50.0).otherwise(320.0)
         y0 = (72 + 24 * (line % 10)).cast("double")
-        return self.lines().select(
-            "paper_id", line.alias("ord"), F.floor(line / 20).cast("int").alias("page"), x0.alias("x0"), y0.alias("y0"),
+        return (self.lines() if lines is None else lines).select(
+            "paper_id", line.cast("int").alias("ord"), F.floor(line / 20).cast("int").alias("page"), x0.alias("x0"), y0.alias("y0"),
             (x0 + F.least(F.lit(240.0), 2.0 * F.length("text"))).alias("x1"), (y0 + 20).alias("y1"), label.alias("label"), "text")
 
     def headed_regions(self) -> DataFrame:
@@ -57,13 +67,13 @@ class Library:
         return self.regions().groupBy("paper_id", "page").agg(
             F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit(0).alias("rotation"))
 
-    def page_text(self) -> DataFrame:
+    def page_text(self, regions: DataFrame | None = None) -> DataFrame:
         """One row per page; a page holds at most twenty lines here, so the gathered list is small."""
-        return self.regions().groupBy("paper_id", "page").agg(F.array_join(F.transform(
+        return (self.regions() if regions is None else regions).groupBy("paper_id", "page").agg(F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]), "\n").alias("text"))
 
-    def words(self) -> DataFrame:
-        r = self.regions().withColumn("_ws", F.filter(F.split("text", " "), lambda w: w != ""))
+    def words(self, regions: DataFrame | None = None) -> DataFrame:
+        r = (self.regions() if regions is None else regions).withColumn("_ws", F.filter(F.split("text", " "), lambda w: w != ""))
         n = F.size("_ws")
         step = (F.col("x1") - F.col("x0"))
         e = r.select("paper_id", "page", F.col("ord").alias("block"), F.lit(0).alias("line"), F.col("x0").alias("rx0"),
@@ -176,3 +186,21 @@ class Library:
         added = c.where("turn = 3 and conv_id % 2 = 0").select(F.col("conv_id").alias("paper_id"), F.lit(5).cast("long").alias("line_no"),
                                                                F.lit(True).alias("new_chat"), none.alias("question"), none.alias("answer"))
         return asked.unionByName(opened).unionByName(added)
+
+    # -- derived ----------------------------------------------------------------
+
+    def sections(self) -> tuple[DataFrame, DataFrame]:
+        from foliograph.operators.layout import build_sections
+
+        return build_sections(self.headed_regions(), self.pages())
+
+    def figures(self) -> DataFrame:
+        from foliograph.operators.layout import build_figures
+
+        return build_figures(self.headed_regions())
+
+    def drags(self) -> DataFrame:
+        """One rough rectangle per page."""
+        p = F.col("paper_id")
+        return self.pages().select("paper_id", "page", F.concat(F.lit("d"), "page").alias("sel_id"), F.lit(40.0).alias("x0"),
+                                   (90.0 + p % 60).alias("y0"), (150.0 + p % 250).alias("x1"), (180.0 + p % 140).alias("y1"))
