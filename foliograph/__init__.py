@@ -1 +1,8 @@
 """Document anchoring and annotation analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Small Python helpers travel with the plan, so executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -31,7 +32,7 @@ def similarity(a: str, b: str) -> float:
     return 2.0 * lcs_length(a, b) / (len(a) + len(b))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def indel_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -109,7 +110,10 @@ def best_window(needle: str, text: str, cutoff: float) -> tuple[int, int, float]
     return (first, last, score) if last > first else (lo, hi, score)
 
 
-@pandas_udf("struct<s:int,e:int,score:double>")
+PLACE = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
+
+@pandas_udf(PLACE)
 def fuzzy_window(needle: pd.Series, text: pd.Series) -> pd.DataFrame:
     found = [best_window(n, t, 0.6) for n, t in zip(needle, text, strict=True)]
     return pd.DataFrame({"s": pd.array([f[0] if f else None for f in found], dtype="Int32"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -107,7 +108,7 @@ def paper_slug(title: Column, first_page: Column, content: Column) -> Column:
     return F.when(slug == "", suffix).otherwise(F.concat_ws("-", slug, suffix))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility form; Spark has no built-in for it."""
     import unicodedata

@@ -20,7 +20,7 @@ from foliograph.functions.similarity import fuzzy_window, indel_similarity
 from foliograph.operators.contains import substring_join
 from foliograph.operators.geomjoin import points_in_rects
 from foliograph.operators.layout import column_runs
-from foliograph.operators.spread import running
+from foliograph.operators.spread import materialise, running
 from foliograph.operators.words import CORNERS, printed_lines
 
 # Fixed values of the scoring rule.
@@ -40,7 +40,7 @@ def page_index(pages: DataFrame) -> DataFrame:
     sized = pages.withColumn("stripped", X.strip_ws("text")).withColumn("_len", F.length("text"))
     placed = running(sized, ["paper_id"], "page", F.col("_len"), "page_start", inclusive=False)
     totals = pages.groupBy("paper_id").agg(F.greatest(F.sum(F.length("text")), F.lit(1)).alias("total_len"))
-    return placed.join(totals, "paper_id").drop("_len")
+    return materialise(placed.join(totals, "paper_id").drop("_len"))
 
 
 def stripped_quotes(quotes: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def candidates(quotes: DataFrame, index: DataFrame, settle: bool = True) -> Data
     """Scored exact places, and fuzzy ones for the quotes no exact place settles. A fuzzy place scores at most
     (50(1 - 1/m) + 42) / 92 for m characters, so an exact place scoring that much is final."""
     stripped = stripped_quotes(quotes)
-    exact = score_candidates(exact_candidates(stripped, index), index)
+    exact = materialise(score_candidates(exact_candidates(stripped, index), index))
     if settle:
         bound = (W_QUOTE * (1 - 1 / F.length("needle")) + W_PREFIX + W_SUFFIX + W_POSITION) / TOTAL
         done = exact.where(F.col("score") >= bound).select("paper_id", "q_id").distinct()
@@ -273,20 +273,21 @@ def resolve_highlights(quotes: DataFrame, rects: DataFrame, pages: DataFrame, wo
 
     `quotes` also carry `span`, the pages the mark runs over; `rects`: paper_id, q_id, page, box."""
     index = page_index(pages)
+    quotes, pages = materialise(quotes), index.select("paper_id", "page", "text")
     single = find_quote(quotes.where("span = 1"), index).select("paper_id", "q_id", "page", "start", "end", "score")
     spans = single.drop("score")
-    where = single.withColumn("position", F.lit(0).cast("long"))
     many = quotes.where("span = 2")
     joined = find_quote(many, window_index(pages, 2)).select("paper_id", "q_id", "page", "start", "end", "score")
     cut = split_match(many, index, 2)
+    cut = materialise(cut)
     best_cut = cut.groupBy("paper_id", "q_id").agg(F.max("score").alias("cut_score"))
     split_wins = joined.join(best_cut, ["paper_id", "q_id"], "full").where(F.col("cut_score") >= F.coalesce("score", F.lit(-1.0))).select("paper_id", "q_id")
     from_joined = page_spans(joined.join(split_wins, ["paper_id", "q_id"], "left_anti"), pages, ["q_id"], 2)
     from_cut = cut.join(split_wins, ["paper_id", "q_id"], "left_semi").select("paper_id", "q_id", "page", "start", "end")
-    spans = spans.unionByName(from_joined).unionByName(from_cut)
+    spans = materialise(spans.unionByName(from_joined).unionByName(from_cut))
     first = spans.groupBy("paper_id", "q_id").agg(F.min_by(F.struct("page", "start"), "page").alias("f")).select("paper_id", "q_id", "f.page", "f.start")
     where = global_position(first, pages).select("paper_id", "q_id", F.col("page").alias("found_page"), F.col("position").alias("found_at"))
-    lines = matched_lines(spans, words, pages, ["q_id"])
+    lines = materialise(matched_lines(spans, words, pages, ["q_id"]))
     have = lines.select("paper_id", "q_id").distinct().withColumn("has_lines", F.lit(True))
     held = both_ends_inside(lines, rects, ["q_id"], ["q_id"]).withColumn("held", F.lit(True))
     state = (F.when(F.col("found_page").isNull(), "orphaned").when(F.col("held"), "anchored")
@@ -310,9 +311,11 @@ def resolve_chunks(ends: DataFrame, rects: DataFrame, pages: DataFrame, words: D
     stored = rects.groupBy("paper_id", "node_id").agg(F.min_by(box, "rect_ord").alias("a"), F.max_by(box, "rect_ord").alias("z"))
     e = ends.join(stored, ["paper_id", "node_id"]).withColumn("fallback", F.when(F.col("which") == "start", F.col("a")).otherwise(F.col("z"))).withColumn(
         "page_hint", F.col("fallback.page")).withColumn("q_id", F.concat_ws("|", "node_id", "which"))
+    e, pages = materialise(e), index.select("paper_id", "page", "text")
     quoted = e.where(X.strip_ws("exact") != "")
     found = find_quote(quoted.select("paper_id", "q_id", "exact", "prefix", "suffix", "position", "page_hint"), index).select(
         "paper_id", "q_id", "page", "start", "end", "global_start")
+    found = materialise(found)
     lines = matched_lines(found, words, pages, ["q_id"])
     hull = lines.groupBy("paper_id", "q_id").agg(F.struct(F.min("page").alias("page"), F.min("x0").alias("x0"), F.min("y0").alias("y0"),
                                                           F.max("x1").alias("x1"), F.max("y1").alias("y1")).alias("hull"))
@@ -329,7 +332,7 @@ def resolve_chunks(ends: DataFrame, rects: DataFrame, pages: DataFrame, words: D
         F.max(F.when(F.col("which") == "start", F.col("global_start"))).alias("start_at"), F.max("position").alias("old_position"),
         F.max_by("loc", F.col("which") == "start").alias("from"), F.max_by("loc", F.col("which") == "end").alias("to"))
     state = (F.when(~F.col("any_quote"), "anchored").when(~F.col("any_found"), "orphaned").when(F.col("all_hold"), "anchored").otherwise("relocated"))
-    states = one.withColumn("state", state)
+    states = materialise(one.withColumn("state", state))
     moved = states.where("state = 'relocated'")
     body = regions.where(~F.col("label").isin(*X.FURNITURE))
     ends_at = moved.select("paper_id", "node_id", F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("from").alias("b")), F.struct(F.lit(1).alias("w"), F.col("to").alias("b")))).alias("x")).select(

@@ -7,6 +7,7 @@ window runs inside one block only.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -16,6 +17,16 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a table several later joins read. Reliable checkpoint in the cluster's shared folder
+    (`spark.checkpoint.dir`), so a lost executor costs a re-read, not a recomputation."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint(eager=True)
+
+
 def running(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, fn: str = "sum",
             inclusive: bool = True, block: int = BLOCK) -> DataFrame:
     """Running `fn` (sum, max, min) of `value` by integer position `pos` within `keys`, in two levels."""

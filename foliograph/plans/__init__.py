@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from typing import NamedTuple
 
-MODULES = ("expressions", "layout")
+MODULES = ("expressions", "layout", "anchoring")
 
 
 class Registered(NamedTuple):

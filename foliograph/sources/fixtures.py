@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliograph.operators.spread import running
+from foliograph.operators.spread import materialise
 
 
 class Library:
@@ -53,8 +53,8 @@ class Library:
     def headed_regions(self) -> DataFrame:
         """Regions whose section headers carry a running number and whose captions a figure or table number."""
         r = self.regions().withColumn("header_level", (F.col("ord") % 3 + 1).cast("int"))
-        r = running(r, ["paper_id"], "ord", (F.col("label") == "section-header").cast("int"), "_h")
-        r = running(r, ["paper_id"], "ord", (F.col("label") == "caption").cast("int"), "_c")
+        p, o = F.col("paper_id"), F.col("ord")
+        r = r.withColumn("_h", F.floor((p + o) / 7) - F.floor(p / 7)).withColumn("_c", F.floor((p + o) / 11) - F.floor(p / 11))
         short = F.regexp_replace(F.substring("text", 1, 60), r"[ .,;:]+$", "")
         head = F.concat(F.col("_h").cast("string"), F.lit(" "), short)
         kind = F.when(F.col("_c") % 2 == 1, F.concat(F.lit("Figure "), F.col("_c"), F.lit(". "))).otherwise(
@@ -192,12 +192,13 @@ class Library:
     def sections(self) -> tuple[DataFrame, DataFrame]:
         from foliograph.operators.layout import build_sections
 
-        return build_sections(self.headed_regions(), self.pages())
+        sections, rects = build_sections(self.headed_regions(), self.pages())
+        return materialise(sections), materialise(rects)
 
     def figures(self) -> DataFrame:
         from foliograph.operators.layout import build_figures
 
-        return build_figures(self.headed_regions())
+        return materialise(build_figures(self.headed_regions()))
 
     def drags(self) -> DataFrame:
         """One rough rectangle per page."""
