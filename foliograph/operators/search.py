@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliograph.functions import text as X
 from foliograph.operators.contains import substring_join
-from foliograph.operators.spread import page_numbering
+from foliograph.operators.spread import materialise, page_numbering
 from foliograph.operators.words import CORNERS, hull_columns, text_under
 
 FIND_MAX_HITS = 200
@@ -65,6 +65,7 @@ def find_in_papers(queries: DataFrame, page_text: DataFrame, sections: DataFrame
     spans = pages.join(held, ["paper_id", "page"]).withColumn("m", F.explode(X.match_spans(F.col("flat"), quoted)))
     hits = (spans.withColumn("start", F.get("_off", F.col("m.start"))).withColumn("end", F.get("_off", F.col("m.end") - 1) + 1)
             .select("paper_id", "query_id", "page", "start", "end", "text"))
+    hits = materialise(hits)
     n = FIND_CONTEXT_WORDS
     before = F.split(X.flat(F.substring("text", F.lit(1), F.col("start"))), " ")
     after = F.split(X.flat(F.substring("text", F.col("end") + 1, F.length("text"))), " ")
@@ -74,6 +75,7 @@ def find_in_papers(queries: DataFrame, page_text: DataFrame, sections: DataFrame
                            F.array_join(F.slice(before, -F.least(F.size(before), F.lit(n)), F.lit(n)), " ").alias("before"),
                            X.single_spaced(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("match"),
                            F.array_join(F.slice(after, 1, n), " ").alias("after"))
+    worded = materialise(worded)
     ways = worded.select("paper_id", "query_id", "hit", F.posexplode(F.array(
         F.concat("before", "match", "after"), F.concat("before", "match"), F.concat("match", "after"))).alias("way", "_t")).withColumn("needle", X.squeeze("_t")).drop("_t")
     body = sections.select("paper_id", F.col("ord").alias("s_ord"), "section_id", X.squeeze("text").alias("flat"))

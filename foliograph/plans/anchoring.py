@@ -61,8 +61,8 @@ def _(lib):
 
 def changed(lib):
     """(pages, regions, words) of the papers extracted again."""
-    regions = lib.regions(lib.changed_lines())
-    return materialise(lib.page_text(regions)), regions, materialise(lib.words(regions))
+    regions = lib.shared("changed_regions", lambda: lib.regions(lib.changed_lines()))
+    return lib.shared("changed_text", lambda: lib.page_text(regions)), regions, lib.words(regions)
 
 
 @query("an02_fuzzy_candidates")
@@ -208,7 +208,7 @@ SELECT m.paper_id, m.h_id, CAST(coalesce(b.before, 0) + m.lead AS BIGINT) AS sta
 FROM (SELECT m.paper_id, m.h_id, m.page, m.exact, r.ord, length(substring(r.text, 1, 60)) - length(ltrim(substring(r.text, 1, 60))) AS lead
       FROM marks m JOIN regions r ON r.paper_id = m.paper_id AND r.page = m.page AND r.x0 = m.x0 AND r.y0 = m.y0) m
 JOIN page_text p ON p.paper_id = m.paper_id AND p.page = m.page
-LEFT JOIN (SELECT a.paper_id, a.page, a.ord, sum(length(b.text) + 1) AS before FROM regions a JOIN regions b ON a.paper_id = b.paper_id AND a.page = b.page AND b.ord < a.ord GROUP BY 1, 2, 3) b
+LEFT JOIN (SELECT a.paper_id, a.page, a.ord, sum(length(b.text) + 1)::BIGINT AS before FROM regions a JOIN regions b ON a.paper_id = b.paper_id AND a.page = b.page AND b.ord < a.ord GROUP BY 1, 2, 3) b
   ON b.paper_id = m.paper_id AND b.page = m.page AND b.ord = m.ord""", ("marks",))
 def _(lib):
     asked = lib.highlights().select("paper_id", "page", "h_id", "exact", *[F.col(c).alias(f"q_{c}") for c in CORNERS])
@@ -239,7 +239,7 @@ add_table("find_hits", r"""
 
 
 def found(lib):
-    return S.find_in_papers(searches(lib), lib.page_text(), lib.sections()[0])
+    return lib.shared("found", lambda: S.find_in_papers(searches(lib), lib.page_text(), lib.sections()[0]))
 
 
 @query("an18_find_in_papers", "SELECT paper_id, page, hit, nth, start FROM find_hits WHERE hit < 200", ("find_hits",))

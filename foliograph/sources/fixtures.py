@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from foliograph.operators.spread import materialise
 
 
+_SHARED: dict[tuple, object] = {}
+
+
 class Library:
-    """The mapped tables of one data folder. Each property is a lazy plan; nothing is cached or collected."""
+    """The mapped tables of one data folder. Plain tables are lazy plans; derived ones that many queries read are written
+    to the checkpoint folder once a session."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -23,6 +27,13 @@ class Library:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def shared(self, name: str, build):
+        key = (self.spark.sparkContext.applicationId, self.root, name)
+        if key not in _SHARED:
+            made = build()
+            _SHARED[key] = tuple(materialise(d) for d in made) if isinstance(made, tuple) else materialise(made)
+        return _SHARED[key]
+
     # -- layout ---------------------------------------------------------------
 
     def lines(self) -> DataFrame:
@@ -192,16 +203,37 @@ class Library:
     def sections(self) -> tuple[DataFrame, DataFrame]:
         from foliograph.operators.layout import build_sections
 
-        sections, rects = build_sections(self.headed_regions(), self.pages())
-        return materialise(sections), materialise(rects)
+        return self.shared("sections", lambda: build_sections(self.headed_regions(), self.pages()))
 
     def figures(self) -> DataFrame:
         from foliograph.operators.layout import build_figures
 
-        return materialise(build_figures(self.headed_regions()))
+        return self.shared("figures", lambda: build_figures(self.headed_regions()))
 
     def drags(self) -> DataFrame:
         """One rough rectangle per page."""
         p = F.col("paper_id")
         return self.pages().select("paper_id", "page", F.concat(F.lit("d"), "page").alias("sel_id"), F.lit(40.0).alias("x0"),
                                    (90.0 + p % 60).alias("y0"), (150.0 + p % 250).alias("x1"), (180.0 + p % 140).alias("y1"))
+
+    def paper_board(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(nodes, edges, rects) of a small board per paper: a group, its sections as chunks, one note, links to the mark."""
+        p = F.col("paper_id")
+        none = F.lit(None).cast("string")
+        base = self.highlights().select("paper_id", "h_id").distinct()
+        secs, ext = self.sections()
+        tagged = F.when(p % 2 == 0, F.array(F.lit("t-term"))).otherwise(F.array().cast("array<string>"))
+        no_tags = F.array().cast("array<string>")
+        group = base.select("paper_id", F.lit("n-g").alias("node_id"), F.lit(0).cast("long").alias("ord"), F.lit("group").alias("type"), none.alias("parent_id"), no_tags.alias("tags"),
+                            F.when(p % 5 == 0, "Paper").otherwise("Mine").alias("name"), none.alias("prompt"), (p % 5 == 0).alias("tray"), none.alias("origin"), F.lit("").alias("text"), none.alias("source_id"))
+        chunks = secs.where("ord % 3 <> 2").select("paper_id", F.concat(F.lit("n-c"), "ord").alias("node_id"), (F.col("ord") + 1).cast("long").alias("ord"), F.lit("chunk").alias("type"),
+                             F.when(F.col("ord") % 2 == 0, "n-g").alias("parent_id"), F.when(F.col("ord") % 4 == 1, F.array(F.lit("t-question"))).otherwise(no_tags).alias("tags"),
+                             F.col("title").alias("name"), none.alias("prompt"), F.lit(False).alias("tray"), none.alias("origin"), F.substring("title", 1, 64).alias("text"), F.col("section_id").alias("source_id"))
+        note = base.select("paper_id", F.lit("n-t").alias("node_id"), F.lit(1_000_000).cast("long").alias("ord"), F.lit("note").alias("type"), none.alias("parent_id"), tagged.alias("tags"), none.alias("name"),
+                           none.alias("prompt"), F.lit(False).alias("tray"), F.when(p % 4 == 0, "ai").otherwise("reader").alias("origin"), F.when(p % 6 == 0, "").otherwise(F.concat(F.lit("Note on "), p)).alias("text"), none.alias("source_id"))
+        nodes = reduce(DataFrame.unionByName, [group, chunks, note])
+        note_edge = base.select("paper_id", F.lit("e-1").alias("edge_id"), F.lit(1).cast("long").alias("ord"), F.when(p % 2 == 0, F.col("h_id")).otherwise(F.lit("n-t")).alias("from_id"),
+                                F.when(p % 2 == 0, F.lit("n-t")).otherwise(F.col("h_id")).alias("to_id"), no_tags.alias("tags")).where(p % 7 != 0)
+        chunk_edge = base.where(p % 3 == 0).select("paper_id", F.lit("e-2").alias("edge_id"), F.lit(2).cast("long").alias("ord"), F.lit("n-c0").alias("from_id"), F.col("h_id").alias("to_id"), no_tags.alias("tags"))
+        rects = ext.where("ord % 3 <> 2").select("paper_id", F.concat(F.lit("n-c"), "ord").alias("node_id"), F.col("run_ord").alias("rect_ord"), "page", "x0", "y0", "x1", "y1")
+        return nodes, note_edge.unionByName(chunk_edge), rects
