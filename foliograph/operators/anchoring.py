@@ -78,8 +78,8 @@ def weighted(quote: Column, prefix: Column, suffix: Column, position: Column) ->
 def score_candidates(candidates: DataFrame, index: DataFrame) -> DataFrame:
     """Adds start, end (page offsets), global_start and score. Offsets are laid out once for each page with a hit."""
     pages = candidates.select("paper_id", "page").distinct()
-    held = (index.join(pages, ["paper_id", "page"], "left_semi").select("paper_id", "page", "stripped", "page_start", "total_len",
-                                                                       X.kept_offsets("text").alias("_off")))
+    offsets = F.col("offsets") if "offsets" in index.columns else X.kept_offsets("text")
+    held = index.join(pages, ["paper_id", "page"], "left_semi").select("paper_id", "page", "stripped", "page_start", "total_len", offsets.alias("_off"))
     near = candidates.join(held, ["paper_id", "page"])
     pre_len, s = F.length("pre"), F.col("s")
     before = F.when(F.col("pre") == "", F.lit("")).otherwise(F.substring("stripped", F.greatest(s - pre_len, F.lit(0)) + 1, F.least(s, pre_len)))

@@ -17,7 +17,7 @@ FIND_CONTEXT_WORDS = 4
 MIN_PARTIAL_CHARS = 12
 WORD = r"[\p{L}\p{N}]+"
 HYPHENATED = r"([\p{L}\p{N}]+)-\n([\p{L}\p{N}]+)"
-MARKER = ""      # a private character standing for a hyphenated line end
+MARKER = "\ue000"      # a private character standing for a hyphenated line end
 SEPARATOR = "\u0001"   # between the bare words of a page
 
 
@@ -27,8 +27,9 @@ def paper_words(page_text: DataFrame) -> DataFrame:
     return words.distinct()
 
 
-def join_hyphens(docs: DataFrame, vocabulary: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """Line-end hyphens joined where the joined word is in the paper. Texts without one pass through untouched."""
+def join_hyphens(docs: DataFrame, vocabulary: DataFrame, keys: Sequence[str], text: str = "text", glue: str = "") -> DataFrame:
+    """Line-end hyphens joined where the joined word is in the paper. Texts without one pass through untouched. `glue` stands
+    where a joined hyphen and break were."""
     keys = list(keys)
     marked = docs.withColumn("_parts", F.split(F.regexp_replace(text, HYPHENATED, f"$1{MARKER}$2"), MARKER))
     breaks = (marked.where(F.size("_parts") > 1).select("paper_id", *keys, "_parts", F.explode(F.sequence(F.lit(1), F.size("_parts") - 1)).alias("i"))
@@ -36,7 +37,7 @@ def join_hyphens(docs: DataFrame, vocabulary: DataFrame, keys: Sequence[str], te
                                                               F.regexp_extract(F.element_at("_parts", F.col("i") + 1), f"^({WORD})", 1))).alias("word")))
     known = breaks.join(vocabulary, ["paper_id", "word"], "left_semi").groupBy("paper_id", *keys).agg(F.collect_set("i").alias("_join"))
     glued = F.array_join(F.transform("_parts", lambda p, i: F.concat(p, F.when(i == F.size("_parts") - 1, "").when(
-        F.array_contains("_join", i + 1), "").otherwise("-\n"))), "")
+        F.array_contains("_join", i + 1), glue).otherwise("-\n"))), "")
     return marked.join(known, ["paper_id", *keys], "left").withColumn("_join", F.coalesce("_join", F.array().cast("array<int>"))).withColumn(
         text, F.when(F.size("_parts") == 1, F.col(text)).otherwise(glued)).drop("_parts", "_join")
 

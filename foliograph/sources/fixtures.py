@@ -180,7 +180,7 @@ class Library:
         action = (F.when(et == "view", "page").when(et == "click", "highlight").when(et == "purchase", "cut")
                   .when(et == "signup", "open").otherwise("define"))
         k = F.get_json_object("props", "$.k").cast("int")
-        return self.table("events").select(F.col("user_id").alias("paper_id"), "event_id", F.col("ts").alias("t"), "event_type",
+        return self.table("events").select(F.col("user_id").alias("paper_id"), "event_id", F.col("ts").cast("timestamp").alias("t"), "event_type",
                                            kind.alias("kind"), action.alias("action"), "value", (k % 10).alias("page"), k.alias("k"))
 
     def chat(self) -> DataFrame:
