@@ -68,14 +68,16 @@ def find_in_papers(queries: DataFrame, page_text: DataFrame, sections: DataFrame
             .select("paper_id", "query_id", "page", "start", "end", "text"))
     hits = materialise(hits)
     n = FIND_CONTEXT_WORDS
-    before = F.split(X.flat(F.substring("text", F.lit(1), F.col("start"))), " ")
-    after = F.split(X.flat(F.substring("text", F.col("end") + 1, F.length("text"))), " ")
+    near = rf"(?U)^\s*(?:\S+\s+){{0,{n - 1}}}\S+"   # anchored, so only the words next to the hit are scanned
+    head, tail = F.substring("text", F.lit(1), F.col("start")), F.substring("text", F.col("end") + 1, F.length("text"))
+    before = X.flat(F.reverse(F.regexp_extract(F.reverse(head), near, 0)))
+    after = X.flat(F.regexp_extract(tail, near, 0))
     placed = page_numbering(hits, ["paper_id", "query_id"], [F.col("start")], "hit").where(F.col("hit") < FIND_MAX_HITS)
     w = Window.partitionBy("paper_id", "query_id", "page").orderBy("start")
     worded = placed.select("paper_id", "query_id", "page", "start", "end", "hit", (F.row_number().over(w) - 1).alias("nth"),
-                           F.array_join(F.slice(before, -F.least(F.size(before), F.lit(n)), F.lit(n)), " ").alias("before"),
+                           before.alias("before"),
                            X.single_spaced(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("match"),
-                           F.array_join(F.slice(after, 1, n), " ").alias("after"))
+                           after.alias("after"))
     worded = materialise(worded)
     ways = worded.select("paper_id", "query_id", "hit", F.posexplode(F.array(
         F.concat("before", "match", "after"), F.concat("before", "match"), F.concat("match", "after"))).alias("way", "_t")).withColumn("needle", X.squeeze("_t")).drop("_t")
