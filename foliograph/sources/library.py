@@ -150,13 +150,17 @@ def read_boards(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def read_log(spark: SparkSession, root: str, kind: str) -> tuple[DataFrame, DataFrame]:
     """(rows, damaged lines) of a JSON-lines log; one torn line never hides the rest. Blank lines are no rows."""
     name, schema = LOGS[kind]
-    raw = _scan(spark, f"{root}/papers/*/{name}", schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-    if raw is None:
-        raw = spark.createDataFrame([], schema).withColumn("paper_id", F.lit(None).cast("string"))
-    else:
-        raw = raw.withColumn("paper_id", folder_id())
-    bad = F.col("_corrupt_record").isNotNull()
-    return raw.where(~bad).drop("_corrupt_record"), raw.where(bad).select("paper_id", F.col("_corrupt_record").alias("line"))
+    path = f"{root}/papers/*/{name}"
+    try:
+        lines = spark.read.text(path).select(folder_id().alias("paper_id"), "value").where("trim(value) <> ''")
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        lines = spark.createDataFrame([], "paper_id string, value string")
+    read = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = lines.withColumn("r", read)
+    bad = F.col("r._corrupt_record").isNotNull()
+    return parsed.where(~bad).select("paper_id", "r.*").drop("_corrupt_record"), parsed.where(bad).select("paper_id", F.col("value").alias("line"))
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:
