@@ -11,19 +11,25 @@ import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table several later joins read. Reliable checkpoint in the cluster's shared folder
-    (`spark.checkpoint.dir`), so a lost executor costs a re-read, not a recomputation."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (`spark.checkpoint.dir`); a temporary one only where none is set, as in local tests."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a table several later joins read: a reliable checkpoint in the shared folder, so a lost executor
+    costs a re-read, not a recomputation."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

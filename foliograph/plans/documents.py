@@ -33,6 +33,11 @@ def parts(lib):
     return papers, nodes, rects, marks, edges, lib.headed_regions(), lib.spark.createDataFrame(TAGS, "tag_id string, name string")
 
 
+def rows_of(paragraphs):
+    """A document as its ordered paragraphs: what the Markdown sink writes, nothing gathered."""
+    return paragraphs.select("paper_id", F.to_json("pos").alias("pos"), "text")
+
+
 @query("ag11_paper_markdown", r"""
 SELECT paper_id, string_agg(t, chr(10) || chr(10) ORDER BY ord, k) || chr(10) AS text FROM (
   SELECT s.paper_id, s.ord, 0 AS k, CASE WHEN s.ord = 0 THEN '# ' || title ELSE repeat('#', CAST(depth + 1 AS BIGINT)) || ' ' || title || ' (' || CASE WHEN a = b THEN 'p. ' || (a + 1) ELSE 'pp. ' || (a + 1) || '–' || (b + 1) END || ')' END AS t
@@ -48,24 +53,24 @@ def _(lib):
 @query("ag12_export_markdown")
 def _(lib):
     papers, nodes, rects, marks, edges, regions, tags = parts(lib)
-    return D.as_text(D.export_paragraphs(papers, nodes, rects, marks, edges, regions, tags, no_tags()))
+    return rows_of(D.export_paragraphs(papers, nodes, rects, marks, edges, regions, tags, no_tags()))
 
 
 @query("ag12_export_tagged")
 def _(lib):
     papers, nodes, rects, marks, edges, regions, tags = parts(lib)
-    return D.as_text(D.export_paragraphs(papers, nodes, rects, marks, edges, regions, tags, F.array(F.lit("t-question"), F.lit("t-term"))))
+    return rows_of(D.export_paragraphs(papers, nodes, rects, marks, edges, regions, tags, F.array(F.lit("t-question"), F.lit("t-term"))))
 
 
 @query("ag13_export_by_template")
 def _(lib):
     papers, nodes, rects, marks, edges, regions, tags = parts(lib)
-    return D.as_text(D.export_paragraphs(papers, nodes, rects, marks, edges, regions, tags, no_tags(), order="template"))
+    return rows_of(D.export_paragraphs(papers, nodes, rects, marks, edges, regions, tags, no_tags(), order="template"))
 
 
 @query("ag14_board_markdown")
 def _(lib):
-    return D.as_text(D.board_paragraphs(*parts(lib)))
+    return rows_of(D.board_paragraphs(*parts(lib)))
 
 
 @query("ag15_reader_layer", r"""

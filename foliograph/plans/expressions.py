@@ -189,11 +189,12 @@ SELECT paper_id, ord, (CASE WHEN ord = 0 THEN 1 ELSE 0 END) + 2 * (called + colo
 FROM (SELECT paper_id, ord, CASE WHEN before LIKE '%called' THEN 1 ELSE 0 END AS called,
              CASE WHEN regexp_matches(after, '^["”’'']?\s*:') AND regexp_matches(after, '[a-z]') THEN 1 ELSE 0 END AS colon,
              CASE WHEN regexp_matches(after, '(?i)^\W*(is|are)\s+defined\s+(as|by|to\s+be)\b') THEN 1 ELSE 0 END AS defined
-      FROM (SELECT paper_id, ord, substring(text, 1, 20) || CASE WHEN ord % 3 = 0 THEN ' called' ELSE '' END AS before,
-                   CASE paper_id % 3 WHEN 0 THEN ': ' WHEN 1 THEN ' is defined as ' ELSE ' ' END || substring(text, 21, 40) AS after FROM regions)))""", ("regions",))
+      FROM (SELECT paper_id, ord, substring(text, 1, length(text) // 2) || CASE WHEN ord % 3 = 0 THEN ' called' ELSE '' END AS before,
+                   CASE paper_id % 3 WHEN 0 THEN ': ' WHEN 1 THEN ' is defined as ' ELSE ' ' END || substring(text, length(text) // 2 + 1) AS after FROM regions)))""", ("regions",))
 def _(lib):
-    before = F.concat(F.substring("text", 1, 20), F.when(F.col("ord") % 3 == 0, " called").otherwise(""))
-    after = F.concat(F.when(F.col("paper_id") % 3 == 0, ": ").when(F.col("paper_id") % 3 == 1, " is defined as ").otherwise(" "), F.substring("text", 21, 40))
+    half = F.floor(F.length("text") / 2).cast("int")
+    before = F.concat(F.substring("text", F.lit(1), half), F.when(F.col("ord") % 3 == 0, " called").otherwise(""))
+    after = F.concat(F.when(F.col("paper_id") % 3 == 0, ": ").when(F.col("paper_id") % 3 == 1, " is defined as ").otherwise(" "), F.substring("text", half + 1, F.length("text")))
     t = lib.regions().select("paper_id", "ord", before.alias("b"), after.alias("a"))
     t = t.withColumn("r", X.definition_rules(F.col("b"), F.col("a"), F.col("ord") == 0))
     return t.select("paper_id", "ord", X.definition_score(F.col("r")).alias("score"), F.size("r").alias("rules"))

@@ -9,6 +9,8 @@ from foliograph.plans.graph import snapshot
 from foliograph.plans.prelude import add_table
 from foliograph.plans.registry import query
 from foliograph.sources import library, sinks
+from foliograph.sources.fixtures import StreamingLibrary, run_stream
+from foliograph.streaming import activity as ST
 
 add_table("turns", """
   SELECT c.paper_id, c.line_no, c.question, c.answer FROM chat c LEFT JOIN (SELECT paper_id, max(line_no) AS cut FROM chat WHERE new_chat GROUP BY 1) d ON d.paper_id = c.paper_id
@@ -169,3 +171,36 @@ def _(lib):
     d, p = lib.table("documents").select(F.col("doc_id").alias("paper_id")), F.col("paper_id")
     out = d.where("paper_id % 4 <> 0").withColumn("mtime", F.when(p % 4 == 1, 5).otherwise(20))
     return sinks.stale_outputs(d.withColumn("mtime", F.lit(10)), out)
+
+
+# -- the same logs as streams ----------------------------------------------------------
+
+
+def streaming(lib):
+    return StreamingLibrary(lib.spark, lib.root)
+
+
+@query("st01_activity_ingest_stream", "SELECT event_id, CASE WHEN kind = 'other' THEN 'kind' END AS reason FROM activity", ("activity",))
+def _(lib):
+    events = streaming(lib).activity().withWatermark("t", "1 hour")
+    return run_stream(lib, events.select("event_id", H.rejection(F.col("kind"), F.col("action")).alias("reason")))
+
+
+@query("st02_page_dwell_stream", "SELECT session, page, seconds FROM dwell", ("dwell",))
+def _(lib):
+    return run_stream(lib, ST.page_dwell(views(streaming(lib)))).select("session", "page", "seconds")
+
+
+@query("st03_note_edits_stream", """
+SELECT paper_id::VARCHAR AS note_id, seq, text FROM (SELECT paper_id, event_id AS seq, kind, text,
+    coalesce(last_value(CASE WHEN kind = 'ended' THEN text END IGNORE NULLS) OVER w, first_value(CASE WHEN kind = 'seen' THEN text END IGNORE NULLS) OVER w, '') AS was
+  FROM (SELECT paper_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'seen' ELSE 'ended' END AS kind, 'v' || (k // 40) AS text FROM activity) WINDOW w AS (PARTITION BY paper_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+WHERE kind = 'ended' AND text <> was""", ("activity",))
+def _(lib):
+    edits = edit_events(streaming(lib)).select(F.col("paper_id").cast("string").alias("note_id"), "seq", "kind", "text")
+    return run_stream(lib, ST.note_edits(edits))
+
+
+@query("st08_activity_timeline_stream", "SELECT event_id, strftime(t, '%H:%M') AS clock FROM activity", ("activity",))
+def _(lib):
+    return run_stream(lib, ST.activity_timeline(detailed(streaming(lib)))).select("event_id", "clock")

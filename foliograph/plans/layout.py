@@ -182,15 +182,17 @@ def _(lib):
 
 
 def buried(lib):
-    """Styled lines inside regions, and the headings accepted among them. Every third line is made to start like a
-    heading that may or may not continue the paper's numbering."""
-    spans = lib.text_spans()
-    k = F.col("paper_id") + F.col("block")
-    numbered = F.concat((F.col("block") % 9).cast("string"), F.lit(" X"), "text")
-    spans = spans.withColumn("text", F.when((F.col("word_no") == 0) & (k % 3 == 1), numbered).otherwise(F.col("text"))).withColumn(
-        "bold", F.col("bold") | (k % 3 == 1))
-    lines = L.merge_rows(spans.where("word_no < 6 AND block > 0"))
-    return lines, L.inline_headings(lines, L.body_size(spans), lib.regions().withColumn("header_level", F.lit(None).cast("int")))
+    """Styled lines inside regions, and the headings accepted among them. Words wrap into printed lines of six; in every
+    third region each fourth line starts like a heading that may or may not continue the paper's numbering."""
+    k, row = F.col("paper_id") + F.col("block"), F.floor(F.col("word_no") / 6)
+    marked = (k % 3 == 1) & (row % 4 == 0)
+    spans = lib.text_spans().withColumn("_row", row).withColumn("x0", 50.0 + F.col("word_no") % 6 * 20).withColumn("x1", F.col("x0") + 16.0)
+    spans = spans.withColumn("y0", F.col("y0") + 14.0 * F.col("_row")).withColumn("y1", F.col("y0") + 12.0)
+    numbered = F.concat(((F.col("block") + row) % 9).cast("string"), F.lit(" X"), "text")
+    spans = spans.withColumn("text", F.when((F.col("word_no") % 6 == 0) & marked, numbered).otherwise(F.col("text"))).withColumn("bold", F.col("bold") | marked)
+    lines = lib.shared("buried_lines", lambda: L.merge_rows(spans))
+    found = L.inline_headings(lines, L.body_size(spans), lib.regions().withColumn("header_level", F.lit(None).cast("int")))
+    return lines, lib.shared("buried_headings", lambda: found)
 
 
 @query("ag08_split_regions")

@@ -6,12 +6,13 @@ supplier tables become an annotation graph. Everything is plain projection, join
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliograph.operators.spread import materialise
+from foliograph.operators.spread import checkpoint_folder, materialise
 
 
 _SHARED: dict[tuple, object] = {}
@@ -142,13 +143,13 @@ class Library:
                              F.when(key % 5 == 0, F.concat(F.lit("What about "), F.col("n_name"))).alias("prompt"),
                              (key % 7 == 0).alias("tray"), none.alias("origin"), F.lit("").alias("text"), *pos(key))
         ck = F.col("c_custkey")
-        chunks = self.table("customer").join(F.broadcast(home), F.col("c_nationkey") == F.col("nk")).select(
+        chunks = self.table("customer").join(home, F.col("c_nationkey") == F.col("nk")).select(
             F.col("paper_id").cast("long"), F.concat(F.lit("n-c"), ck).alias("node_id"), (ck + 1_000_000).cast("long").alias("ord"),
             F.lit("chunk").alias("type"), F.concat(F.lit("n-n"), "c_nationkey").alias("parent_id"),
             F.when(F.col("c_mktsegment") == "BUILDING", "t-supports").when(F.col("c_mktsegment") == "MACHINERY", "t-question").alias("tag"),
             F.col("c_name").alias("name"), none.alias("prompt"), F.lit(False).alias("tray"), none.alias("origin"), F.col("c_name").alias("text"), *pos(ck))
         sk = F.col("s_suppkey")
-        notes = self.table("supplier").join(F.broadcast(home), F.col("s_nationkey") == F.col("nk")).select(
+        notes = self.table("supplier").join(home, F.col("s_nationkey") == F.col("nk")).select(
             F.col("paper_id").cast("long"), F.concat(F.lit("n-s"), sk).alias("node_id"), (sk + 1_000_000_000).cast("long").alias("ord"),
             F.lit("note").alias("type"), F.concat(F.lit("n-n"), "s_nationkey").alias("parent_id"), none.alias("tag"),
             F.col("s_name").alias("name"), none.alias("prompt"), F.lit(False).alias("tray"),
@@ -159,8 +160,8 @@ class Library:
     def edges(self) -> DataFrame:
         """A connection for each (customer, supplier) who traded and live in one region."""
         nat = self.table("nation").select("n_nationkey", F.col("n_regionkey").alias("rk"))
-        cust = self.table("customer").join(F.broadcast(nat), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("rk").alias("crk"))
-        supp = self.table("supplier").join(F.broadcast(nat), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("rk").alias("srk"))
+        cust = self.table("customer").join(nat, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("rk").alias("crk"))
+        supp = self.table("supplier").join(nat, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("rk").alias("srk"))
         pairs = (self.table("lineitem").select("l_orderkey", "l_suppkey")
                  .join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
                  .select("o_custkey", "l_suppkey").distinct())
@@ -237,3 +238,21 @@ class Library:
         chunk_edge = base.where(p % 3 == 0).select("paper_id", F.lit("e-2").alias("edge_id"), F.lit(2).cast("long").alias("ord"), F.lit("n-c0").alias("from_id"), F.col("h_id").alias("to_id"), no_tags.alias("tags"))
         rects = ext.where("ord % 3 <> 2").select("paper_id", F.concat(F.lit("n-c"), "ord").alias("node_id"), F.col("run_ord").alias("rect_ord"), "page", "x0", "y0", "x1", "y1")
         return nodes, note_edge.unionByName(chunk_edge), rects
+
+
+class StreamingLibrary(Library):
+    """The same tables read as streams; only stateless mappings apply."""
+
+    def table(self, name: str) -> DataFrame:
+        file = f"{name}.parquet"
+        schema = self.spark.read.parquet(f"{self.root}/{file}").schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(self.root)
+
+
+def run_stream(lib: Library, stream: DataFrame) -> DataFrame:
+    """Drain a stream into a fresh folder beside the checkpoints and read it back."""
+    base = f"{checkpoint_folder(lib.spark)}/{uuid.uuid4()}"
+    query = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return lib.spark.read.schema(stream.schema).parquet(f"{base}/out")
