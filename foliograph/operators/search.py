@@ -63,22 +63,19 @@ def find_in_papers(queries: DataFrame, page_text: DataFrame, sections: DataFrame
     pages = substring_join(q.select("paper_id", "query_id", "needle"), squeezed, "needle", "flat", ["paper_id", "page"]).select("paper_id", "query_id", "needle", "page").distinct()
     quoted = F.concat(F.lit(r"\Q"), F.replace(F.col("needle"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     held = squeezed.join(pages.select("paper_id", "page").distinct(), ["paper_id", "page"], "left_semi").withColumn("_off", X.kept_offsets("text"))
-    spans = pages.join(held, ["paper_id", "page"]).withColumn("m", F.explode(X.match_spans(F.col("flat"), quoted)))
-    hits = (spans.withColumn("start", F.get("_off", F.col("m.start"))).withColumn("end", F.get("_off", F.col("m.end") - 1) + 1)
-            .select("paper_id", "query_id", "page", "start", "end", "text"))
-    hits = materialise(hits)
+    # Only (start, end) pairs leave a page's row for the numbering shuffle; its text is joined back for the hits kept.
+    spans = pages.join(held.select("paper_id", "page", "flat", "_off"), ["paper_id", "page"]).select(
+        "paper_id", "query_id", "page", "_off", F.explode(X.match_spans(F.col("flat"), quoted)).alias("m"))
+    hits = materialise(spans.select("paper_id", "query_id", "page", F.get("_off", F.col("m.start")).alias("start"), (F.get("_off", F.col("m.end") - 1) + 1).alias("end")))
+    placed = page_numbering(hits, ["paper_id", "query_id"], [F.col("start")], "hit").where(F.col("hit") < FIND_MAX_HITS)
     n = FIND_CONTEXT_WORDS
     near = rf"(?U)^\s*(?:\S+\s+){{0,{n - 1}}}\S+"   # anchored, so only the words next to the hit are scanned
     head, tail = F.substring("text", F.lit(1), F.col("start")), F.substring("text", F.col("end") + 1, F.length("text"))
-    before = X.flat(F.reverse(F.regexp_extract(F.reverse(head), near, 0)))
-    after = X.flat(F.regexp_extract(tail, near, 0))
-    placed = page_numbering(hits, ["paper_id", "query_id"], [F.col("start")], "hit").where(F.col("hit") < FIND_MAX_HITS)
     w = Window.partitionBy("paper_id", "query_id", "page").orderBy("start")
-    worded = placed.select("paper_id", "query_id", "page", "start", "end", "hit", (F.row_number().over(w) - 1).alias("nth"),
-                           before.alias("before"),
-                           X.single_spaced(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("match"),
-                           after.alias("after"))
-    worded = materialise(worded)
+    counted = placed.withColumn("nth", F.row_number().over(w) - 1)
+    worded = materialise(counted.join(page_text.select("paper_id", "page", "text"), ["paper_id", "page"]).select(
+        "paper_id", "query_id", "page", "start", "end", "hit", "nth", X.flat(F.reverse(F.regexp_extract(F.reverse(head), near, 0))).alias("before"),
+        X.single_spaced(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("match"), X.flat(F.regexp_extract(tail, near, 0)).alias("after")))
     ways = worded.select("paper_id", "query_id", "hit", F.posexplode(F.array(
         F.concat("before", "match", "after"), F.concat("before", "match"), F.concat("match", "after"))).alias("way", "_t")).withColumn("needle", X.squeeze("_t")).drop("_t")
     body = sections.select("paper_id", F.col("ord").alias("s_ord"), "section_id", X.squeeze("text").alias("flat"))
