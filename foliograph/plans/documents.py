@@ -157,7 +157,7 @@ def in_region(lib):
 @query("an17_quotes_in_region", """
 SELECT m.paper_id, m.h_id || '|' || h.section_id AS q_id, m.page FROM pheld h JOIN marks m ON m.paper_id = h.paper_id AND m.h_id = h.h_id""", ("pheld",))
 def _(lib):
-    """Repeated lines share their words and context, so only the page is told apart here; tests check the line."""
+    """Repeated lines share their words and context, so only the page is told apart here."""
     return in_region(lib)[0][0].select("paper_id", "q_id", "page")
 
 
