@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import bpe, linededup, quality_rules
+from foliograph.llm import bpe, linededup, minhash, quality_rules
 from foliograph.llm.store import stored
 
 QUERIES, ORACLES = {}, {}
@@ -55,3 +55,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds, removed."""
     kept = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", F.col("n_dropped").cast("bigint").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents: 3-word shingles, 85 per cent."""
+    found = minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
