@@ -5,9 +5,10 @@ functions. Bands of minima make candidates; the low `BITS` bits of every minimum
 similarity is estimated by counting bits, corrected for chance agreement. What passes is confirmed on the full sets.
 
 Texts with the same words are one node, found by a hash of their words. Inside a bucket no pairs of all members are made:
-members meet leaders, the lowest members of ever finer sub-groups, and only where both are still in different components. The
-last few pairs across components meet directly, once there are fewer of them than a fraction of the band rows. So no link
-that could join two components goes untested, and a large group costs little more than its first leaders.
+while there are many pairs across components, members meet leaders, the lowest members of ever finer sub-groups, and each
+is compared with the likeliest one. When few pairs are left, or leaders bring no more, all pairs that are still in different
+components meet directly. So no link that could join two components goes untested, and a large group of copies costs little
+more than its first leaders.
 
 Texts without words (or null) have no shingles and are linked with nothing. Repeated rows and rows that share an id keep
 their places. Rows without an id belong to the component of a document with the same words, if there is one; otherwise they
@@ -28,6 +29,8 @@ from foliograph.llm.store import cut, stored
 
 ROWS, BANDS, BITS = 5, 25, 4
 PLANE = 128
+#: Members of a bucket meet directly when there are at most so many pairs across components for each member.
+PAIRS = 8
 #: An estimate may be so many standard errors below the threshold.
 SIGMAS = 4.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -164,26 +167,28 @@ def _named(edges: DataFrame) -> DataFrame:
             return names
 
 
-def _linked(members: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, comp) of all members of shared buckets."""
     labels = members.select("node").distinct().withColumn("comp", F.col("node"))
-    most, level, last = _most_differing(percent / 100), 0, False
+    most, level, before = _most_differing(percent / 100), 0, float("inf")
     while True:
         current = members.join(labels, "node")
-        sizes = current.groupBy("band", "comp").agg(F.count("*").alias("m")).groupBy("band").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("open"))
+        sizes = (current.groupBy("band", "comp").agg(F.count("*").alias("m")).groupBy("band")
+                 .agg(F.sum("m").alias("size"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("open")))
         open_bands = cut(sizes.where("open > 0"))
-        left = open_bands.agg(F.sum("open")).head()[0] or 0
+        left, many = open_bands.agg(F.sum("open"), F.sum(F.when(F.col("open") > F.col("size") * PAIRS, F.col("open")))).head()
         if not left:
             return labels
+        last = not many or level > 16 or many > before * 0.9
+        before = many
         live = current.join(open_bands.select("band"), "band", "left_semi")
         sub = lambda n: F.col("rank").bitwiseAND((1 << n) - 1)
-        if level < 16 and left > total / 8:
+        if not last:
             lead = live.groupBy("band", sub(level).alias("sub")).agg(F.min(F.struct("rank", "node", "comp", "bits")).alias("l"))
             pairs = live.alias("m").join(lead.alias("l"), F.expr(f"m.band = l.band AND m.comp <> l.l.comp AND {_differing('m.bits', 'l.l.bits')} <= {most}"))
             pairs = (pairs.select(F.col("m.node").alias("a"), F.col("l.l.node").alias("b"), F.expr(_differing("m.bits", "l.l.bits")).alias("far"))
                      .groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")))
         else:
-            last = True
             pairs = live.alias("m").join(live.alias("o"), F.expr(f"m.band = o.band AND m.node < o.node AND m.comp <> o.comp AND {_differing('m.bits', 'o.bits')} <= {most}"))
             pairs = pairs.select(F.col("m.node").alias("a"), F.col("o.node").alias("b")).distinct()
         links = _confirmed(pairs, sets, percent)
@@ -203,11 +208,10 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_i
     bands = nodes.where("first IS NOT NULL").select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
     members = stored(bands.join(shared, "band").join(nodes.select("node", "bits"), "node").withColumn("rank", F.xxhash64("node")), "members")
-    total = members.count()
-    if total:
+    if not members.isEmpty():
         wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("first").alias("_id"), "node")
         texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(wanted, "_id")
-        labels = _linked(members, stored(_sets(texts, words), "shingle-sets"), percent, total)
+        labels = _linked(members, stored(_sets(texts, words), "shingle-sets"), percent)
         ends = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     else:
         ends = nodes.withColumn("comp", F.col("node"))
