@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import bpe, linededup, minhash, quality_rules
+from foliograph.llm import bpe, decontaminate, licenses, linededup, minhash, quality_rules
 from foliograph.llm.store import stored
 
 QUERIES, ORACLES = {}, {}
@@ -34,6 +34,30 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _licenses_sql() -> str:
+    known = ", ".join(f"('{plain}', '{name}')" for plain, name in licenses.SENTENCES.items())
+    rest, names, steps = "seq", [], []
+    for n, (name, rule) in enumerate(licenses.RULES):
+        wanted = "".join(f" {s}. " for s in rule)
+        steps.append(f"r{n} AS (SELECT *, contains({rest}, '{wanted}') AS hit{n}, replace({rest}, '{wanted}', ' | ') AS rest{n} FROM {f'r{n - 1}' if n else 'seqs'})")
+        rest = f"rest{n}"
+        names.append(f"CASE WHEN hit{n} AND NOT ({' OR '.join([f'hit{m}' for m in range(n) if licenses.RULES[m][0] == name] or ['false'])}) THEN '{name}' END")
+    return f"""
+WITH cut AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS i
+  FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[.;:!?]+([ \\t\\r\\n]+|\\z)', chr(10), 'g'), chr(10)) AS l FROM documents)),
+plain AS (SELECT doc_id, i, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS p FROM cut),
+known(p, sentence) AS (VALUES {known}),
+seqs AS (SELECT doc_id, count(*) AS n_sentences, string_agg(' ' || sentence || '. ', '' ORDER BY i) AS seq FROM plain JOIN known USING (p) GROUP BY doc_id),
+{", ".join(steps)}
+SELECT doc_id, n_sentences, concat_ws(' ', {", ".join(names)}) AS licenses, length({rest}) - length(replace({rest}, '.', '')) AS leftover FROM r{len(licenses.RULES) - 1}"""
+
+
+@query(_licenses_sql())
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document that has a known licence sentence."""
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the label model's verdict for every document."""
@@ -62,3 +86,9 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents: 3-word shingles, 85 per cent."""
     found = minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+@query()
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document, within 8 per cent of edits."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
