@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import bpe, linededup, quality_rules
+from foliograph.llm import bpe, decontaminate, linededup, minhash, quality_rules
 from foliograph.llm.store import stored
 
 
@@ -22,6 +22,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with similar sets of five-word shingles (0.8 or more), directly or through others, one stays."""
+    return minhash.dedup(docs, words=5, percent=80).select(*docs.columns)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within 8 per cent of edits go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, checked by decoding: `round_trip` says whether the bytes came back."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -30,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                         (F.coalesce("text", F.lit("")).cast("binary") == F.col("decoded")).alias("round_trip"))
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("byte-level BPE", tokens)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near), ("decontamination", leaks), ("byte-level BPE", tokens)]
 
 #: The label model's iterations have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None
