@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import bpe, decontaminate, licenses, linededup, minhash, quality_rules
+from foliograph.llm import bpe, codes, decontaminate, licenses, linededup, minhash, quality_rules, sharding
 from foliograph.llm.store import stored
 
 QUERIES, ORACLES = {}, {}
+#: Bytes of text in a shard.
+SHARD_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,3 +96,22 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in every document, within 8 per cent of edits."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
+    lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT), 60, '0') AS h FROM documents),
+d AS (SELECT *, unnest(range(0, 61)) AS bits FROM r),
+s AS (SELECT doc_id, n_bytes, h, bits, sum(n_bytes) OVER w AS b, count(*) OVER w AS c FROM d WINDOW w AS (PARTITION BY bits, substr(h, 1, bits)))
+SELECT doc_id, n_bytes, min(bits)::INTEGER AS depth, substr(h, 1, min(bits)) AS shard, 0 AS page
+FROM s WHERE b <= {SHARD_BYTES} OR c = 1 GROUP BY doc_id, n_bytes, h""")
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document under a limit of a megabyte."""
+    return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+@query()
+def op10_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as directly addressable codes and read back."""
+    tokenizer = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    return codes.digests(codes.read(codes.written(table(spark, sf_dir, "documents"), tokenizer, end_id=1)))
