@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import bpe, codes, decontaminate, licenses, linededup, minhash, quality_rules, sharding
+from foliograph.llm import bpe, codes, decontaminate, licenses, linededup, minhash, quality_model, quality_rules, sharding
 from foliograph.llm.store import stored
 
 QUERIES, ORACLES = {}, {}
@@ -115,3 +115,11 @@ def op10_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as directly addressable codes and read back."""
     tokenizer = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
     return codes.digests(codes.read(codes.written(table(spark, sf_dir, "documents"), tokenizer, end_id=1)))
+
+
+@query()
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+    return scored.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
