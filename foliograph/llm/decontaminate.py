@@ -18,6 +18,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 ERROR_RATE = 0.08
 #: Characters of items in a block.
@@ -125,6 +126,7 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, i
             item_text: str = "text") -> DataFrame:
     """(id, item_id, distance): every item that a document holds within the budget, with its smallest distance."""
     kinds = f"`{id}` {docs.schema[id].dataType.simpleString()}, `{item_id}` {items.schema[item_id].dataType.simpleString()}, distance int"
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     source = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
 
     def one(block: list[tuple[object, str]]) -> DataFrame:
@@ -133,19 +135,13 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, i
             for batch in batches:
                 found = [(i, *hit) for i, t in zip(batch.column("_id").to_pylist(), batch.column("_text"), strict=True) for hit in matcher.of(t.as_py())]
                 yield pa.RecordBatch.from_pydict({id: [x[0] for x in found], item_id: [x[1] for x in found], "distance": pa.array([x[2] for x in found], pa.int32())},
-                                                 schema=pa.schema([(id, batch.schema.field("_id").type), (item_id, _arrow(items, item_id)), ("distance", pa.int32())]))
+                                                 schema=pa.schema([(id, batch.schema.field("_id").type), (item_id, item_type), ("distance", pa.int32())]))
         return source.mapInArrow(search, kinds)
 
     parts = [one(block) for block in _blocks(items, item_id, item_text)]
     return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], kinds)
 
 
-def _arrow(df: DataFrame, name: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[name].dataType)
-
-
 def clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that hold none of the items."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
