@@ -18,6 +18,7 @@ are linked with nothing and their component is null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.store import cut, stored
+from foliograph.llm.store import stored
 
 ROWS, BANDS, BITS = 5, 25, 4
 PLANE = 128
@@ -155,50 +156,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _named(edges: DataFrame) -> DataFrame:
-    """(comp, to): the smallest name among all that `edges` (a, b) connect with `comp`, by neighbours and pointer jumps."""
-    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    names = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "comp"))
+    """(node, comp): the smallest name among all nodes that `edges` (a, b) connect with a node, by neighbours and jumps."""
+    both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    names = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp"))
     while True:
-        near = both.join(names, both["b"] == names["comp"]).groupBy("a").agg(F.min("to").alias("near"))
-        step = names.join(near, names["comp"] == near["a"]).select("comp", F.least("to", "near").alias("next"), F.col("to").alias("was"))
-        jump = names.select(F.col("comp").alias("at"), F.col("to").alias("over"))
-        step = cut(step.join(jump, step["next"] == jump["at"], "left").select("comp", F.least("next", F.coalesce("over", "next")).alias("to"), "was"))
-        names = step.select("comp", "to")
+        near = both.join(names.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        jump = names.select(F.col("node").alias("comp"), F.col("comp").alias("over"))
+        step = stored(names.join(near, "node").join(jump, "comp", "left").select("node", F.least("comp", "near", "over").alias("to"), F.col("comp").alias("was")), "names")
+        names = step.select("node", F.col("to").alias("comp"))
         if step.where("to <> was").isEmpty():
             return names
 
 
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, comp) of all members of shared buckets."""
-    labels = members.select("node").distinct().withColumn("comp", F.col("node"))
-    most, level, before = _most_differing(percent / 100), 0, float("inf")
-    while True:
+    """(node, comp) of all members of shared buckets that have a link.
+
+    Members of one component need not meet. Rounds of leaders go on as long as they bring down the pairs across components."""
+    nodes = members.select("node").distinct()
+    labels, links = nodes.withColumn("comp", F.col("node")), []
+    most, level, before, last = _most_differing(percent / 100), 0, float("inf"), False
+    while not last:
         current = members.join(labels, "node")
-        sizes = (current.groupBy("band", "comp").agg(F.count("*").alias("m")).groupBy("band")
-                 .agg(F.sum("m").alias("size"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("open")))
-        open_bands = cut(sizes.where("open > 0"))
-        left, many = open_bands.agg(F.sum("open"), F.sum(F.when(F.col("open") > F.col("size") * PAIRS, F.col("open")))).head()
-        if not left:
-            return labels
-        last = not many or level > 16 or many > before * 0.9
+        many = (current.groupBy("band", "comp").agg(F.count("*").alias("m")).groupBy("band").agg(F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("squares"))
+                .select("size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("open")).where(F.col("open") > F.col("size") * PAIRS).agg(F.sum("open")).head()[0])
+        last = not many or many > before * 0.7
         before = many
-        live = current.join(open_bands.select("band"), "band", "left_semi")
-        sub = lambda n: F.col("rank").bitwiseAND((1 << n) - 1)
         if not last:
-            lead = live.groupBy("band", sub(level).alias("sub")).agg(F.min(F.struct("rank", "node", "comp", "bits")).alias("l"))
-            pairs = live.alias("m").join(lead.alias("l"), F.expr(f"m.band = l.band AND m.comp <> l.l.comp AND {_differing('m.bits', 'l.l.bits')} <= {most}"))
+            lead = current.groupBy("band", F.col("rank").bitwiseAND((1 << level) - 1).alias("sub")).agg(F.min(F.struct("rank", "node", "comp", "bits")).alias("l"))
+            pairs = current.alias("m").join(lead.alias("l"), F.expr(f"m.band = l.band AND m.comp <> l.l.comp AND {_differing('m.bits', 'l.l.bits')} <= {most}"))
             pairs = (pairs.select(F.col("m.node").alias("a"), F.col("l.l.node").alias("b"), F.expr(_differing("m.bits", "l.l.bits")).alias("far"))
                      .groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")))
         else:
-            pairs = live.alias("m").join(live.alias("o"), F.expr(f"m.band = o.band AND m.node < o.node AND m.comp <> o.comp AND {_differing('m.bits', 'o.bits')} <= {most}"))
+            pairs = current.alias("m").join(current.alias("o"), F.expr(f"m.band = o.band AND m.node < o.node AND m.comp <> o.comp AND {_differing('m.bits', 'o.bits')} <= {most}"))
             pairs = pairs.select(F.col("m.node").alias("a"), F.col("o.node").alias("b")).distinct()
-        links = _confirmed(pairs, sets, percent)
-        comps = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-        names = _named(comps.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        labels = cut(labels.join(names, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
-        if last:
-            return labels
+        links.append(stored(_confirmed(pairs, sets, percent), "links"))
+        if not last:
+            labels = stored(nodes.join(_named(reduce(DataFrame.unionAll, links)), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "labels")
         level += 1
+    return _named(reduce(DataFrame.unionAll, links))
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
