@@ -320,7 +320,7 @@ def first_entry(text: Column) -> Column:
         joined = F.concat(acc["out"], F.when(acc["out"].endswith("-"), F.lit("")).otherwise(F.lit(" ")), line)
         return F.struct(F.when(stop, acc["out"]).otherwise(joined).alias("out"), line.alias("prev"), stop.alias("stopped"))
 
-    return F.aggregate(F.slice(lines, 2, 1_000_000), init, step, lambda acc: acc["out"])
+    return F.aggregate(F.slice(lines, 2, F.size(lines)), init, step, lambda acc: acc["out"])
 
 
 def dest_top(kind: Column, xyz_top: Column, height: Column) -> Column:

@@ -101,13 +101,12 @@ def best_place(scored: DataFrame, keys: Sequence[str] = ("paper_id", "q_id")) ->
 
 
 def candidates(quotes: DataFrame, index: DataFrame, settle: bool = True) -> DataFrame:
-    """Scored exact places, and fuzzy ones for the quotes no exact place settles. A fuzzy place scores at most
-    (50(1 - 1/m) + 42) / 92 for m characters, so an exact place scoring that much is final."""
+    """Scored exact places, and fuzzy ones for the quotes no exact place settles. A fuzzy place may score up to 1 (a page that
+    lies wholly inside the quote does), so only an exact place that scores 1 is final."""
     stripped = stripped_quotes(quotes)
     exact = materialise(score_candidates(exact_candidates(stripped, index), index))
     if settle:
-        bound = (W_QUOTE * (1 - 1 / F.length("needle")) + W_PREFIX + W_SUFFIX + W_POSITION) / TOTAL
-        done = exact.where(F.col("score") >= bound).select("paper_id", "q_id").distinct()
+        done = exact.where(F.col("score") >= 1.0).select("paper_id", "q_id").distinct()
         open_quotes = stripped.join(done, ["paper_id", "q_id"], "left_anti")
     else:
         open_quotes = stripped
@@ -264,6 +263,17 @@ def both_ends_inside(lines: DataFrame, rects: DataFrame, keys: Sequence[str], re
     return hit.groupBy("paper_id", *keys).agg(F.count_distinct("w").alias("n")).where("n = 2").drop("n")
 
 
+def over_pages(quotes: DataFrame, index: DataFrame, n: int) -> DataFrame:
+    """Where quotes over n pages lie, one row per page: in the pages' joined text, or as exact pieces if those score as high."""
+    pages = index.select("paper_id", "page", "text")
+    joined = find_quote(quotes, window_index(pages, n)).select("paper_id", "q_id", "page", "start", "end", "score")
+    cut = materialise(split_match(quotes, index, n))
+    best_cut = cut.groupBy("paper_id", "q_id").agg(F.max("score").alias("cut_score"))
+    split_wins = joined.join(best_cut, ["paper_id", "q_id"], "full").where(F.col("cut_score") >= F.coalesce("score", F.lit(-1.0))).select("paper_id", "q_id")
+    from_joined = page_spans(joined.join(split_wins, ["paper_id", "q_id"], "left_anti"), pages, ["q_id"], n)
+    return from_joined.unionByName(cut.join(split_wins, ["paper_id", "q_id"], "left_semi").select("paper_id", "q_id", "page", "start", "end"))
+
+
 # -- resolving marks and pieces -------------------------------------------------
 
 
@@ -274,17 +284,10 @@ def resolve_highlights(quotes: DataFrame, rects: DataFrame, pages: DataFrame, wo
     `quotes` also carry `span`, the pages the mark runs over; `rects`: paper_id, q_id, page, box."""
     index = page_index(pages)
     quotes, pages = materialise(quotes), index.select("paper_id", "page", "text")
-    single = find_quote(quotes.where("span = 1"), index).select("paper_id", "q_id", "page", "start", "end", "score")
-    spans = single.drop("score")
-    many = quotes.where("span = 2")
-    joined = find_quote(many, window_index(pages, 2)).select("paper_id", "q_id", "page", "start", "end", "score")
-    cut = split_match(many, index, 2)
-    cut = materialise(cut)
-    best_cut = cut.groupBy("paper_id", "q_id").agg(F.max("score").alias("cut_score"))
-    split_wins = joined.join(best_cut, ["paper_id", "q_id"], "full").where(F.col("cut_score") >= F.coalesce("score", F.lit(-1.0))).select("paper_id", "q_id")
-    from_joined = page_spans(joined.join(split_wins, ["paper_id", "q_id"], "left_anti"), pages, ["q_id"], 2)
-    from_cut = cut.join(split_wins, ["paper_id", "q_id"], "left_semi").select("paper_id", "q_id", "page", "start", "end")
-    spans = materialise(spans.unionByName(from_joined).unionByName(from_cut))
+    spans = find_quote(quotes.where("span = 1"), index).select("paper_id", "q_id", "page", "start", "end")
+    for n in sorted(r.span for r in quotes.where("span > 1").select("span").distinct().collect()):
+        spans = spans.unionByName(over_pages(quotes.where(F.col("span") == n), index, n))
+    spans = materialise(spans)
     first = spans.groupBy("paper_id", "q_id").agg(F.min_by(F.struct("page", "start"), "page").alias("f")).select("paper_id", "q_id", "f.page", "f.start")
     where = global_position(first, pages).select("paper_id", "q_id", F.col("page").alias("found_page"), F.col("position").alias("found_at"))
     lines = materialise(matched_lines(spans, words, pages, ["q_id"]))
@@ -352,7 +355,7 @@ def resolve_chunks(ends: DataFrame, rects: DataFrame, pages: DataFrame, words: D
 def anchor_basis(page_text: DataFrame, regions: DataFrame) -> DataFrame:
     """Fingerprint of a paper's text and regions. Pages are hashed first, so a paper's row gathers hashes, not text."""
     boxes = regions.groupBy("paper_id", "page").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-        "ord", F.concat_ws(",", *[F.col(c).cast("long") for c in CORNERS], "label").alias("b")))), lambda s: s["b"]), ";"), 256).alias("boxes"))
+        "ord", F.concat_ws(",", *[F.col(c).cast("double").cast("string") for c in CORNERS], "label").alias("b")))), lambda s: s["b"]), ";"), 256).alias("boxes"))
     texts = page_text.select("paper_id", "page", F.sha2(F.col("text").cast("binary"), 256).alias("words"))
     both = texts.join(boxes, ["paper_id", "page"], "full")
     line = F.concat_ws(":", F.col("page").cast("string"), F.coalesce("words", F.lit("")), F.coalesce("boxes", F.lit("")))

@@ -17,7 +17,6 @@ from foliograph.operators.pieces import highlights_in
 from foliograph.operators.spread import materialise, page_numbering
 from foliograph.operators.words import CORNERS
 
-MAX_DEPTH = 1000
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
@@ -27,7 +26,7 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     closure = materialise(up.select("paper_id", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"), F.array("node_id", "parent_id").alias("path")))
     frontier, done = closure, closure.drop("path")
     step = up.select("paper_id", F.col("node_id").alias("ancestor_id"), F.col("parent_id").alias("next"))
-    for _ in range(MAX_DEPTH):
+    while True:
         frontier = materialise(frontier.join(step, ["paper_id", "ancestor_id"]).where(~F.array_contains("path", F.col("next")))
                                .select("paper_id", "node_id", F.col("next").alias("ancestor_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("next")).alias("path")))
         if frontier.isEmpty():
@@ -152,7 +151,7 @@ def apply_tags(items: DataFrame, changes: DataFrame, tags: DataFrame) -> DataFra
     known = tags.agg(F.collect_set("tag_id").alias("k")).scalar()   # the tag file is a handful of rows
     none = F.array().cast("array<string>")
     j = items.join(changes, ["paper_id", "id"], "left")
-    extras = F.filter(F.slice("tags", 2, 100_000), lambda t: ~t.eqNullSafe(F.col("main")))
+    extras = F.filter(F.slice("tags", 2, F.size("tags")), lambda t: ~t.eqNullSafe(F.col("main")))
     main = F.when(F.col("main").isNull(), F.col("tags")).when(F.col("main") == "", extras).otherwise(F.concat(F.array("main"), extras))
     every = F.array_distinct(F.concat(main, F.coalesce("add", none)))
     return j.withColumn("_known", known).select("paper_id", "id", F.filter(every, lambda t: F.array_contains("_known", t)).alias("tags"))

@@ -11,7 +11,7 @@ from foliograph.operators.spread import running
 HISTORY_BUDGET = 150_000
 KINDS = ("session", "build", "read", "ai")
 MAX_ACTION, MAX_EVENTS, MAX_BYTES = 32, 200, 64 * 1024
-DEFAULT_READ, MAX_READ = 500, 5000
+DEFAULT_READ = 500
 DWELL_MIN_MS = 2000
 QUOTE_CHARS = 80
 
@@ -34,7 +34,7 @@ def history_within_budget(turns: DataFrame, budget: int = HISTORY_BUDGET) -> Dat
 def last_events(activity: DataFrame, order: str, limit: int = DEFAULT_READ) -> DataFrame:
     """The last `limit` events of each paper. `row_number` under a small limit is a per-task top-k before the shuffle."""
     w = Window.partitionBy("paper_id").orderBy(F.col(order).desc())
-    return activity.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= min(limit, MAX_READ)).drop("_k")
+    return activity.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= limit).drop("_k")
 
 
 def rejection(kind: Column, action: Column, extra: Column | None = None) -> Column:

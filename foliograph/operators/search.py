@@ -12,7 +12,6 @@ from foliograph.operators.contains import substring_join
 from foliograph.operators.spread import materialise, page_numbering
 from foliograph.operators.words import CORNERS, hull_columns, text_under
 
-FIND_MAX_HITS = 200
 FIND_CONTEXT_WORDS = 4
 MIN_PARTIAL_CHARS = 12
 WORD = r"[\p{L}\p{N}]+"
@@ -27,9 +26,9 @@ def paper_words(page_text: DataFrame) -> DataFrame:
     return words.distinct()
 
 
-def join_hyphens(docs: DataFrame, vocabulary: DataFrame, keys: Sequence[str], text: str = "text", glue: str = "") -> DataFrame:
+def join_hyphens(docs: DataFrame, vocabulary: DataFrame, keys: Sequence[str], text: str = "text", glue: str = "", unknown: str = "-\n") -> DataFrame:
     """Line-end hyphens joined where the joined word is in the paper. Texts without one pass through untouched. `glue` stands
-    where a joined hyphen and break were."""
+    where a joined hyphen and break were, `unknown` where they were not joined."""
     keys = list(keys)
     marked = docs.withColumn("_parts", F.split(F.regexp_replace(text, HYPHENATED, f"$1{MARKER}$2"), MARKER))
     breaks = (marked.where(F.size("_parts") > 1).select("paper_id", *keys, "_parts", F.explode(F.sequence(F.lit(1), F.size("_parts") - 1)).alias("i"))
@@ -37,7 +36,7 @@ def join_hyphens(docs: DataFrame, vocabulary: DataFrame, keys: Sequence[str], te
                                                               F.regexp_extract(F.element_at("_parts", F.col("i") + 1), f"^({WORD})", 1))).alias("word")))
     known = breaks.join(vocabulary, ["paper_id", "word"], "left_semi").groupBy("paper_id", *keys).agg(F.collect_set("i").alias("_join"))
     glued = F.array_join(F.transform("_parts", lambda p, i: F.concat(p, F.when(i == F.size("_parts") - 1, "").when(
-        F.array_contains("_join", i + 1), glue).otherwise("-\n"))), "")
+        F.array_contains("_join", i + 1), glue).otherwise(unknown))), "")
     return marked.join(known, ["paper_id", *keys], "left").withColumn("_join", F.coalesce("_join", F.array().cast("array<int>"))).withColumn(
         text, F.when(F.size("_parts") == 1, F.col(text)).otherwise(glued)).drop("_parts", "_join")
 
@@ -50,13 +49,13 @@ def prose(text: Column) -> Column:
 
 
 def reflow(docs: DataFrame, vocabulary: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """Extracted text as prose."""
+    """Extracted text as prose; a hyphen whose joined word is unknown stays, without its break."""
     clean = docs.withColumn(text, F.regexp_replace(text, r"\r\n?", "\n"))
-    return join_hyphens(clean, vocabulary, keys, text).withColumn(text, prose(F.col(text)))
+    return join_hyphens(clean, vocabulary, keys, text, unknown="-").withColumn(text, prose(F.col(text)))
 
 
 def find_in_papers(queries: DataFrame, page_text: DataFrame, sections: DataFrame) -> DataFrame:
-    """Case-free, whitespace-free, non-overlapping hits in paper order, at most 200 a query, with four words either side,
+    """Case-free, whitespace-free, non-overlapping hits in paper order, with four words either side,
     the section they fall in and their place on the page. `queries`: paper_id, query_id, query."""
     q = queries.withColumn("needle", X.squeeze("query")).where("needle <> ''")
     squeezed = page_text.withColumn("flat", X.squeeze("text"))
@@ -67,7 +66,7 @@ def find_in_papers(queries: DataFrame, page_text: DataFrame, sections: DataFrame
     spans = pages.join(held.select("paper_id", "page", "flat", "_off"), ["paper_id", "page"]).select(
         "paper_id", "query_id", "page", "_off", F.explode(X.match_spans(F.col("flat"), quoted)).alias("m"))
     hits = materialise(spans.select("paper_id", "query_id", "page", F.get("_off", F.col("m.start")).alias("start"), (F.get("_off", F.col("m.end") - 1) + 1).alias("end")))
-    placed = page_numbering(hits, ["paper_id", "query_id"], [F.col("start")], "hit").where(F.col("hit") < FIND_MAX_HITS)
+    placed = page_numbering(hits, ["paper_id", "query_id"], [F.col("start")], "hit")
     n = FIND_CONTEXT_WORDS
     near = rf"(?U)^\s*(?:\S+\s+){{0,{n - 1}}}\S+"   # anchored, so only the words next to the hit are scanned
     head, tail = F.substring("text", F.lit(1), F.col("start")), F.substring("text", F.col("end") + 1, F.length("text"))

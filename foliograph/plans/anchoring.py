@@ -177,7 +177,7 @@ def _(lib):
 @query("an12_anchor_basis", """
 SELECT paper_id, sha256(string_agg(page || ':' || w || ':' || b, chr(10) ORDER BY page)) AS basis FROM (
   SELECT p.paper_id, p.page, sha256(p.text) AS w, sha256(r.b) AS b FROM page_text p JOIN (
-    SELECT paper_id, page, string_agg(x0::BIGINT || ',' || y0::BIGINT || ',' || x1::BIGINT || ',' || y1::BIGINT || ',' || label, ';' ORDER BY ord) AS b FROM regions GROUP BY 1, 2) r
+    SELECT paper_id, page, string_agg(x0::DOUBLE || ',' || y0::DOUBLE || ',' || x1::DOUBLE || ',' || y1::DOUBLE || ',' || label, ';' ORDER BY ord) AS b FROM regions GROUP BY 1, 2) r
   ON r.paper_id = p.paper_id AND r.page = p.page) GROUP BY 1""", ("page_text",))
 def _(lib):
     return A.anchor_basis(lib.page_text(), lib.regions())
@@ -242,7 +242,7 @@ def found(lib):
     return lib.shared("found", lambda: S.find_in_papers(searches(lib), lib.page_text(), lib.sections()[0]))
 
 
-@query("an18_find_in_papers", "SELECT paper_id, page, hit, nth, start FROM find_hits WHERE hit < 200", ("find_hits",))
+@query("an18_find_in_papers", "SELECT paper_id, page, hit, nth, start FROM find_hits", ("find_hits",))
 def _(lib):
     return found(lib).select("paper_id", "page", "hit", "nth", "start")
 
@@ -252,7 +252,7 @@ def _(lib):
     return found(lib).select("paper_id", "hit", "before", "match", "after", "section_id")
 
 
-@query("wn05_nth_on_page", "SELECT paper_id, hit, nth FROM find_hits WHERE hit < 200", ("find_hits",))
+@query("wn05_nth_on_page", "SELECT paper_id, hit, nth FROM find_hits", ("find_hits",))
 def _(lib):
     return found(lib).select("paper_id", "hit", "nth")
 
