@@ -28,6 +28,8 @@ MAX_PIECES = 1_000_000
 FOLD_BYTES = 512
 #: Texts are handled in blocks of about so many characters; the first row of a block brings the new pieces of all.
 BLOCK_CHARS = 2_000_000
+#: Input splits that a task takes one after another: the more text a task sees, the fewer of its pieces are new.
+SPLITS_PER_TASK = 3
 _LEFT = 1 << 20
 
 
@@ -181,8 +183,14 @@ def _merge_long(tokens: list[int], pairs: dict[int, int]) -> list[int]:
     return [x for x in ids if x is not None]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`docs` with the array<int> column `ids`: the tokens of the whole text, each match of `pattern` encoded separately.
+def scan_tasks(docs: DataFrame) -> int:
+    """Tasks for a plain table scan, `SPLITS_PER_TASK` splits each. (Of a frame with shuffles this would run them.)"""
+    return max(1, -(-docs.rdd.getNumPartitions() // SPLITS_PER_TASK))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", tasks: int | None = None) -> DataFrame:
+    """`docs` with the array<int> column `ids`: the tokens of the whole text, each match of `pattern` encoded separately, in
+    at most `tasks` tasks (`scan_tasks`) if that is given.
 
     `ranks` is a vocabulary of bounded size whose ids are its ranks and which holds every single byte. Long pieces take
     a heap (`FOLD_BYTES`) with the same result. The order of rows inside a task carries state between the steps, so
@@ -190,6 +198,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     docs = docs.drop(ids) if ids in docs.columns else docs
     table = RankMap(ranks)
     kept = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    if tasks:
+        kept = kept.coalesce(tasks)
     columns = docs.columns
     rows = pa.list_(pa.list_(pa.int64()))
 
