@@ -35,7 +35,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, checked by decoding: `round_trip` says whether the bytes came back."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks)
+    texts = docs.select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(texts, ranks, public_tokenizers.PATTERN, tasks=bpe.scan_tasks(texts)), ranks)
     return coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
                         (F.coalesce("text", F.lit("")).cast("binary") == F.col("decoded")).alias("round_trip"))
 
