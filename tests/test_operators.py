@@ -99,6 +99,23 @@ def quotes(spark, *rows):
     return spark.createDataFrame([(1, *r) for r in rows], "paper_id long, q_id string, exact string, prefix string, suffix string, position long, page_hint int")
 
 
+def test_reflow_keeps_unknown_hyphens(spark):
+    docs = spark.createDataFrame([("p", 0, "a state-of-the-\nart way"), ("p", 1, "algo-\nrithms and\nmore")], "paper_id string, k int, text string")
+    words = spark.createDataFrame([("p", "algorithms")], "paper_id string, word string")
+    got = {r.k: r.text for r in S.reflow(docs, words, ["k"]).collect()}
+    assert got == {0: "a state-of-the-art way", 1: "algorithms and more"}
+
+
+def test_marks_over_three_pages_are_found(spark):
+    texts = ["start alpha beta gamma", "delta epsilon zeta eta", "theta iota kappa end"]
+    pages = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "paper_id long, page int, text string")
+    quote = "gamma" + texts[1] + "theta iota"
+    quotes = spark.createDataFrame([(1, "q", quote, "", "", 17, 0, 3), (1, "gone", "nothing like it at all here", "", "", 17, 0, 3)],
+                                   "paper_id long, q_id string, exact string, prefix string, suffix string, position int, page_hint int, span int")
+    found = A.over_pages(quotes, A.page_index(pages), 3).orderBy("page").collect()
+    assert [(r.q_id, texts[r.page][r.start:r.end]) for r in found] == [("q", "gamma"), ("q", texts[1]), ("q", "theta iota")]
+
+
 def test_find_quote(spark):
     text = "one cat sat. two cat sat. three cat sat. four cat sat."
     pages = spark.createDataFrame([(1, 0, text), (1, 1, "nothing of the kind is printed here at all")], "paper_id long, page int, text string")
