@@ -32,6 +32,8 @@ ROWS, BANDS, BITS = 5, 25, 4
 PLANE = 128
 #: Members of a bucket meet directly when there are at most so many pairs across components for each member.
 PAIRS = 8
+#: Rounds of leaders at most; there are 2 ** round of them in a bucket.
+LEVELS = 9
 #: An estimate may be so many standard errors below the threshold.
 SIGMAS = 4.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -171,23 +173,28 @@ def _named(edges: DataFrame) -> DataFrame:
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, comp) of all members of shared buckets that have a link.
 
-    Members of one component need not meet. Rounds of leaders go on as long as they bring down the pairs across components."""
+    Members of one component need not meet, so the largest component of a bucket only answers: the others ask its leaders,
+    and in the end all of it. Rounds of leaders go on as long as they bring down the pairs across components."""
     nodes = members.select("node").distinct()
     labels, links = nodes.withColumn("comp", F.col("node")), []
     most, level, before, last = _most_differing(percent / 100), 0, float("inf"), False
     while not last:
         current = members.join(labels, "node")
-        many = (current.groupBy("band", "comp").agg(F.count("*").alias("m")).groupBy("band").agg(F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("squares"))
-                .select("size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("open")).where(F.col("open") > F.col("size") * PAIRS).agg(F.sum("open")).head()[0])
-        last = not many or many > before * 0.7
+        parts = current.groupBy("band", "comp").agg(F.count("*").alias("m")).groupBy("band").agg(
+            F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.max(F.struct("m", "comp"))["comp"].alias("main"))
+        parts = stored(parts.select("band", "main", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("open")).where("open > 0"), "buckets")
+        many = parts.where(F.col("open") > F.col("size") * PAIRS).agg(F.sum("open")).head()[0]
+        last = not many or level >= LEVELS or many > before * 0.97
         before = many
+        here = current.join(parts.select("band", "main"), "band")
         if not last:
-            lead = current.groupBy("band", F.col("rank").bitwiseAND((1 << level) - 1).alias("sub")).agg(F.min(F.struct("rank", "node", "comp", "bits")).alias("l"))
-            pairs = current.alias("m").join(lead.alias("l"), F.expr(f"m.band = l.band AND m.comp <> l.l.comp AND {_differing('m.bits', 'l.l.bits')} <= {most}"))
+            lead = here.groupBy("band", F.col("rank").bitwiseAND((1 << level) - 1).alias("sub")).agg(F.min(F.struct("rank", "node", "comp", "bits")).alias("l"))
+            pairs = here.where("comp <> main").alias("m").join(lead.alias("l"), F.expr(f"m.band = l.band AND m.comp <> l.l.comp AND {_differing('m.bits', 'l.l.bits')} <= {most}"))
             pairs = (pairs.select(F.col("m.node").alias("a"), F.col("l.l.node").alias("b"), F.expr(_differing("m.bits", "l.l.bits")).alias("far"))
                      .groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")))
         else:
-            pairs = current.alias("m").join(current.alias("o"), F.expr(f"m.band = o.band AND m.node < o.node AND m.comp <> o.comp AND {_differing('m.bits', 'o.bits')} <= {most}"))
+            apart = F.expr(f"m.band = o.band AND m.comp <> o.comp AND (o.comp = o.main OR m.node < o.node) AND {_differing('m.bits', 'o.bits')} <= {most}")
+            pairs = here.where("comp <> main").alias("m").join(here.alias("o"), apart)
             pairs = pairs.select(F.col("m.node").alias("a"), F.col("o.node").alias("b")).distinct()
         links.append(stored(_confirmed(pairs, sets, percent), "links"))
         if not last:
