@@ -83,6 +83,7 @@ def describe_events(events: DataFrame, tags: DataFrame | None = None) -> DataFra
         say("Tagged ", thing, " ", F.when(F.size(called) > 0, F.array_join(called, ", ")).otherwise("with a deleted tag")))
     views = F.when(d("view") == "paper", "the paper").when(d("view") == "board", "the board").when(d("view") == "both", "the paper and board side by side").otherwise("another view")
     k = F.concat_ws(":", "kind", "action")
+    # The sentence of each kind and action.
     said = {
         "build:highlight": say("Highlighted ", quoted(text)), "build:cut": F.when(text != "", say("Cut ", quoted(text), " onto the board")).otherwise("Cut a piece onto the board"),
         "build:note": F.when(text != "", say("Wrote a note: ", quoted(text))).otherwise("Emptied a note"), "build:connect": F.lit("Connected two things"),
