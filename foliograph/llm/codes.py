@@ -12,6 +12,7 @@ come first. An empty table gives an empty table of segments.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ CHUNK = 8
 BLOCK = 512
 #: A segment is closed by the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 18
-#: Chunks between spaces whose ids a task remembers before it starts afresh.
+#: Chunks between spaces whose ids a worker remembers before it starts afresh.
 MAX_CHUNKS = 400_000
 SCHEMA = "part int, segment int, local_start bigint, ids array<{id}>, ends array<bigint>, levels array<struct<chunks: binary, more: binary, ranks: binary>>"
 
@@ -82,15 +83,27 @@ class Codes:
         return out
 
 
+_ENCODERS: dict[str, _Encoder] = {}
+
+
 class _Encoder:
     """Ids of whole texts. No token spans a space, so the ids of a text are those of its stretches between spaces and line
-    ends, each given to the library once per task while it is remembered."""
+    ends, each given to the library once per worker while it is remembered."""
 
     def __init__(self, tokenizer: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_str(tokenizer), {}
 
+    @classmethod
+    def shared(cls, tokenizer: str) -> _Encoder:
+        """The worker's encoder: kept for its next tasks, for the vocabulary takes long to load."""
+        if tokenizer not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[tokenizer] = cls(tokenizer)
+        return _ENCODERS[tokenizer]
+
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [[c for c in t.replace("\n", " ").split(" ") if c] for t in texts]
         fresh = list({c for chunks in split for c in chunks if c not in self.known})
@@ -112,7 +125,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, id: str = "do
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, number, start = _Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encoder, part, number, start = _Encoder.shared(tokenizer), TaskContext.get().partitionId(), 0, 0
         names, found, size = [], [], 0
 
         def closed() -> pa.RecordBatch:
