@@ -211,3 +211,63 @@ def test_licences_in_order(spark):
     assert got == {1: (2, "MIT", 0), 2: (1, "", 1), 3: (2, "", 2), 4: (2, "MIT CC-BY-NC-4.0", 0), 7: (2, "Proprietary", 0)}
 
 
+
+
+MIT = """Copyright (c) 2020 Some Body
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.
+"""
+BSD = """/*
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice,
+ *    this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+ *
+ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+ */
+"""
+GPL = """{0} This program is free software{1} you can redistribute it and/or modify
+{0} it under the terms of the GNU General Public License as published by
+{0} the Free Software Foundation{2} either version {3} of the License, or
+{0} (at your option) any later version.
+{0}
+{0} This program is distributed in the hope that it will be useful,
+{0} but WITHOUT ANY WARRANTY; without even the implied warranty of
+{0} MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+{0} GNU General Public License for more details.
+"""
+MPL = """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """<!-- Licensed under the Apache License, Version 2.0
+     (the "License"); you may not use this file except in compliance
+     with the License. You may obtain a copy of the License at
+
+     http://www.apache.org/licenses/LICENSE-2.0 -->"""
+
+
+def test_licences_as_published(spark):
+    rows = [(1, MIT, 3, "MIT"), (2, BSD, 4, "BSD-3-Clause"), (3, GPL.format("#", ":", ",", 3), 2, "GPL-3.0-or-later"), (4, GPL.format(";;", ";", ";", 2).replace("\n", "\r\n"), 2, "GPL-2.0-or-later"),
+            (5, MPL, 1, "MPL-2.0"), (6, APACHE, 4, "Apache-2.0"), (7, "dnl All rights\ndnl reserved.", 1, "Proprietary"), (8, "This work is\nlicensed under CC BY-SA 4.0.", 1, "CC-BY-SA-4.0"),
+            (9, "Made here\nReleased under the MIT License\nby us", 1, "MIT")]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(10, "All rights\n\nreserved. We are licensed under the MIT license here."), (11, None)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_sentences, r.licenses) for r in licenses.licenses(docs).collect()}
+    assert got == {r[0]: r[2:] for r in rows}
