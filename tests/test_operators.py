@@ -231,3 +231,31 @@ def test_validate_board_finds_child_before_parent(spark):
     empty_e = spark.createDataFrame([], "paper_id int, edge_id string, from_id string, to_id string")
     empty_h = spark.createDataFrame([], "paper_id int, h_id string")
     assert [(r["id"], r["problem"]) for r in G.validate_board(nodes, empty_e, empty_h).collect()] == [("n-b", "listed before its parent")]
+
+
+def slow_rows(runs):
+    """Each run joins the first row whose last run takes it."""
+    rows = []
+    for run in sorted(runs, key=lambda r: (r[4], r[3])):
+        x0, y0, x1, y1 = run[3:7]
+        for row in rows:
+            a0, b0, a1, b1 = row[-1][3:7]
+            if min(b1, y1) - max(b0, y0) > 0.5 * min(b1 - b0, y1 - y0) and 0 <= x0 - a1 <= 2 * max(row[-1][9], run[9]):
+                row.append(run)
+                break
+        else:
+            rows.append([run])
+    return sorted((r[0][2], " ".join(x[7] for x in sorted(r, key=lambda x: x[3]))) for r in rows)
+
+
+def test_merge_rows_with_interleaved_heights(spark):
+    state = random.Random(7)
+    runs = [(1, 0, 0, 50.0, 10.0, 60.0, 20.0, "A", True, 10.0), (1, 0, 0, 300.0, 10.0, 310.0, 20.0, "B", False, 10.0), (1, 0, 0, 65.0, 10.2, 75.0, 20.2, "C", True, 10.0)]
+    for block in range(1, 9):
+        for n in range(40):
+            x, y = state.randint(0, 60) * 5 + n / 100, state.randint(0, 6) * 11 + state.random() * 3
+            runs.append((1, 0, block, x, y, x + state.randint(5, 25), y + 10, f"w{n}", n % 3 == 0, 10.0))
+    df = spark.createDataFrame(runs, f"paper_id bigint, page int, block bigint, {BOX}, text string, bold boolean, size double")
+    got = [(r.block, r.text) for r in L.merge_rows(df).collect()]
+    assert {t for b, t in got if b == 0} == {"A C", "B"}
+    assert sorted(got) == [x for b in range(9) for x in slow_rows([r for r in runs if r[2] == b])]
