@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import bpe, codes, decontaminate, licenses, linededup, minhash, pii, quality_model, quality_rules, sharding
+from foliograph.llm import bpe, codes, curve, decontaminate, divergence, licenses, linededup, minhash, piecetable, pii, quality_model, quality_rules, sharding
 from foliograph.llm.store import stored
 
 QUERIES, ORACLES = {}, {}
@@ -139,3 +139,49 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+e AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+  ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END AS output FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o""")
+def op11_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and the text rebuilt from that."""
+    made = piecetable.fim(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shown = made.withColumn("output", piecetable.rendered(F.col("pieces"), F.col("text")))
+    both = piecetable.hashed(shown.withColumn("back", piecetable.restored(F.col("output"), F.col("form"))), {"output_sha256": ("pieces", "text"), "restored_sha256": ("back", "output")})
+    return both.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query("""
+WITH docs AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+words AS (SELECT id, lang, source, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS item
+  FROM (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS raw FROM docs)),
+kept AS (SELECT lang, item FROM words GROUP BY lang, item HAVING count(DISTINCT id) >= 30),
+counts AS (SELECT lang, source, item, count(*) AS c FROM words JOIN kept USING (lang, item) GROUP BY lang, source, item),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (SELECT g.lang, g.source, k.item, coalesce(c.c, 0) AS c FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.item = k.item),
+whole AS (SELECT lang, item, sum(c) AS c FROM cells GROUP BY lang, item),
+priced AS (SELECT lang, source, item, c, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER w + 5 * count(*) OVER w)::HUGEINT AS p FROM cells WINDOW w AS (PARTITION BY lang, source)),
+base AS (SELECT lang, item, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER w + 5 * count(*) OVER w)::HUGEINT AS q FROM whole WINDOW w AS (PARTITION BY lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM priced a JOIN priced b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = o.source),
+terms AS (SELECT lang, source, 'term' AS part, item, (p - q)::BIGINT AS value FROM priced JOIN base USING (lang, item) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50""")
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of a language, and the terms that each uses most beyond its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in full sequences of 2048 ids, neighbours on a Hilbert curve together."""
+    tokenizer = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    return curve.digests(curve.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, end_id=1))
