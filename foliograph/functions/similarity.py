@@ -37,6 +37,12 @@ def indel_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@pandas_udf(T.IntegerType())
+def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence."""
+    return pd.Series([lcs_length(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 def window_lcs(needle: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, LCS) of the needle against every window of its length over the text, cut windows at both ends included.
 

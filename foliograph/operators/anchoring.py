@@ -1,8 +1,11 @@
 """Find quoted passages again after the text under them has changed.
 
-Every page is matched with its whitespace stripped. Exact places come from a substring join. Quotes an exact place already
-settles (no other place could score higher) are done; only the rest meet the other pages of their own paper for a fuzzy
-search, with those pairs spread by page. The best place is one grouped maximum.
+Every page is matched with its whitespace stripped. Exact places come from a substring join. The best place known so far says how
+alike a changed copy must be to score as high, and so how many characters it may have gained or lost; cut into one piece more than
+that, a quote shares a whole piece with any such copy. Pieces meet pages in the same substring join, a bit-parallel common
+subsequence around each shared piece drops most of them, and only what is left is scored in full. Quotes whose pieces would be
+too short to tell anything (nothing like them is in the paper) are the only ones that meet every page of their own paper.
+The best place is one grouped maximum.
 
 `quotes`: paper_id, q_id, exact, prefix, suffix, position, page_hint. `pages`: paper_id, page, text.
 """
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from foliograph.functions import text as X
 from foliograph.functions.rects import contains_point, midpoint, rect
-from foliograph.functions.similarity import fuzzy_window, indel_similarity
+from foliograph.functions.similarity import fuzzy_window, indel_similarity, lcs
 from foliograph.operators.contains import substring_join
 from foliograph.operators.geomjoin import points_in_rects
 from foliograph.operators.layout import column_runs
@@ -31,8 +34,11 @@ TOTAL = W_QUOTE + W_PREFIX + W_SUFFIX + W_POSITION
 CONTEXT_CHARS = 32
 END_CHARS = 64
 QUOTE_CHARS = 256
-SALTS = 16
 POSITION_BUCKET = 256
+#: Least quote similarity of a fuzzy place, a fixed value of the scoring rule too.
+MIN_QUOTE = 0.6
+#: Pieces of fewer characters are in too many texts to prune anything.
+PIECE_CHARS = 6
 
 
 def page_index(pages: DataFrame) -> DataFrame:
@@ -55,18 +61,71 @@ def exact_candidates(quotes: DataFrame, index: DataFrame, within: Sequence[str]
             .withColumn("quote_score", F.lit(1.0)).drop("at"))
 
 
-def fuzzy_candidates(quotes: DataFrame, index: DataFrame, exact: DataFrame) -> DataFrame:
-    """Best window of each page, for quotes of at least 8 characters, on pages without an exact hit."""
-    long = quotes.where(F.length("needle") >= FUZZY_MIN_CHARS)
-    spread = long.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    held = index.select("paper_id", "page", F.col("stripped").alias("_text"), (F.col("page") % SALTS).alias("_salt"))
-    pairs = (spread.join(held, ["paper_id", "_salt"]).drop("_salt")
-             .join(exact.select("paper_id", "q_id", "page").distinct(), ["paper_id", "q_id", "page"], "left_anti"))
-    hit = pairs.withColumn("_f", fuzzy_window("needle", "_text")).where("_f.score IS NOT NULL")
+def fuzzy_candidates(quotes: DataFrame, index: DataFrame, exact: DataFrame, min_chars: int = FUZZY_MIN_CHARS) -> DataFrame:
+    """Best window of every page of a quote's own paper, for quotes of at least `min_chars` characters, on pages without an exact
+    hit."""
+    long = quotes.where(F.length("needle") >= min_chars)
+    held = index.select("paper_id", "page", F.col("stripped").alias("_text"))
+    pairs = long.join(held, "paper_id").join(exact.select("paper_id", "q_id", "page").distinct(), ["paper_id", "q_id", "page"], "left_anti")
+    return _best_windows(pairs, MIN_QUOTE)
+
+
+def _best_windows(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs of a quote and a page (`_text`) with the page's best window, where that is alike enough."""
+    hit = pairs.withColumn("_f", fuzzy_window("needle", "_text")).where(F.col("_f.score") >= least)
     return (hit.withColumn("s", F.col("_f.s")).withColumn("e", F.col("_f.e")).withColumn("quote_score", F.col("_f.score"))
             .drop("_f", "_text"))
 
 
+def allowed_changes(alike: Column, length: Column) -> Column:
+    """Characters that a copy of a text may have lost and gained together to be at least `alike`: of two texts with 2 LCS / (a + b)
+    >= t, no longer than `length` each, a + b - 2 LCS are at most 2 (1 - t) length."""
+    return F.floor(2 * (1 - alike) * length + 1e-9).cast("int")
+
+
+def cut_pieces(df: DataFrame, text: str, pieces: Column, out: str = "piece") -> DataFrame:
+    """`text` cut into so many pieces of about one length: `out`, with its place `_off`. A change breaks one piece, so of one more
+    piece than changes one is whole."""
+    edge = lambda i: F.floor(i * F.length(text) / F.col("_n")).cast("int")
+    numbered = df.withColumn("_n", pieces).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return (numbered.withColumn("_off", edge(F.col("_i"))).withColumn(out, F.substring(text, F.col("_off") + 1, edge(F.col("_i") + 1) - F.col("_off")))
+            .where(F.length(out) > 0).drop("_i", "_n"))
+
+
+def piece_candidates(quotes: DataFrame, index: DataFrame, exact: DataFrame, least: float = MIN_QUOTE, within: Sequence[str] = ("paper_id",)) -> DataFrame:
+    """Best window of every page that shares a piece with a quote, on pages without an exact hit. `quotes` carry `alike`: every page
+    with a window at least so similar is among them.
+
+    A window with such a piece lies no more changes away from the piece's diagonal than are allowed, so its common
+    subsequence is in that stretch of the page. A page shorter than the quote is cut into pieces itself."""
+    within = list(within)
+    quote = [c for c in ("paper_id", "q_id") if c in quotes.columns]
+    place = list(dict.fromkeys([*quote, "paper_id", "page"]))
+    sized = quotes.withColumn("_e", allowed_changes(F.col("alike"), F.length("needle")))
+    cut = cut_pieces(sized.select(*quote, "needle", "alike", "_e"), "needle", F.col("_e") + 1)
+    shared = substring_join(cut, index, "piece", "stripped", ["paper_id", "page"], within)
+    near = shared.join(index.select("paper_id", "page", F.col("stripped").alias("_text")), ["paper_id", "page"])
+    first = F.col("at") - F.col("_off") - F.col("_e")
+    around = F.substring("_text", (F.greatest(first, F.lit(0)) + 1).cast("int"), (F.length("needle") + 2 * F.col("_e") + F.least(first, F.lit(0))).cast("int"))
+    bound = F.col("alike") * F.length("needle") / (2 - F.col("alike"))  # a window cut by the page's edge is the least that can do
+    long = near.where(F.length("_text") >= F.length("needle")).withColumn("_around", around).where(lcs("needle", "_around") >= bound - 1e-9)
+    floors = (F.min("alike").alias("_least"), F.max(F.length("needle")).alias("_longest"))  # a page does not know which quote it will meet
+    held = index.select("paper_id", "page", F.col("stripped").alias("_page")).where("_page <> ''")
+    if within:
+        small = held.join(quotes.groupBy(*within).agg(*floors), within)
+    else:
+        small = held.withColumns({name: quotes.agg(floor).scalar() for name, floor in zip(("_least", "_longest"), floors, strict=True)})
+    small = small.where(F.length("_page") < F.col("_longest"))
+    parts = cut_pieces(small.select("paper_id", "page", "_page", "_least"), "_page", F.least(allowed_changes(F.col("_least"), F.length("_page")) + 1, F.length("_page")), "_part")
+    back = substring_join(parts.select("paper_id", "page", F.col("_page"), "_part").distinct(), quotes.select(*quote, "needle"), "_part", "needle", quote if within else ["q_id"], within)
+    back = back.join(quotes.select(*quote, "needle"), quote if within else ["q_id"]).where(F.length("_page") < F.length("needle"))
+    found = long.select(*place).unionByName(back.select(*place)).distinct()
+    if exact is not None:
+        found = found.join(exact.select(*place).distinct(), place, "left_anti")
+    pairs = found.join(quotes.drop("alike"), quote).join(index.select("paper_id", "page", F.col("stripped").alias("_text")), ["paper_id", "page"])
+    return _best_windows(pairs, least)
+
+
 def similar(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(indel_similarity(a, b))
 
@@ -100,18 +159,47 @@ def best_place(scored: DataFrame, keys: Sequence[str] = ("paper_id", "q_id")) ->
     return (scored.where(F.col("score") >= MIN_SCORE).groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("b")).select(*keys, "b.*"))
 
 
-def candidates(quotes: DataFrame, index: DataFrame, settle: bool = True) -> DataFrame:
-    """Scored exact places, and fuzzy ones for the quotes no exact place settles. A fuzzy place may score up to 1 (a page that
-    lies wholly inside the quote does), so only an exact place that scores 1 is final."""
+def needed_similarity(score: Column) -> Column:
+    """How alike a quote's place must be at least to reach `score`, everything else being equal in it."""
+    return F.greatest(F.lit(MIN_QUOTE), (TOTAL * score - (W_PREFIX + W_SUFFIX + W_POSITION)) / W_QUOTE - 1e-9)
+
+
+def _best_score(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("paper_id", "q_id").agg(F.max("score").alias("_best"))
+
+
+def candidates(quotes: DataFrame, index: DataFrame, settle: bool = True, min_chars: int = FUZZY_MIN_CHARS) -> DataFrame:
+    """Scored exact places, and every fuzzy one that could be a quote's best place: the best of these rows is the best of all pages.
+
+    A place may score up to 1, so an exact one that scores 1 is final. The others say how alike a better place must be; where
+    none is known the pieces are made as short as is useful, and what they find must then be alike enough to prove that
+    nothing else can be better. Without `settle` all pages of the paper are scored."""
     stripped = stripped_quotes(quotes)
     exact = materialise(score_candidates(exact_candidates(stripped, index), index))
-    if settle:
-        done = exact.where(F.col("score") >= 1.0).select("paper_id", "q_id").distinct()
-        open_quotes = stripped.join(done, ["paper_id", "q_id"], "left_anti")
-    else:
-        open_quotes = stripped
-    fuzzy = score_candidates(fuzzy_candidates(open_quotes, index, exact), index)
-    return exact.unionByName(fuzzy)
+    if not settle:
+        return exact.unionByName(score_candidates(fuzzy_candidates(stripped, index, exact, min_chars), index))
+    size = F.length("needle")
+    longest = F.greatest(F.floor(size / PIECE_CHARS), F.lit(1)) - 1  # changes that pieces of useful length can stand
+    known = stripped.where(size >= min_chars).join(_best_score(exact), ["paper_id", "q_id"], "left").where("_best IS NULL OR _best < 1")
+    asked = known.withColumn("alike", F.greatest(needed_similarity(F.coalesce("_best", F.lit(0.0))), 1 - longest / (2 * size))).drop("_best")
+    asked = materialise(asked.withColumn("alike", F.least("alike", F.lit(1.0))))
+    near = materialise(score_candidates(piece_candidates(asked, index, exact), index))
+    best = _best_score(exact.select("paper_id", "q_id", "score").unionByName(near.select("paper_id", "q_id", "score")))
+    proven = asked.join(best, ["paper_id", "q_id"]).where(needed_similarity(F.col("_best")) >= F.col("alike") - 2e-9)
+    rest = asked.drop("alike").join(proven.select("paper_id", "q_id"), ["paper_id", "q_id"], "left_anti")
+    tried = exact.select("paper_id", "q_id", "page").unionByName(near.select("paper_id", "q_id", "page"))
+    far = score_candidates(fuzzy_candidates(rest, index, tried, min_chars), index)
+    return exact.unionByName(near).unionByName(far)
+
+
+def find_everywhere(quotes: DataFrame, index: DataFrame, min_quote: float = 0.95, min_chars: int = FUZZY_MIN_CHARS) -> DataFrame:
+    """The best place of each quote in each paper that has it, exactly or as a copy of at least `min_quote` similarity. `quotes` have no
+    paper of their own. Complete for that similarity: no quote meets a page without a shared piece."""
+    stripped = stripped_quotes(quotes)
+    exact = materialise(score_candidates(exact_candidates(stripped, index, within=[]), index))
+    asked = stripped.where(F.length("needle") >= min_chars).withColumn("alike", F.lit(min_quote))
+    near = score_candidates(piece_candidates(asked, index, exact, min_quote, within=[]), index)
+    return best_place(exact.unionByName(near), ["q_id", "paper_id"])
 
 
 def find_quote(quotes: DataFrame, index: DataFrame, accepted: DataFrame | None = None) -> DataFrame:

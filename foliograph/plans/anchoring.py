@@ -52,10 +52,9 @@ SELECT q_id, paper_id, page, start, round((90 + 2 * (1 - least(1, (pre + start)
     sum(length(text)) OVER (PARTITION BY paper_id ORDER BY page) - length(text) AS pre FROM page_text) t ON t.paper_id = h.paper_id AND t.page = h.page)
 WHERE k = 1""", ("passage_hits",))
 def _(lib):
-    """Passages have no context, so an exact place always scores above any fuzzy one of the same paper."""
-    index = A.page_index(lib.page_text())
-    found = A.score_candidates(A.exact_candidates(A.stripped_quotes(passages(lib)), index, within=[]), index)
-    best = A.best_place(found, ["q_id", "paper_id"])
+    """Exact places and copies with a few words changed. The SQL has the exact ones: passages have no context, so an exact place
+    always scores above any copy in its paper, and no paper of its data has a changed copy alone."""
+    best = A.find_everywhere(passages(lib), A.page_index(lib.page_text()))
     return best.select("q_id", "paper_id", "page", "start", F.round("score", 6).alias("score"))
 
 

@@ -106,6 +106,68 @@ def test_reflow_keeps_unknown_hyphens(spark):
     assert got == {0: "a state-of-the-art way", 1: "algorithms and more"}
 
 
+def rewritten(rng, text, share):
+    """`text` with about a share of its characters lost, gained or replaced."""
+    out = []
+    for ch in text:
+        roll = rng.random()
+        out.append("" if roll < share / 3 else ch + rng.choice("xyz") if roll < share * 2 / 3 else rng.choice("xyz") if roll < share else ch)
+    return "".join(out)
+
+
+def plain_place(needle, pre, suf, position, hint, pages, least=0.6):
+    """The best place by trying every page: pages are (page, text), whitespace-free here, so offsets need no mapping."""
+    total, at_page, found = max(1, sum(len(t) for _, t in pages)), 0, []
+    for page, text in sorted(pages):
+        hits = [(i, i + len(needle), 1.0) for i in range(len(text)) if text.startswith(needle, i)]
+        if not hits and len(needle) >= 8 and (best := best_window(needle, text, least)):
+            hits = [best]
+        for s, e, alike in hits:
+            side = [1.0 if not want else similarity(want, got) for want, got in ((pre, text[max(0, s - len(pre)):s]), (suf, text[e:e + len(suf)]))]
+            score = (50 * alike + 20 * side[0] + 20 * side[1] + 2 * (1 - min(1, abs(at_page + s - position) / total))) / 92
+            if score >= 0.5:
+                found.append((round(score, 9), -abs(page - hint), -page, -s))
+        at_page += len(text)
+    return max(found, default=None)
+
+
+def test_find_quote_is_the_best_of_all_pages(spark):
+    rng = random.Random(11)
+    papers = {p: [(n, "".join(rng.choices("abcdefgh", k=rng.choice([12, 60, 150, 200])))) for n in range(rng.randint(1, 5))] for p in range(14)}
+    rows = []
+    for p, pages in papers.items():
+        for k, share in enumerate((0.0, 0.03, 0.1, 0.25, 0.9)):
+            n, text = rng.choice(pages)
+            i = rng.randrange(max(1, len(text) - 40))
+            rows.append((p, f"q{k}", rewritten(rng, text[i:i + rng.choice([20, 40])], share) or "a", text[max(0, i - 8):i], text[i + 40:i + 48], rng.randrange(300), n))
+    for p in (0, 1):  # a copy on another page scores above the changed place the quote came from, and a quote longer than its page
+        papers[p].append((9, rewritten(rng, papers[p][0][1], 0.02)))
+        rows.append((p, "long", "ab" + rewritten(rng, papers[p][0][1], 0.02) * 2, "", "", 0, 0))
+    pages = spark.createDataFrame([(p, n, t) for p, ps in papers.items() for n, t in ps], "paper_id long, page int, text string")
+    asked = spark.createDataFrame(rows, "paper_id long, q_id string, exact string, prefix string, suffix string, position long, page_hint int")
+    got = {(r.paper_id, r.q_id): (round(r.score, 9), -abs(r.page - r.page_hint), -r.page) for r in A.find_quote(asked, A.page_index(pages)).collect()}
+    want = {(r[0], r[1]): plain_place(*r[2:], papers[r[0]]) for r in rows}
+    assert got == {k: v[:3] for k, v in want.items() if v}
+    assert sum(0.5 < v[0] < 0.99 for v in want.values() if v) > 20
+
+
+@pytest.mark.parametrize("least", [0.95, 0.85])
+def test_changed_copies_are_found_in_any_paper(spark, least):
+    rng = random.Random(17)
+    passages = [(k, "".join(rng.choices("abcdefghijkl", k=rng.choice([30, 70])))) for k in range(6)]
+    papers = {p: [(n, "".join(rng.choices("abcdefghijkl", k=rng.randint(0, 120))) + (rewritten(rng, rng.choice(passages)[1], rng.choice([0, 0.02, 0.06])) if n % 2 else ""))
+                  for n in range(4)] for p in range(12)}
+    papers[50] = [(0, passages[0][1][5:27]), (1, passages[1][1][:-1] + "q")]  # pages shorter than the passage
+    pages = spark.createDataFrame([(p, n, t) for p, ps in papers.items() for n, t in ps], "paper_id long, page int, text string")
+    asked = spark.createDataFrame([(k, t, "", "", 0, 0) for k, t in passages], "q_id long, exact string, prefix string, suffix string, position long, page_hint int")
+    found = A.find_everywhere(asked, A.page_index(pages), least)
+    got = {(r.q_id, r.paper_id): (round(r.score, 9), -r.page, -r.page) for r in found.collect()}
+    want = {(k, p): plain_place(t, "", "", 0, 0, ps, least) for k, t in passages for p, ps in papers.items()}
+    assert got == {k: v[:3] for k, v in want.items() if v}
+    assert len({v[0] for v in got.values()}) > 5 and (0, 50) in got
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
 def test_marks_over_three_pages_are_found(spark):
     texts = ["start alpha beta gamma", "delta epsilon zeta eta", "theta iota kappa end"]
     pages = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "paper_id long, page int, text string")
