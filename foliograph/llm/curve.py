@@ -33,13 +33,14 @@ UNIT = 1 << 16
 _DIRECTIONS = np.random.default_rng(20251).standard_normal((BUCKETS, DIMS))
 
 
-def projected(ids: np.ndarray) -> np.ndarray:
-    """The hashed vector of token ids (square roots of counts, length 1) along the fixed directions, in `UNIT`s."""
-    if not len(ids):
-        return np.zeros(DIMS, np.int64)
+def projected(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The hashed vectors of documents (square roots of counts, length 1) along the fixed directions, in `UNIT`s. `ids` are those of
+    all documents one after another, `sizes` of each how many."""
     buckets = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
-    vector = np.sqrt(np.bincount(buckets, minlength=BUCKETS))
-    return np.rint(vector @ _DIRECTIONS / np.linalg.norm(vector) * UNIT).astype(np.int64)
+    cells = np.repeat(np.arange(len(sizes)) * BUCKETS, sizes) + buckets
+    vectors = np.sqrt(np.bincount(cells, minlength=len(sizes) * BUCKETS)).reshape(len(sizes), BUCKETS)
+    norms = np.sqrt(np.maximum(sizes, 1))[:, None]  # the squares of the vector add up to the number of ids
+    return np.rint(vectors @ _DIRECTIONS / norms * UNIT).astype(np.int64)
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -81,14 +82,16 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id", te
         encoder, row = Encoder.shared(tokenizer), TaskContext.get().partitionId() << 40
         narrow = max(encoder.size, end_id + 1) <= 1 << 16
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                found = [encoder.of(value or "") for value in part.column("_text").to_pylist()]
-                raw = [np.append(ids, np.uint32(end_id)).astype("<u2" if narrow else "<u4").tobytes() for ids in found]
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                ids, sizes = encoder.batch([value or "" for value in part.column("_text").to_pylist()])
+                after = np.cumsum(sizes)
+                raw = np.insert(ids, after, end_id).astype("<u2" if narrow else "<u4").tobytes()
+                edges = (after + np.arange(1, len(sizes) + 1)) * (2 if narrow else 4)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(row, row + len(found)), pa.int64()), part.column("_id"), pa.array([len(ids) + 1 for ids in found], pa.int64()), pa.array(raw, pa.binary()),
-                     pa.array([projected(ids) for ids in found], pa.list_(pa.int64()))], names=["row", "_id", "n", "ids", "at"])
-                row += len(found)
+                    [pa.array(range(row, row + len(sizes)), pa.int64()), part.column("_id"), pa.array(sizes + 1), pa.array([raw[a:b] for a, b in zip([0, *edges[:-1]], edges, strict=True)], pa.binary()),
+                     pa.FixedSizeListArray.from_arrays(pa.array(projected(ids, sizes).ravel()), DIMS).cast(pa.list_(pa.int64()))], names=["row", "_id", "n", "ids", "at"])
+                row += len(sizes)
 
     return docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).mapInArrow(encode, f"row bigint, _id {kind}, n bigint, ids binary, at array<bigint>")
 
