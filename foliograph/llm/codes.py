@@ -12,7 +12,6 @@ come first. An empty table gives an empty table of segments.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.llm.store import new_path
+from foliograph.llm.wordbpe import Encoder
 
 CHUNK = 8
 BLOCK = 512
 #: A segment is closed by the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 18
-#: Chunks between spaces whose ids a worker remembers before it starts afresh.
-MAX_CHUNKS = 400_000
 SCHEMA = "part int, segment int, local_start bigint, ids array<{id}>, ends array<bigint>, levels array<struct<chunks: binary, more: binary, ranks: binary>>"
 
 
@@ -83,41 +81,6 @@ class Codes:
         return out
 
 
-_ENCODERS: dict[str, _Encoder] = {}
-
-
-class _Encoder:
-    """Ids of whole texts. No token spans a space, so the ids of a text are those of its stretches between spaces and line
-    ends, each given to the library once per worker while it is remembered."""
-
-    def __init__(self, tokenizer: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_str(tokenizer), {}
-
-    @classmethod
-    def shared(cls, tokenizer: str) -> _Encoder:
-        """The worker's encoder: kept for its next tasks, for the vocabulary takes long to load."""
-        if tokenizer not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[tokenizer] = cls(tokenizer)
-        return _ENCODERS[tokenizer]
-
-    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [[c for c in t.replace("\n", " ").split(" ") if c] for t in texts]
-        fresh = list({c for chunks in split for c in chunks if c not in self.known})
-        if len(self.known) + len(fresh) > MAX_CHUNKS:
-            self.known.clear()
-            fresh = list({c for chunks in split for c in chunks})
-        for start in range(0, len(fresh), 2000):
-            part = fresh[start:start + 2000]
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        get = self.known.__getitem__
-        for chunks in split:
-            yield np.frombuffer(b"".join(map(get, chunks)), "<u4")
-
-
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, id: str = "doc_id", text: str = "text") -> None:
     """Encodes every document by a tokenizers file (its content), appends `end_id` and writes the segments to `path`."""
     kind = docs.schema[id].dataType.simpleString()
@@ -125,7 +88,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, id: str = "do
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, number, start = _Encoder.shared(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encoder, part, number, start = Encoder.shared(tokenizer), TaskContext.get().partitionId(), 0, 0
         names, found, size = [], [], 0
 
         def closed() -> pa.RecordBatch:
@@ -136,10 +99,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, id: str = "do
 
         for batch in batches:
             id_type = batch.schema.field("_id").type
-            for first in range(0, batch.num_rows, 256):
-                rows = batch.slice(first, 256)
-                for name, ids in zip(rows.column("_id").to_pylist(), encoder.of(rows.column("_text").to_pylist()), strict=True):
-                    names.append(name), found.append(np.append(ids, np.uint32(end_id)))
+            for first in range(0, batch.num_rows, 1024):
+                rows = batch.slice(first, 1024)
+                ids, sizes = encoder.batch(rows.column("_text").to_pylist())
+                for name, own in zip(rows.column("_id").to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                    names.append(name), found.append(np.append(own, np.uint32(end_id)))
                     size += len(found[-1])
                     if size >= SEGMENT_IDS:
                         yield closed()
