@@ -82,8 +82,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id", te
         encoder, row = Encoder.shared(tokenizer), TaskContext.get().partitionId() << 40
         narrow = max(encoder.size, end_id + 1) <= 1 << 16
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
                 ids, sizes = encoder.batch([value or "" for value in part.column("_text").to_pylist()])
                 after = np.cumsum(sizes)
                 raw = np.insert(ids, after, end_id).astype("<u2" if narrow else "<u4").tobytes()

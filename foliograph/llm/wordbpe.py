@@ -17,10 +17,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-#: Pieces a worker remembers before it starts afresh, about 40 bytes each.
-MAX_PIECES = 3_000_000
+#: Pieces a worker remembers before it starts afresh, about 25 bytes each.
+MAX_PIECES = 1_000_000
 #: A text is handled by so many characters, up to the next space; so are many short texts at once.
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 _EDGE = 0x250
 
 # The normaliser and the splitting rule of the file that pieces are cut by here.
@@ -29,7 +29,7 @@ _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _WORD_END = "</w>"
 _SPACES = {*range(0x9, 0xE), 0x20, 0x85, 0xA0}
 
-_SPACE, _LETTER, _NUMBER, _MARK = range(4)
+_SPACE, _LETTER, _NUMBER, _MARK, _BORDER = range(5)
 _SHARED: dict[str, Encoder] = {}
 
 
@@ -38,9 +38,9 @@ def _kind(c: int) -> int:
     return _SPACE if c in _SPACES else _LETTER if category == "L" else _NUMBER if category == "N" else _MARK
 
 
-_KINDS = np.array([_kind(c) for c in range(_EDGE)], np.uint8)
+_KINDS = np.array([_kind(c) for c in range(_EDGE)] + [_BORDER], np.uint8)
 _FACTOR = 0x9E3779B97F4A7C15
-_CODES = np.random.default_rng(20252).integers(1, 1 << 63, _EDGE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CODES = np.random.default_rng(20252).integers(1, 1 << 63, _EDGE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _byte_characters() -> dict[int, str]:
@@ -86,32 +86,47 @@ def pieces(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[words], ends[words]
 
 
-class _Known:
-    """Pieces by hash: sorted hashes, and the ids of each piece in one array."""
+class Hasher:
+    """64-bit hashes of stretches of characters below U+0250 and a little above: sums of the characters' numbers times rising powers,
+    shifted to their own start."""
 
     def __init__(self) -> None:
-        self.hashes, self.which = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def of(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(self.powers) <= len(codes):
+            factor, back = np.full(len(codes), _FACTOR, np.uint64), np.full(len(codes), pow(_FACTOR, -1, 1 << 64), np.uint64)
+            self.powers, self.inverses = (np.concatenate([np.ones(1, np.uint64), np.cumprod(x)]) for x in (factor, back))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[codes] * self.powers[:len(codes)])])
+        h = (sums[ends] - sums[starts]) * self.inverses[starts]
+        h = (h ^ (ends - starts).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
+
+
+class _Known:
+    """Pieces by ascending hash, and the ids of each piece in one array."""
+
+    def __init__(self, kind: type) -> None:
+        self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.flat, self.used = np.zeros(1 << 16, kind), 0
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Numbers of the pieces with these ascending hashes, -1 for unknown ones."""
+        """Places of the pieces with these ascending hashes, -1 for unknown ones; they hold until the next `add`."""
         if not len(self.hashes):
             return np.full(len(wanted), -1)
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == wanted, self.which[at], -1)
+        return np.where(self.hashes[at] == wanted, at, -1)
 
     def add(self, hashes: np.ndarray, ids: Sequence[list[int]]) -> None:
-        sizes = np.array([len(x) for x in ids], np.int64)
+        sizes = np.array([len(x) for x in ids], np.uint32)
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) // 2, self.flat.dtype)])
         self.flat[self.used:self.used + total] = [x for one in ids for x in one]
         at = np.searchsorted(self.hashes, hashes)
-        self.which = np.insert(self.which, at, np.arange(len(self.starts), len(self.starts) + len(ids)))
         self.hashes = np.insert(self.hashes, at, hashes)
-        self.starts = np.append(self.starts, self.used + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
+        self.starts = np.insert(self.starts, at, (self.used + np.cumsum(sizes) - sizes).astype(np.uint32))
+        self.sizes = np.insert(self.sizes, at, sizes)
         self.used += total
 
 
@@ -123,14 +138,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         plan = json.loads(tokenizer)
-        self.tokenizer, self.known = Tokenizer.from_str(tokenizer), _Known()
+        self.tokenizer = Tokenizer.from_str(tokenizer)
+        del plan["model"]["vocab"], plan["model"]["merges"]
         splits = (plan.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.cuts = ((plan.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and splits[0].get("pattern") == {"Regex": _SPLIT}
                      and splits[0].get("behavior") == "Removed" and plan["model"].get("end_of_word_suffix") == _WORD_END and not plan["model"].get("dropout"))
         self.added = [t["content"] for t in plan.get("added_tokens", [])]
         self.foreign, self.shown = _foreign(), _byte_characters()
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        self.powers = self.inverses = np.ones(1, np.uint64)
+        self.hasher, self.kind = Hasher(), np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.known = _Known(self.kind)
 
     @classmethod
     def shared(cls, tokenizer: str) -> Encoder:
@@ -148,16 +165,6 @@ class Encoder:
         plain = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.shown)
         return [t.id for t in self.tokenizer.model.tokenize(plain)]
 
-    def _hashes(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each piece: a sum of its characters' numbers times rising powers, shifted to its own start."""
-        if len(self.powers) <= len(codes):
-            factor, back = np.full(len(codes), _FACTOR, np.uint64), np.full(len(codes), pow(_FACTOR, -1, 1 << 64), np.uint64)
-            self.powers, self.inverses = (np.concatenate([np.ones(1, np.uint64), np.cumprod(x)]) for x in (factor, back))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[codes] * self.powers[:len(codes)])])
-        h = (sums[ends] - sums[starts]) * self.inverses[starts]
-        h = (h ^ (ends - starts).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
-
     def _cut(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all `texts`, and how many each has."""
         whole = " ".join([*texts, ""]).lower()
@@ -165,18 +172,18 @@ class Encoder:
         starts, ends = pieces(codes) if len(codes) > 2 else (np.zeros(0, np.int64),) * 2
         if len(codes) <= 2 and whole.strip():
             return (ids := self._whole(whole)), np.array([len(ids), *[0] * (len(texts) - 1)])
-        hashes, first, back = np.unique(self._hashes(codes, starts, ends), return_index=True, return_inverse=True)
+        hashes, first, back = np.unique(self.hasher.of(codes, starts, ends), return_index=True, return_inverse=True)
         at = self.known.find(hashes)
         new = np.flatnonzero(at < 0)
         if len(new):
             if len(self.known.hashes) + len(new) > MAX_PIECES:
-                self.known, new = _Known(), np.arange(len(hashes))
+                self.known, new = _Known(self.kind), np.arange(len(hashes))
             self.known.add(hashes[new], [self._learn(whole[a:b]) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             at = self.known.find(hashes)
         number = at[back]
-        sizes = self.known.sizes[number]
+        sizes = self.known.sizes[number].astype(np.int64)
         after = np.cumsum(sizes)
-        ids = self.known.flat[np.repeat(self.known.starts[number] - after + sizes, sizes) + np.arange(after[-1] if len(after) else 0)]
+        ids = self.known.flat[np.repeat(self.known.starts[number] - after + sizes, sizes) + np.arange(after[-1] if len(after) else 0)].astype(np.uint32)
         borders = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))  # pieces of a text start before its border
         return ids, np.diff(np.concatenate([[0], after])[borders], prepend=0)
 
