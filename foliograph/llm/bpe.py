@@ -5,14 +5,15 @@ as an array of byte tokens, to Spark's higher-order functions, which fold the ra
 last step in the same task puts the ids of a document's pieces together. No shuffle, no state beyond one task: a lost
 executor costs its own tasks only.
 
-Null texts count as empty and give no ids. Columns of the input stay, but for those named like an output, which are
-replaced. Repeated rows are encoded one by one; an empty table gives an empty table.
+Null texts count as empty and give no ids. Columns of the input stay, whatever their names, but for one named like an output,
+which is replaced. Repeated rows are encoded one by one, very long texts whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +23,20 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliograph.llm.wordbpe import _BORDER, _EDGE, _KINDS, _MARK, _SPACE, Hasher
+
+# Fixed value: the pattern whose matches `cut` finds in arrays.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces a task remembers before it starts afresh.
 MAX_PIECES = 1_000_000
 #: A fold over an array takes the square of its length, so pieces of more bytes are merged with a heap instead.
 FOLD_BYTES = 512
 #: Texts are handled in blocks of about so many characters; the first row of a block brings the new pieces of all.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 #: Input splits that a task takes one after another: the more text a task sees, the fewer of its pieces are new.
 SPLITS_PER_TASK = 3
 _LEFT = 1 << 20
+_FOREIGN = re.compile(f"[{chr(_EDGE)}-{chr(0x10FFFF)}]")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -119,43 +125,80 @@ def merged(tokens: Column, ranks: RankMap, table: Column) -> Column:
     return F.filter(F.aggregate(F.slice(tokens, F.lit(4), F.lit(1 << 30)), start, step), lambda x: x >= ranks.BASE)
 
 
-class _Pieces:
-    """Numbers the distinct pieces of a task; remembers how chunks between spaces fall into pieces.
+def cut(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the matches of `PATTERN` start and end in texts of characters below U+0250, each text between two borders."""
+    kind = _KINDS[codes]
+    new = np.ones(len(codes), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    first = np.flatnonzero(new)
+    ends = np.append(first[1:], len(codes))
+    spaces = (kind[first] == _SPACE) & (kind[np.minimum(ends, len(codes) - 1)] != _BORDER)  # white space at a text's end is one match
+    last, after, several = ends[spaces] - 1, ends[spaces], ends[spaces] - first[spaces] > 1
+    led = codes[last] == ord(" ")  # a space goes with what follows it
+    new[after[led]] = False
+    new[last[several | led]] = True
+    quote = np.flatnonzero((codes[1:-2] == ord("'")) & (kind[:-3] != _MARK) & (codes[:-3] != ord(" "))) + 1  # one that begins a match
+    a, b = codes[quote + 1], codes[quote + 2]
+    one = (a == ord("s")) | (a == ord("t")) | (a == ord("m")) | (a == ord("d"))
+    two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+    taken = quote[one | two]
+    new[taken + 1] = False
+    new[taken + np.where(one, 2, 3)[one | two]] = True
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(codes))
+    words = kind[starts] != _BORDER
+    return starts[words], ends[words]
+
 
-    A space before a character that is no white space always starts a piece, so a text is the pieces of its chunks, each
-    with the space before it. A text with a chunk that is empty or starts with white space is split as a whole."""
+class _Pieces:
+    """Numbers the distinct pieces of a task. Texts of characters below U+0250 are cut many at a time, their pieces known by a 64-bit hash;
+    others, and all texts under another pattern, are split by the pattern itself."""
 
     def __init__(self, pattern: str):
-        self.pattern = regex.compile(pattern)
-        self.letters = [m.group() for m in self.pattern.finditer(" ab")] == [" ab"]  # letters after a space are one piece
+        self.pattern, self.arrays, self.hasher = regex.compile(pattern), pattern == PATTERN, Hasher()
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.chunks: dict[str, list[int]] = {}
-        self.fresh: list[str] = []
-
-    def _number(self, piece: str) -> int:
-        at = self.numbers.get(piece)
-        if at is None:
-            at = self.numbers[piece] = len(self.numbers)
-            self.fresh.append(piece)
-        return at
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.others: dict[str, int] = {}
+        self.count, self.fresh = 0, []
 
     def _split(self, text: str) -> list[int]:
-        return [self._number(m.group()) for m in self.pattern.finditer(text)]
-
-    def of(self, text: str) -> list[int]:
-        head, *rest = text.split(" ")
-        known, out = self.chunks, self._split(head)
-        for chunk in rest:
-            part = known.get(chunk)
-            if part is None:
-                if not chunk or chunk[0].isspace():
-                    return self._split(text)
-                part = known[chunk] = [self._number(" " + chunk)] if self.letters and chunk.isalpha() else self._split(" " + chunk)
-            out += part
-        return out
+        found = []
+        for m in self.pattern.finditer(text):
+            at = self.others.get(m.group())
+            if at is None:
+                at = self.others[m.group()] = self.count
+                self.count += 1
+                self.fresh.append(m.group())
+            found.append(at)
+        return found
+
+    def _cut(self, texts: list[str]) -> list[np.ndarray]:
+        edge = chr(_EDGE)  # stands in none of the texts
+        whole = edge + "".join(t + edge for t in texts) + edge * 2
+        codes = np.frombuffer(whole.encode("utf-16-le"), np.uint16)
+        starts, ends = cut(codes)
+        wanted, first, back = np.unique(self.hasher.of(codes, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, wanted)
+        found = np.minimum(at, max(len(self.hashes) - 1, 0))
+        new = np.flatnonzero(self.hashes[found] != wanted) if len(self.hashes) else np.arange(len(wanted))
+        self.numbers = np.insert(self.numbers, at[new], np.arange(self.count, self.count + len(new), dtype=np.int32))
+        self.hashes = np.insert(self.hashes, at[new], wanted[new])
+        self.count += len(new)
+        self.fresh += [whole[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+        number = self.numbers[np.searchsorted(self.hashes, wanted)][back]
+        borders = np.searchsorted(starts, np.cumsum([1 + len(t) for t in texts]))
+        return np.split(number, borders)[:len(texts)]
+
+    def of(self, texts: list[str]) -> list:
+        """Numbers of the pieces of each text."""
+        out: list = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if self.arrays and not _FOREIGN.search(t)]
+        if plain:
+            for i, numbers in zip(plain, self._cut([texts[i] for i in plain]), strict=True):
+                out[i] = numbers
+        return [self._split(t) if n is None else n for t, n in zip(texts, out, strict=True)]
 
 
 def _merge_long(tokens: list[int], pairs: dict[int, int]) -> list[int]:
@@ -188,62 +231,65 @@ def scan_tasks(docs: DataFrame) -> int:
     return max(1, -(-docs.rdd.getNumPartitions() // SPLITS_PER_TASK))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", tasks: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", tasks: int | None = None,
+           drop_text: bool = False) -> DataFrame:
     """`docs` with the array<int> column `ids`: the tokens of the whole text, each match of `pattern` encoded separately, in
-    at most `tasks` tasks (`scan_tasks`) if that is given.
+    at most `tasks` tasks (`scan_tasks`) if that is given. With `drop_text` the text goes as soon as it is cut.
 
     `ranks` is a vocabulary of bounded size whose ids are its ranks and which holds every single byte. Long pieces take
     a heap (`FOLD_BYTES`) with the same result. The order of rows inside a task carries state between the steps, so
     nothing may reorder rows in between; no operator stands there but a projection."""
-    docs = docs.drop(ids) if ids in docs.columns else docs
     table = RankMap(ranks)
-    kept = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    kept = docs.drop(ids, *([text] if drop_text else []))
+    carried = [f"c{i}" for i in range(len(kept.columns))]  # the caller's columns, out of the way of the steps' own
+    source = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(a) for c, a in zip(kept.columns, carried, strict=True)))
     if tasks:
-        kept = kept.coalesce(tasks)
-    columns = docs.columns
+        source = source.coalesce(tasks)
     rows = pa.list_(pa.list_(pa.int64()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, single, pairs = _Pieces(pattern), [ranks[bytes([b])] for b in range(256)], _pair_ranks(ranks)
+        pieces, single, pairs = _Pieces(pattern), [ranks[bytes([b])] for b in range(256)], None
         tokens, edge = [table.BASE + x for x in single], table.BASE + table.edge
         for batch in batches:
-            for start, end in _blocks(pc.utf8_length(batch.column("_text")).to_numpy(), BLOCK_CHARS):
-                part, restart = batch.slice(start, end - start), len(pieces.numbers) > MAX_PIECES
+            for start, end in _blocks(pc.utf8_length(batch.column("text")).to_numpy(), BLOCK_CHARS):
+                part, restart = batch.slice(start, end - start), pieces.count > MAX_PIECES
                 if restart:
                     pieces.clear()
-                at = [pieces.of(value) for value in part.column("_text").to_pylist()]
+                at = pieces.of(part.column("text").to_pylist())
                 fold, ready = [], []
                 for raw in map(str.encode, pieces.fresh):
                     if raw in ranks:
                         fold.append(()), ready.append((ranks[raw],))
                     elif len(raw) > FOLD_BYTES:
+                        pairs = pairs or _pair_ranks(ranks)
                         fold.append(()), ready.append(_merge_long([single[b] for b in raw], pairs))
                     else:
                         fold.append([edge, *[tokens[b] for b in raw], edge]), ready.append(())
                 pieces.fresh = []
                 others = [None] * (end - start - 1)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(at, pa.list_(pa.int32())), pa.array([fold, *others], rows),
-                                                  pa.array([ready, *others], rows), pa.array([restart, *[False for _ in others]])], names=[*columns, "_at", "_new", "_done", "_restart"])
+                numbers = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, at)]), pa.int32()), pa.array(np.concatenate([np.asarray(x, np.int32) for x in at])))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), numbers, pa.array([fold, *others], rows), pa.array([ready, *others], rows),
+                                                  pa.array([restart, *[False for _ in others]])], names=[*carried, "at", "new", "done", "restart"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(table.BASE)
         for batch in batches:
-            restarts = np.flatnonzero(batch.column("_restart").to_numpy(zero_copy_only=False))
+            restarts = np.flatnonzero(batch.column("restart").to_numpy(zero_copy_only=False))
             for start, end in zip([0, *restarts], [*restarts, batch.num_rows], strict=True):
                 if start in restarts:
                     known = _Known(table.BASE)
                 part = batch.slice(start, end - start)
-                known.add(part.column("_merged").flatten(), part.column("_done").flatten())
-                at = part.column("_at")
+                known.add(part.column("merged").flatten(), part.column("done").flatten())
+                at = part.column("at")
                 values, ends = known.ids(at.flatten().to_numpy(), at.offsets.to_numpy() - at.offsets[0].as_py())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))],
-                                                 names=[*columns, ids])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))],
+                                                 names=[*carried, "ids"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    pieces = kept.mapInArrow(split, f"{kinds}, _at array<int>, _new array<array<bigint>>, _done array<array<bigint>>, _restart boolean")
-    folds = F.when(F.col("_new").isNotNull(), F.get(F.transform(F.array(table.literal()), lambda t: F.transform("_new", lambda piece: merged(piece, table, t))), 0))
-    folded = pieces.select(*(F.col(f"`{c}`") for c in columns), "_at", folds.alias("_merged"), "_done", "_restart")
-    return folded.mapInArrow(join, f"{kinds}, `{ids}` array<int>")
+    kinds = "".join(f"{a} {f.dataType.simpleString()}, " for a, f in zip(carried, kept.schema.fields, strict=True))
+    cut_rows = source.mapInArrow(split, f"{kinds}at array<int>, new array<array<bigint>>, done array<array<bigint>>, restart boolean")
+    folds = F.when(F.col("new").isNotNull(), F.get(F.transform(F.array(table.literal()), lambda t: F.transform("new", lambda piece: merged(piece, table, t))), 0))
+    folded = cut_rows.select(*carried, "at", folds.alias("merged"), "done", "restart").mapInArrow(join, f"{kinds}ids array<int>")
+    return folded.select(*(F.col(a).alias(c) for c, a in zip(kept.columns, carried, strict=True)), F.col("ids").alias(ids))
 
 
 def _blocks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -287,18 +333,10 @@ class _Known:
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """`df` with the binary column `out`: the bytes of all tokens of `ids`, joined. Null ids give no bytes; an id that
-    the vocabulary lacks raises."""
-    df = df.drop(out) if out in df.columns else df
-    columns = df.columns
-    lookup = [None] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        lookup[rank] = token
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces = [b"".join([lookup[i] for i in v.values.to_numpy(zero_copy_only=False).tolist()]) if v.is_valid else b"" for v in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(pieces, pa.binary())], names=[*columns, out])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(join, f"{kinds}, `{out}` binary")
+    """`df` with the binary column `out`: the bytes of all tokens of `ids`, joined by Spark as their hexadecimal digits. Null ids give no
+    bytes; an id that the vocabulary lacks raises."""
+    shown = {rank: token.hex() for token, rank in ranks.items()}
+    table = F.split(F.lit(",".join(shown.get(i, "?") for i in range(max(shown) + 1))), ",")
+    joined = F.array_join(F.transform(F.coalesce(F.col(ids), F.array().cast("array<int>")), lambda i: F.element_at(table, i + 1)), "")
+    whole = F.unhex(joined)
+    return df.withColumn(out, F.when(whole.isNull(), F.raise_error(F.lit("an id that the vocabulary lacks")).cast("binary")).otherwise(whole))

@@ -35,7 +35,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded by the byte-level ranks and decoded again."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, tasks=bpe.scan_tasks(docs)).drop("text"), ranks)
+    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, tasks=bpe.scan_tasks(docs), drop_text=True), ranks)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 

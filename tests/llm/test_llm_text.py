@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -38,6 +39,36 @@ def test_bpe_is_the_librarys(spark, docs):
     assert bpe.encode(docs.limit(0), ranks, P.PATTERN).count() == 0
 
 
+def test_arrays_cut_like_the_pattern(monkeypatch):
+    """Every kind of neighbour, contraction and white space, whichever way a text is cut."""
+    assert bpe.PATTERN == P.PATTERN
+    rng = random.Random(6)
+    texts = ["", *map(chr, range(0x250)), *(f"a{chr(c)}'s {chr(c)}{chr(c)}b" for c in range(0x250)), "".join(map(chr, range(0x24F))), "é字 's", "x" * 5000 + " " * 5000]
+    texts += ["".join(rng.choices("abstrevldm \n\t1é.!\x85\xa0" + "'" * 4, k=rng.randint(0, 30))) for _ in range(4000)]
+    pieces, names = bpe._Pieces(P.PATTERN), []
+    for low in range(0, len(texts), 500):
+        part = texts[low:low + 500]
+        numbers = pieces.of(part)
+        names += pieces.fresh
+        pieces.fresh = []
+        assert [[names[n] for n in own] for own in numbers] == [regex.findall(P.PATTERN, t) for t in part]
+    assert len(names) == pieces.count
+
+
+def test_bpe_restarts_and_keeps_any_column(spark, monkeypatch):
+    """Tasks that forget their pieces again and again, blocks of a few texts, and columns named like the steps' own."""
+    monkeypatch.setattr(bpe, "MAX_PIECES", 40)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 200)
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("abcdé字", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 30))), -i, "x") for i in range(120)]
+    docs = spark.createDataFrame(rows, "at bigint, body string, restart bigint, merged string")
+    got = bpe.decode(bpe.encode(docs, ranks, P.PATTERN, text="body", ids="new"), ranks, ids="new", out="done").collect()
+    assert len(got) == 120 and all(r.new == library.encode_ordinary(r.body) and bytes(r.done) == r.body.encode() and r.restart == -r.at and r.merged == "x" for r in got)
+    assert bpe.encode(docs, ranks, P.PATTERN, text="body", drop_text=True).columns == ["at", "restart", "merged", "ids"]
+
+
 def test_long_pieces_merge_alike():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
