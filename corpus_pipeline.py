@@ -12,7 +12,7 @@ from foliograph.llm.store import stored
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or that the label model of this input thinks bad go."""
-    counted = quality_rules.counts(docs)
+    counted = stored(quality_rules.counts(docs), "quality-counts")
     return quality_rules.judge(counted, quality_rules.fit(counted)).where("kept").select(*docs.columns)
 
 
@@ -35,10 +35,9 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, checked by decoding: `round_trip` says whether the bytes came back."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    texts = docs.select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(texts, ranks, public_tokenizers.PATTERN, tasks=bpe.scan_tasks(texts)), ranks)
-    return coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
-                        (F.coalesce("text", F.lit("")).cast("binary") == F.col("decoded")).alias("round_trip"))
+    texts = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    coded = bpe.decode(bpe.encode(texts, ranks, public_tokenizers.PATTERN, tasks=bpe.scan_tasks(texts), drop_text=True), ranks)
+    return coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"))
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near), ("decontamination", leaks), ("byte-level BPE", tokens)]
