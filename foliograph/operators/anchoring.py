@@ -13,6 +13,7 @@ The best place is one grouped maximum.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -240,7 +241,8 @@ def page_spans(matches: DataFrame, pages: DataFrame, keys: Sequence[str], span:
 def longest_head(needle: Column, text: Column) -> Column:
     """Length of the longest start of `needle` occurring in `text`: a shorter start always occurs too, so the bits of the
     answer are settled from the highest down."""
-    bits = F.transform(F.sequence(F.lit(20), F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2), b).cast("int"))
+    top = F.floor(F.log2(F.greatest(F.length(needle), F.lit(1)) + F.lit(1e-9))).cast("int")
+    bits = F.transform(F.sequence(top, F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2), b).cast("int"))
     return F.aggregate(bits, F.lit(0), lambda k, b: F.when(
         (k + b <= F.length(needle)) & F.contains(text, F.substring(needle, F.lit(1), k + b)), k + b).otherwise(k))
 
@@ -440,31 +442,89 @@ def resolve_chunks(ends: DataFrame, rects: DataFrame, pages: DataFrame, words: D
     return out, rebuilt
 
 
-def anchor_basis(page_text: DataFrame, regions: DataFrame) -> DataFrame:
-    """Fingerprint of a paper's text and regions. Pages are hashed first, so a paper's row gathers hashes, not text."""
+def page_fingerprints(page_text: DataFrame, regions: DataFrame) -> DataFrame:
+    """(paper_id, page, words, boxes): hashes of each page's text and of its regions."""
     boxes = regions.groupBy("paper_id", "page").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
         "ord", F.concat_ws(",", *[F.col(c).cast("double").cast("string") for c in CORNERS], "label").alias("b")))), lambda s: s["b"]), ";"), 256).alias("boxes"))
     texts = page_text.select("paper_id", "page", F.sha2(F.col("text").cast("binary"), 256).alias("words"))
-    both = texts.join(boxes, ["paper_id", "page"], "full")
-    line = F.concat_ws(":", F.col("page").cast("string"), F.coalesce("words", F.lit("")), F.coalesce("boxes", F.lit("")))
-    return both.groupBy("paper_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", line.alias("l")))), lambda s: s["l"]), "\n"), 256).alias("basis"))
-
+    return texts.join(boxes, ["paper_id", "page"], "full")
 
-def stale_papers(boards: DataFrame, basis: DataFrame) -> DataFrame:
-    """Papers whose stored anchor basis differs from their text's: the only ones worth re-anchoring."""
-    return basis.join(boards.select("paper_id", F.col("anchor_basis").alias("_b")), "paper_id", "left").where(~F.col("basis").eqNullSafe(F.col("_b"))).select("paper_id", "basis")
 
+def anchor_basis(page_text: DataFrame, regions: DataFrame) -> DataFrame:
+    """Fingerprint of a paper's text and regions. Pages are hashed first, so a paper's row gathers hashes, not text."""
+    both = page_fingerprints(page_text, regions)
+    line = F.concat_ws(":", F.col("page").cast("string"), F.coalesce("words", F.lit("")), F.coalesce("boxes", F.lit("")))
+    return both.groupBy("paper_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", line.alias("l")))), lambda s: s["l"]), "\n"), 256).alias("basis"))
 
-def reanchor_incremental(boards: DataFrame, quotes: DataFrame, rects: DataFrame, pages: DataFrame, regions: DataFrame, words: DataFrame) -> DataFrame:
-    """State of every highlight, looked for again only where the text's fingerprint changed; the rest keep theirs."""
-    stale = stale_papers(boards, anchor_basis(pages, regions)).select("paper_id")
-
-    def only(df: DataFrame) -> DataFrame:
-        return df.join(stale, "paper_id", "left_semi")
 
-    states, _ = resolve_highlights(only(quotes), only(rects), only(pages), only(words))
-    kept = quotes.join(stale, "paper_id", "left_anti").select("paper_id", "q_id", F.col("state"), "position", F.col("page_hint").alias("page"))
-    return states.withColumn("looked_for", F.lit(True)).unionByName(kept.withColumn("looked_for", F.lit(False)))
+def item_basis(items: DataFrame, page_text: DataFrame, regions: DataFrame) -> DataFrame:
+    """(paper_id, kind, id, basis): fingerprint of the pages that a mark or chunk runs over, from its first to its last, with the place
+    of each in the paper's text. `items`: a row for each of an item's rects, with paper_id, kind, id, page."""
+    starts = running(page_text.select("paper_id", "page", F.length("text").alias("_l")), ["paper_id"], "page", F.col("_l"), "_at", inclusive=False)
+    marks = page_fingerprints(page_text, regions).join(starts.select("paper_id", "page", "_at"), ["paper_id", "page"], "left")
+    line = F.concat_ws(":", F.col("page").cast("string"), F.coalesce("words", F.lit("")), F.coalesce("boxes", F.lit("")), F.coalesce(F.col("_at").cast("string"), F.lit("")))
+    over = items.groupBy("paper_id", "kind", "id").agg(F.min("page").alias("a"), F.max("page").alias("z")).withColumn("page", F.explode(F.sequence("a", "z")))
+    held = over.join(marks.select("paper_id", "page", line.alias("l")), ["paper_id", "page"], "left")
+    return held.groupBy("paper_id", "kind", "id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        "page", F.coalesce("l", F.lit("none")).alias("l")))), lambda s: s["l"]), "\n"), 256).alias("basis"))
+
+
+class Reanchored(NamedTuple):
+    """Where the marks and chunks of a library stand in its present text."""
+
+    #: paper_id, kind, id, state, position, looked_for
+    states: DataFrame
+    #: paper_id, kind, id, rect_ord, page, box
+    rects: DataFrame
+    #: What `pieces.chunk_blocks` gives, with node_id, of the chunks whose rects changed.
+    blocks: DataFrame
+
+
+def reanchor(stored: DataFrame, quotes: DataFrame, mark_rects: DataFrame, ends: DataFrame, chunk_rects: DataFrame, pages: DataFrame, regions: DataFrame,
+             words: DataFrame, layout: DataFrame) -> Reanchored:
+    """Marks and chunks found again in a new extraction, item by item.
+
+    An item is looked for when the pages under it, or their place in the paper, are no longer what they were, or when it had no place
+    and anything in its paper changed; every other one keeps its anchor. A chunk gets new blocks only when its rects did change.
+
+    `stored`: paper_id, kind (highlight or chunk), id, basis (`item_basis` at the time), paper_basis (`anchor_basis` at the time), state,
+    position. `quotes` and `mark_rects` as for `resolve_highlights`, `ends` and `chunk_rects` as for `resolve_chunks`."""
+    from foliograph.operators.pieces import chunk_blocks
+
+    marks = mark_rects.select("paper_id", F.lit("highlight").alias("kind"), F.col("q_id").alias("id"), F.lit(0).cast("long").alias("rect_ord"), "page", *CORNERS)
+    chunks = chunk_rects.select("paper_id", F.lit("chunk").alias("kind"), F.col("node_id").alias("id"), F.col("rect_ord").cast("long").alias("rect_ord"), "page", *CORNERS)
+    held = marks.unionByName(chunks)
+    now = item_basis(held.select("paper_id", "kind", "id", "page"), pages, regions).withColumnRenamed("basis", "_now")
+    papers = anchor_basis(pages, regions).select("paper_id", F.col("basis").alias("_paper"))
+    lost = (F.col("state") == "orphaned") & ~F.col("paper_basis").eqNullSafe(F.col("_paper"))
+    judged = stored.join(now, ["paper_id", "kind", "id"], "left").join(papers, "paper_id", "left")
+    judged = materialise(judged.withColumn("looked_for", ~F.col("basis").eqNullSafe(F.col("_now")) | lost).select("paper_id", "kind", "id", "state", "position", "looked_for"))
+    asked = judged.where("looked_for")
+    near = asked.select("paper_id").distinct()
+
+    def of(df: DataFrame, kind: str, key: str) -> DataFrame:
+        return df.join(asked.where(F.col("kind") == kind).select("paper_id", F.col("id").alias(key)), ["paper_id", key], "left_semi")
+
+    def there(df: DataFrame) -> DataFrame:
+        return df.join(near, "paper_id", "left_semi")
+
+    text, seen = materialise(there(pages)), there(words)
+    mark_states, mark_lines = resolve_highlights(of(quotes, "highlight", "q_id"), of(mark_rects, "highlight", "q_id"), text, seen)
+    chunk_states, rebuilt = resolve_chunks(of(ends, "chunk", "node_id"), of(chunk_rects, "chunk", "node_id"), text, seen, there(regions), there(layout))
+    found = mark_states.select("paper_id", F.lit("highlight").alias("kind"), F.col("q_id").alias("id"), "state", F.col("position").cast("long").alias("position")).unionByName(
+        chunk_states.select("paper_id", F.lit("chunk").alias("kind"), F.col("node_id").alias("id"), "state", F.col("position").cast("long").alias("position")))
+    kept = judged.where("NOT looked_for").select("paper_id", "kind", "id", "state", F.col("position").cast("long").alias("position"), "looked_for")
+    states = found.withColumn("looked_for", F.lit(True)).unionByName(kept)
+    moved = mark_lines.select("paper_id", F.lit("highlight").alias("kind"), F.col("q_id").alias("id"), F.col("line_first").cast("long").alias("rect_ord"), "page", *CORNERS).unionByName(
+        rebuilt.select("paper_id", F.lit("chunk").alias("kind"), F.col("node_id").alias("id"), F.col("run_ord").cast("long").alias("rect_ord"), "page", *CORNERS))
+    moved = materialise(moved)
+    rects = held.join(moved.select("paper_id", "kind", "id").distinct(), ["paper_id", "kind", "id"], "left_anti").unionByName(moved)
+    shape = lambda df: df.groupBy("paper_id", "id").agg(F.array_sort(F.collect_list(F.struct("rect_ord", F.struct("page", *CORNERS).alias("r")))).alias("s")).select(
+        "paper_id", "id", F.transform("s", lambda x: x["r"]).alias("shape"))
+    other = shape(moved.where("kind = 'chunk'")).join(shape(chunks).withColumnRenamed("shape", "was"), ["paper_id", "id"], "left").where("NOT shape <=> was").select("paper_id", "id")
+    anew = moved.where("kind = 'chunk'").join(other, ["paper_id", "id"], "left_semi").select("paper_id", F.col("id").alias("node_id"), "rect_ord", "page", *CORNERS)
+    blocks = chunk_blocks(anew, there(regions), seen, ["node_id"])
+    return Reanchored(states, rects, blocks)
 
 
 def anchor_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -20,18 +20,30 @@ from foliograph.operators.words import CORNERS
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """(paper_id, node_id, ancestor_id, depth): every group above a node, nearest first. A cycle ends where it closes."""
+    """(paper_id, node_id, ancestor_id, depth): every group above a node, nearest first. A cycle ends where it closes.
+
+    Known paths double: a round puts the paths of up to 2**k steps behind every path of exactly 2**k, so a chain of n groups
+    takes log2(n) rounds. On a cycle paths never end; there only the shortest to each group counts, and the rounds are over
+    when they bring no new pair."""
     groups = nodes.where("type = 'group'").select("paper_id", "node_id", "parent_id")
     up = groups.where("parent_id IS NOT NULL").join(groups.select("paper_id", F.col("node_id").alias("parent_id")), ["paper_id", "parent_id"], "left_semi")
-    closure = materialise(up.select("paper_id", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"), F.array("node_id", "parent_id").alias("path")))
-    frontier, done = closure, closure.drop("path")
-    step = up.select("paper_id", F.col("node_id").alias("ancestor_id"), F.col("parent_id").alias("next"))
-    while True:
-        frontier = materialise(frontier.join(step, ["paper_id", "ancestor_id"]).where(~F.array_contains("path", F.col("next")))
-                               .select("paper_id", "node_id", F.col("next").alias("ancestor_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("next")).alias("path")))
-        if frontier.isEmpty():
+    done = materialise(up.select("paper_id", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")))
+    far, reach, round_, ring = done, 1, 0, False
+    pairs = done.count()
+    while pairs:
+        round_ += 1
+        ends = far.select("paper_id", "node_id", F.col("ancestor_id").alias("via"))
+        beyond = ends.join(done.withColumnRenamed("node_id", "via"), ["paper_id", "via"]).select("paper_id", "node_id", "ancestor_id", (F.col("depth") + reach).alias("depth"))
+        beyond = materialise(beyond)
+        far = materialise(beyond.where(F.col("depth") == 2 * reach))
+        ring = ring or not beyond.where("node_id = ancestor_id").isEmpty()
+        both = done.unionByName(beyond)
+        if ring:
+            both = both.where("node_id <> ancestor_id").groupBy("paper_id", "node_id", "ancestor_id").agg(F.min("depth").alias("depth"))
+        done, reach = materialise(both), 2 * reach
+        before, pairs = pairs, done.count()
+        if pairs == before and not (ring and round_ == 1):
             break
-        done = done.unionByName(frontier.drop("path"))
     leaves = nodes.where("type <> 'group' AND parent_id IS NOT NULL").select("paper_id", "node_id", "parent_id")
     own = leaves.join(groups.select("paper_id", F.col("node_id").alias("parent_id")), ["paper_id", "parent_id"], "left_semi").select(
         "paper_id", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
@@ -39,23 +51,28 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     return done.unionByName(own).unionByName(far)
 
 
+def _closure(nodes: DataFrame, above: DataFrame | None) -> DataFrame:
+    """What `ancestors` gives, made only where the caller has not made it."""
+    return ancestors(nodes) if above is None else above
+
+
 def slot_of(nodes: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """The nearest enclosing group with a prompt."""
     slots = nodes.where("type = 'group' AND prompt IS NOT NULL AND prompt <> ''").select("paper_id", F.col("node_id").alias("ancestor_id"))
-    up = ancestors(nodes) if above is None else above
+    up = _closure(nodes, above)
     return up.join(slots, ["paper_id", "ancestor_id"]).groupBy("paper_id", "node_id").agg(F.min_by("ancestor_id", "depth").alias("slot_id"))
 
 
-def in_tray(nodes: DataFrame) -> DataFrame:
+def in_tray(nodes: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """Nodes inside a tray group at any depth."""
     trays = nodes.where("type = 'group' AND tray").select("paper_id", F.col("node_id").alias("ancestor_id"))
-    return ancestors(nodes).join(trays, ["paper_id", "ancestor_id"], "left_semi").select("paper_id", "node_id").distinct()
+    return _closure(nodes, above).join(trays, ["paper_id", "ancestor_id"], "left_semi").select("paper_id", "node_id").distinct()
 
 
-def absolute_positions(nodes: DataFrame) -> DataFrame:
+def absolute_positions(nodes: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """A node's position plus that of every ancestor."""
     at = nodes.select("paper_id", F.col("node_id").alias("ancestor_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    over = ancestors(nodes).join(at, ["paper_id", "ancestor_id"]).groupBy("paper_id", "node_id").agg(F.sum("_x").alias("_x"), F.sum("_y").alias("_y"))
+    over = _closure(nodes, above).join(at, ["paper_id", "ancestor_id"]).groupBy("paper_id", "node_id").agg(F.sum("_x").alias("_x"), F.sum("_y").alias("_y"))
     zero = F.lit(0.0)
     return nodes.join(over, ["paper_id", "node_id"], "left").select(
         "paper_id", "node_id", (F.col("x") + F.coalesce("_x", zero)).alias("abs_x"), (F.col("y") + F.coalesce("_y", zero)).alias("abs_y"))
@@ -66,20 +83,21 @@ def carries(tags: Column, active: Column) -> Column:
     return (F.size(active) == 0) | F.arrays_overlap(F.coalesce(tags, F.array().cast("array<string>")), active)
 
 
-def hidden_nodes(nodes: DataFrame, active: Column, held: DataFrame | None = None, highlights: DataFrame | None = None) -> DataFrame:
+def hidden_nodes(nodes: DataFrame, active: Column, held: DataFrame | None = None, highlights: DataFrame | None = None,
+                 above: DataFrame | None = None) -> DataFrame:
     """Nodes a tag filter hides: without an active tag, without a marked highlight inside, without a shown descendant.
     `held`: (paper_id, node_id, h_id)."""
     shown = nodes.where(carries(F.col("tags"), active)).select("paper_id", "node_id")
     if held is not None and highlights is not None:
         marked = highlights.where(carries(F.col("tags"), active)).select("paper_id", "h_id")
         shown = shown.unionByName(held.join(marked, ["paper_id", "h_id"], "left_semi").select("paper_id", "node_id"))
-    up = ancestors(nodes).join(shown.distinct(), ["paper_id", "node_id"], "left_semi").select("paper_id", F.col("ancestor_id").alias("node_id"))
+    up = _closure(nodes, above).join(shown.distinct(), ["paper_id", "node_id"], "left_semi").select("paper_id", F.col("ancestor_id").alias("node_id"))
     return nodes.select("paper_id", "node_id").join(shown.unionByName(up).distinct(), ["paper_id", "node_id"], "left_anti")
 
 
-def parents_first(nodes: DataFrame) -> DataFrame:
+def parents_first(nodes: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """Sort keys (first_ord, depth, ord) under which each parent comes before its children, otherwise stable."""
-    up = ancestors(nodes)
+    up = _closure(nodes, above)
     own = nodes.select("paper_id", "node_id", "ord")
     below = up.join(own, ["paper_id", "node_id"]).groupBy("paper_id", F.col("ancestor_id").alias("node_id")).agg(F.min("ord").alias("_below"))
     depth = up.groupBy("paper_id", "node_id").agg(F.max("depth").alias("depth"))
@@ -124,15 +142,16 @@ def reshape(edges: DataFrame, mapping: DataFrame) -> DataFrame:
         F.min_by(F.struct("edge_id", "from_id", "to_id", "ord"), F.struct("ord", "edge_id")).alias("e")).select("paper_id", "e.*")
 
 
-def remove_items(nodes: DataFrame, edges: DataFrame, removals: DataFrame) -> tuple[DataFrame, DataFrame]:
+def remove_items(nodes: DataFrame, edges: DataFrame, removals: DataFrame, above: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after deleting ids. Children of a removed group move to the nearest surviving ancestor and keep their
     place on the board; edges touching a removed end go."""
     gone = removals.select("paper_id", F.col("id").alias("node_id")).distinct()
     kept = nodes.join(gone, ["paper_id", "node_id"], "left_anti")
     orphans = kept.join(gone.withColumnRenamed("node_id", "parent_id"), ["paper_id", "parent_id"], "left_semi").select("paper_id", "node_id")
-    home = (ancestors(nodes).join(orphans, ["paper_id", "node_id"], "left_semi").join(gone.withColumnRenamed("node_id", "ancestor_id"), ["paper_id", "ancestor_id"], "left_anti")
+    above = _closure(nodes, above)
+    home = (above.join(orphans, ["paper_id", "node_id"], "left_semi").join(gone.withColumnRenamed("node_id", "ancestor_id"), ["paper_id", "ancestor_id"], "left_anti")
             .groupBy("paper_id", "node_id").agg(F.min_by("ancestor_id", "depth").alias("new_parent")))
-    at = materialise(absolute_positions(nodes))
+    at = materialise(absolute_positions(nodes, above))
     lifted = (orphans.join(home, ["paper_id", "node_id"], "left").join(at, ["paper_id", "node_id"])
               .join(at.select("paper_id", F.col("node_id").alias("new_parent"), F.col("abs_x").alias("px"), F.col("abs_y").alias("py")), ["paper_id", "new_parent"], "left")
               .select("paper_id", "node_id", "new_parent", (F.col("abs_x") - F.coalesce("px", F.lit(0.0))).alias("nx"), (F.col("abs_y") - F.coalesce("py", F.lit(0.0))).alias("ny"), F.lit(True).alias("lifted")))

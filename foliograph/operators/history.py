@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as X
-from foliograph.operators.spread import running
+from foliograph.operators.spread import materialise, running
 
 HISTORY_BUDGET = 150_000
 KINDS = ("session", "build", "read", "ai")
@@ -119,10 +121,10 @@ def page_dwell(views: DataFrame, key: str = "session") -> DataFrame:
     return stay.select(key, "t", (F.col("page") + 1).alias("page"), F.floor(F.col("ms") / 1000 + 0.5).cast("long").alias("seconds"))
 
 
-def note_edits(edits: DataFrame) -> DataFrame:
+def note_edits(edits: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
     """Ended edits whose text differs from the last baseline: the first text seen, then each end. `edits`: paper_id, note_id,
     seq, kind (seen/ended), text."""
-    w = Window.partitionBy("paper_id", "note_id").orderBy("seq")
+    w = Window.partitionBy("paper_id", "note_id").orderBy(*order)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     last_end = F.last(F.when(F.col("kind") == "ended", F.col("text")), ignorenulls=True).over(earlier)
     first_seen = F.first(F.when(F.col("kind") == "seen", F.col("text")), ignorenulls=True).over(earlier)
@@ -147,21 +149,49 @@ def debounced_saves(edits: DataFrame, gap: str = "500 milliseconds") -> DataFram
     return edits.groupBy("paper_id", F.session_window("t", gap).alias("w")).agg(F.max_by(F.struct("t", "text"), F.struct("t", "seq")).alias("e")).select("paper_id", "e.t", "e.text")
 
 
-def assemble_answers(deltas: DataFrame) -> DataFrame:
-    """Answer pieces of each finished call in order as one text. `deltas`: call_id, seq, kind (delta/done/error), text."""
-    ended = deltas.groupBy("call_id").agg(F.bool_or(F.col("kind") == "done").alias("done"), F.bool_or(F.col("kind") == "error").alias("failed"),
-                                          F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", F.struct("seq", "text")))), lambda s: s["text"]), "").alias("raw"))
-    return ended.where("done AND NOT failed").select("call_id", "raw")
+def assemble_answers(deltas: DataFrame, first: int = 0) -> DataFrame:
+    """Answer pieces of each finished call in order as one text. The call ends at its first done or error marker by number: an error
+    gives nothing, a missing piece before the end neither, and what comes after the end does not count; of pieces with one
+    number one counts. `deltas`: call_id, seq (from `first`), kind (delta/done/error), text."""
+    once = deltas.where(F.col("seq") >= first).groupBy("call_id", "seq").agg(F.min(F.struct("kind", "text")).alias("p")).select("call_id", "seq", "p.kind", "p.text")
+    ends = once.where("kind <> 'delta'").groupBy("call_id").agg(F.min_by("kind", "seq").alias("_end"), F.min("seq").alias("_at")).where("_end = 'done'")
+    pieces = once.where("kind = 'delta'").join(ends, "call_id").where(F.col("seq") < F.col("_at"))
+    whole = pieces.groupBy("call_id").agg(F.count("*").alias("_n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: F.coalesce(s["text"], F.lit(""))), "").alias("raw"))
+    return ends.join(whole, "call_id", "left").where(F.coalesce("_n", F.lit(0)) == F.col("_at") - first).select("call_id", F.coalesce("raw", F.lit("")).alias("raw"))
+
+
+def board_events(before: Mapping[str, tuple], after: Mapping[str, tuple]) -> list[tuple[str, str]]:
+    """(action, id) between two versions of a board, each id -> (kind, type, parent_id, tags): the rule of `graph.board_diff` for one
+    board at a time."""
+    fresh = {"highlight": "highlight", "edge": "connect", "chunk": "cut", "figure": "cut"}
+    found = [("remove", id) for id in before if id not in after]
+    groups = set()
+    for id, (kind, type_, parent, tags) in after.items():
+        was = before.get(id)
+        if was is None:
+            if (action := fresh.get(kind) or fresh.get(type_)) is not None:
+                found.append((action, id))
+            if type_ == "group":
+                groups.add(id)
+        else:
+            if tags != was[3]:
+                found.append(("tag", id))
+            if parent is not None and parent != was[2] and parent in after and after[parent][1] == "group":
+                groups.add(parent)
+    return found + [("group", id) for id in groups]
 
 
 def board_change_feed(snapshots: DataFrame) -> DataFrame:
-    """Build events between each version and the next. `snapshots`: paper_id, version, id, kind, type, parent_id, tags, text."""
+    """Build events between each version and the next. `snapshots`: paper_id, version, id, kind, type, parent_id, tags, text; a row
+    with a null id says that a version exists, which is all there is of an empty board."""
     from foliograph.operators.graph import board_diff
 
     key = lambda v: F.concat_ws("@", F.col("paper_id").cast("string"), v.cast("string"))
-    versions = snapshots.select("paper_id", "version").distinct()
-    after = snapshots.join(versions.select("paper_id", (F.col("version") + 1).alias("version")), ["paper_id", "version"], "left_semi").withColumn("paper_id", key(F.col("version"))).drop("version")
-    nxt = versions.select("paper_id", (F.col("version") - 1).alias("version"))
-    before = snapshots.join(nxt, ["paper_id", "version"], "left_semi").withColumn("paper_id", key(F.col("version") + 1)).drop("version")
+    snapshots = materialise(snapshots)
+    versions, things = snapshots.select("paper_id", "version").distinct(), snapshots.where("id IS NOT NULL")
+    followed = versions.join(versions.select("paper_id", (F.col("version") - 1).alias("version")), ["paper_id", "version"], "left_semi")
+    following = versions.join(versions.select("paper_id", (F.col("version") + 1).alias("version")), ["paper_id", "version"], "left_semi")
+    after = things.join(following, ["paper_id", "version"], "left_semi").withColumn("paper_id", key(F.col("version"))).drop("version")
+    before = things.join(followed, ["paper_id", "version"], "left_semi").withColumn("paper_id", key(F.col("version") + 1)).drop("version")
     d = board_diff(before, after)
     return d.select(F.substring_index("paper_id", "@", 1).cast("long").alias("paper_id"), F.substring_index("paper_id", "@", -1).cast("long").alias("version"), "action", "id")

@@ -108,7 +108,7 @@ def chunk_blocks(rects: DataFrame, regions: DataFrame, words: DataFrame, keys: S
 def not_overlapping(items: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Items none of whose area is shared with any of the other rectangles on their page."""
     hit = overlapping_rects(boxed(items, "i_", "paper_id", "page", *keys), boxed(others, "o_", "paper_id", "page"), "i_", "o_")
-    return items.join(hit.select("paper_id", *keys).distinct(), ["paper_id", *keys], "left_anti")
+    return items.join(hit.select("paper_id", "page", *keys).distinct(), ["paper_id", "page", *keys], "left_anti")
 
 
 def kept_sentences(lines: DataFrame, highlight_rects: DataFrame) -> DataFrame:

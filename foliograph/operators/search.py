@@ -17,7 +17,6 @@ MIN_PARTIAL_CHARS = 12
 WORD = r"[\p{L}\p{N}]+"
 HYPHENATED = r"([\p{L}\p{N}]+)-\n([\p{L}\p{N}]+)"
 MARKER = "\ue000"      # a private character standing for a hyphenated line end
-SEPARATOR = "\u0001"   # between the bare words of a page
 
 
 def paper_words(page_text: DataFrame) -> DataFrame:
@@ -90,7 +89,6 @@ def rank_definitions(hits: DataFrame, page_text: DataFrame) -> DataFrame:
     scored = (hits.join(text, ["paper_id", "page"]).withColumn("s_before", before).withColumn("s_after", after).drop("_t")
               .withColumn("rules", X.definition_rules(F.col("s_before"), F.col("s_after"), F.col("hit") == 0)).withColumn("score", X.definition_score(F.col("rules")))
               .withColumn("likely", F.col("score") >= X.LIKELY_SCORE))
-    # At most 200 rows a query, so this window is small whatever the paper.
     w = Window.partitionBy("paper_id", "query_id").orderBy(F.desc("likely"), F.when(F.col("likely"), -F.col("score")).otherwise(0), "hit")
     return scored.withColumn("rank", F.row_number().over(w) - 1)
 
@@ -98,20 +96,19 @@ def rank_definitions(hits: DataFrame, page_text: DataFrame) -> DataFrame:
 def term_occurrences(terms: DataFrame, words: DataFrame) -> DataFrame:
     """Every run of a page's words equal to a term's, case-free, edge punctuation ignored, with the box around the run.
 
-    A page's bare words become one marked string; a term is found in it by the substring join, and the position leads
-    straight back to its first word. `terms`: paper_id, term."""
+    A page's words offer each word, and each with its next one, as a hashed gram; a term asks for its first. The words of the
+    run are then compared one by one, as rows. `terms`: paper_id, term. `at` is the run's first word on the page."""
     tokens = F.filter(F.transform(F.filter(F.split(X.flat("term"), " "), lambda t: t != ""), X.bare_word), lambda t: t != "")
-    t = (terms.withColumn("_tok", tokens).where(F.size("_tok") > 0).withColumn("k", F.size("_tok"))
-         .withColumn("needle", F.concat(F.lit(SEPARATOR), F.array_join("_tok", SEPARATOR), F.lit(SEPARATOR))).drop("_tok"))
+    t = terms.select("paper_id", "term", tokens.alias("_tok")).where(F.size("_tok") > 0).withColumn("k", F.size("_tok"))
+    asked = t.withColumn("_x", _asked_gram(F.get("_tok", F.lit(0)), F.get("_tok", F.lit(1)))).select("paper_id", "term", "_tok", "k", "_x._g", "_x._gram")
     w = Window.partitionBy("paper_id", "page").orderBy("word_ord")
-    b = (words.withColumn("bare", X.bare_word("text")).withColumn("idx", F.row_number().over(w) - 1)
-         .withColumn("at", F.coalesce(F.sum(F.length("bare") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    pages = b.groupBy("paper_id", "page").agg(F.concat(F.lit(SEPARATOR), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "bare"))), lambda s: s["bare"]), SEPARATOR),
-                                                       F.lit(SEPARATOR)).alias("line"))
-    hit = substring_join(t, pages, "needle", "line", ["paper_id", "page"])
-    first = hit.join(b.select("paper_id", "page", "at", "idx"), ["paper_id", "page", "at"])
-    run = first.withColumn("idx", F.explode(F.sequence(F.col("idx"), F.col("idx") + F.col("k") - 1))).join(b.select("paper_id", "page", "idx", *CORNERS), ["paper_id", "page", "idx"])
-    return run.groupBy("paper_id", "term", "page", "at").agg(*hull_columns()).select("paper_id", "term", "page", F.col("at"), *CORNERS)
+    b = words.select("paper_id", "page", "word_ord", X.bare_word("text").alias("bare"), *CORNERS).withColumn("idx", F.row_number().over(w) - 1)
+    pairs = b.select("paper_id", "page", "idx", "bare", F.lead("bare").over(w).alias("_next"))
+    grams = pairs.select("paper_id", "page", "idx", F.explode(_grams(F.col("bare"), F.col("_next"))).alias("_x")).select("paper_id", "page", "idx", "_x._g", "_x._gram")
+    hit = grams.join(asked, ["paper_id", "_g", "_gram"])
+    run = hit.select("paper_id", "term", "k", "page", F.col("idx").alias("at"), F.posexplode("_tok").alias("_j", "bare")).withColumn("idx", F.col("at") + F.col("_j"))
+    held = run.join(b.select("paper_id", "page", "idx", "bare", *CORNERS), ["paper_id", "page", "idx", "bare"])
+    return held.groupBy("paper_id", "term", "page", "at", "k").agg(F.count("*").alias("_n"), *hull_columns()).where("_n = k").select("paper_id", "term", "page", "at", *CORNERS)
 
 
 # -- references --------------------------------------------------------------------
@@ -191,13 +188,41 @@ def first_wins(spans: Column) -> Column:
         F.when(s["start"] < a["cur"], a["out"]).otherwise(F.array_append(a["out"], s)).alias("out")), lambda a: a["out"])
 
 
+def _grams(first: Column, second: Column) -> Column:
+    """A word alone, and with the next one if there is one, as (_g, _gram)."""
+    two = F.struct(F.lit(2).alias("_g"), F.when(second.isNotNull(), F.xxhash64(first, second)).alias("_gram"))
+    return F.filter(F.array(F.struct(F.lit(1).alias("_g"), F.xxhash64(first).alias("_gram")), two), lambda x: x["_gram"].isNotNull())
+
+
+def _asked_gram(first: Column, second: Column) -> Column:
+    """The longest gram that a run of words starts with."""
+    return F.when(second.isNull(), F.struct(F.lit(1).alias("_g"), F.xxhash64(first).alias("_gram"))).otherwise(
+        F.struct(F.lit(2).alias("_g"), F.xxhash64(first, second).alias("_gram")))
+
+
 def term_spans(docs: DataFrame, terms: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """Whole-word, case-free places of terms in reflowed text, longest first, not overlapping."""
+    """Whole-word, case-free places of terms in reflowed text, longest first, not overlapping.
+
+    A term that has words meets the texts of its paper where its first word, or its first two, stand; only one of marks alone needs the
+    substring join."""
     keys = list(keys)
     d = docs.withColumn("_low", F.lower(text))
-    t = terms.select("paper_id", "term", X.word_key("term").alias("needle")).distinct()
-    hit = substring_join(t, d, "needle", "_low", ["paper_id", *keys]).join(d.select("paper_id", *keys, "_low"), ["paper_id", *keys])
+    words = F.regexp_extract_all("needle", F.lit(WORD), F.lit(0))
+    t = terms.select("paper_id", "term", X.word_key("term").alias("needle")).distinct().withColumn("_words", words)
+    worded = t.where(F.size("_words") > 0).withColumn("_x", _asked_gram(F.get("_words", F.lit(0)), F.get("_words", F.lit(1)))).select(
+        "paper_id", "term", "needle", "_x._g", "_x._gram", F.length(F.regexp_extract("needle", rf"^(?:(?!{WORD}).)*", 0)).alias("_lead"))
+    gaps = F.transform(F.split("_low", WORD, -1), F.length)
+    hits = F.regexp_extract_all("_low", F.lit(WORD), F.lit(0))
+    w = Window.partitionBy("paper_id", *keys).orderBy("_i")
+    runs = d.select("paper_id", *keys, F.posexplode(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))).alias("_i", "_p")).select(
+        "paper_id", *keys, "_i", "_p.gap", "_p.hit")
+    starts = runs.select("paper_id", *keys, "hit", F.lead("hit").over(w).alias("_next"), (F.sum(F.col("gap") + F.length("hit")).over(w) - F.length("hit")).alias("_start"))
+    grams = starts.select("paper_id", *keys, "_start", F.explode(_grams(F.col("hit"), F.col("_next"))).alias("_x")).select("paper_id", *keys, "_start", "_x._g", "_x._gram")
+    met = grams.join(worded, ["paper_id", "_g", "_gram"]).withColumn("at", F.col("_start") - F.col("_lead")).where("at >= 0").select("paper_id", *keys, "term", "needle", "at")
+    bare = substring_join(t.where(F.size("_words") == 0).select("paper_id", "term", "needle"), d, "needle", "_low", ["paper_id", *keys])
     n = F.length("needle")
+    hit = (met.unionByName(bare.select("paper_id", *keys, "term", "needle", F.col("at").cast("long").alias("at"))).join(d.select("paper_id", *keys, "_low"), ["paper_id", *keys])
+           .where(F.substring("_low", (F.col("at") + 1).cast("int"), n) == F.col("needle")))
     free = lambda ch: ~ch.rlike(r"[\p{L}\p{N}]")
     prev = F.when(F.col("at") > 0, F.substring("_low", F.col("at").cast("int"), F.lit(1))).otherwise(F.lit(""))
     nxt = F.substring("_low", (F.col("at") + n + 1).cast("int"), F.lit(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from typing import NamedTuple
 
-MODULES = ("expressions", "layout", "anchoring", "graph", "answers", "history", "documents")
+MODULES = ("expressions", "layout", "anchoring", "graph", "answers", "documents", "history")
 
 
 class Registered(NamedTuple):

@@ -11,7 +11,7 @@ from foliograph.operators import search as S
 from foliograph.operators.pieces import highlights_in
 from foliograph.operators.spread import materialise
 from foliograph.operators.words import CORNERS, text_under
-from foliograph.plans.prelude import add_table
+from foliograph.plans.prelude import TABLES, add_table
 from foliograph.plans.registry import query
 
 
@@ -182,11 +182,65 @@ def _(lib):
     return A.anchor_basis(lib.page_text(), lib.regions())
 
 
-@query("an13_reanchor_incremental")
+def items(lib):
+    """(stored, chunk ends, chunk rects): the highlights, and the sections as chunks, with the fingerprints of the text they were made in."""
+    ends, rects = section_ends(lib)
+    held = mark_rects(lib).select("paper_id", F.lit("highlight").alias("kind"), F.col("q_id").alias("id"), "page").unionByName(
+        rects.select("paper_id", F.lit("chunk").alias("kind"), F.col("node_id").alias("id"), "page"))
+    at = mark_quotes(lib).select("paper_id", F.lit("highlight").alias("kind"), F.col("q_id").alias("id"), F.col("position").cast("long").alias("position")).unionByName(
+        ends.where("which = 'start'").select("paper_id", F.lit("chunk").alias("kind"), F.col("node_id").alias("id"), F.col("position").cast("long").alias("position")))
+    papers = A.anchor_basis(lib.page_text(), lib.regions()).select("paper_id", F.col("basis").alias("paper_basis"))
+    stored = A.item_basis(held, lib.page_text(), lib.regions()).join(papers, "paper_id").join(at, ["paper_id", "kind", "id"], "left").withColumn("state", F.lit("anchored"))
+    return stored, ends, rects
+
+
+def reanchored(lib):
+    def build():
+        stored, ends, rects = items(lib)
+        pages, regions, words = changed(lib)
+        sizes = regions.select("paper_id", "page").distinct().withColumn("width", F.lit(612.0))
+        return tuple(A.reanchor(stored, mark_quotes(lib), mark_rects(lib), ends, rects, pages, regions, words, sizes))
+
+    return A.Reanchored(*lib.shared("reanchored", build))
+
+
+add_table("clines", """
+  SELECT l.paper_id, l.line_no + CASE WHEN l.paper_id % 3 = 0 THEN 1 ELSE 0 END AS line_no, l.text FROM lines l JOIN documents d ON d.doc_id = l.paper_id
+  WHERE NOT (l.paper_id % 5 = 0 AND l.line_no = l.paper_id % len(string_split(d.text, chr(10))))
+  UNION ALL SELECT doc_id, 0, 'inserted line' FROM documents WHERE doc_id % 3 = 0""", "lines")
+add_table("cregions", TABLES["regions"].replace("FROM lines", "FROM clines"), "clines")
+for name, rows in (("page_marks", "regions"), ("cpage_marks", "cregions")):
+    add_table(name, f"""
+  SELECT paper_id, page, text, boxes, sum(length(text)) OVER (PARTITION BY paper_id ORDER BY page) - length(text) AS start FROM (
+    SELECT paper_id, page, string_agg(text, chr(10) ORDER BY ord) AS text, string_agg(x0 || ',' || y0 || ',' || x1 || ',' || y1 || ',' || label, ';' ORDER BY ord) AS boxes FROM {rows} GROUP BY 1, 2)""", rows)
+add_table("item_pages", """
+  SELECT paper_id, kind, id, unnest(range(a, z + 1)) AS page FROM (
+    SELECT paper_id, 'highlight' AS kind, h_id AS id, page AS a, page AS z FROM marks UNION ALL SELECT paper_id, 'chunk', section_id, min(page), max(page) FROM section_rects GROUP BY 1, 2, 3)""",
+          "marks", "section_rects")
+
+
+@query("an13_changed_items", """
+SELECT i.paper_id, i.kind, i.id, bool_or(p.text IS DISTINCT FROM c.text OR p.boxes IS DISTINCT FROM c.boxes OR p.start IS DISTINCT FROM c.start) AS looked_for
+FROM item_pages i LEFT JOIN page_marks p ON p.paper_id = i.paper_id AND p.page = i.page LEFT JOIN cpage_marks c ON c.paper_id = i.paper_id AND c.page = i.page
+GROUP BY 1, 2, 3""", ("item_pages", "page_marks", "cpage_marks"))
 def _(lib):
-    pages, regions, words = changed(lib)
-    boards = A.anchor_basis(lib.page_text(), lib.regions()).select("paper_id", F.col("basis").alias("anchor_basis"))
-    return A.reanchor_incremental(boards, mark_quotes(lib), mark_rects(lib), pages, regions, words)
+    """Which marks and chunks are looked for in the second version of the documents."""
+    return reanchored(lib).states.select("paper_id", "kind", "id", "looked_for")
+
+
+@query("an13_reanchor_items")
+def _(lib):
+    return reanchored(lib).states
+
+
+@query("an13_item_rects")
+def _(lib):
+    return reanchored(lib).rects
+
+
+@query("an13_rebuilt_blocks")
+def _(lib):
+    return reanchored(lib).blocks.select("paper_id", "node_id", "rect_ord", "region_ord", "kind", "page", *CORNERS, F.md5("text").alias("text_md5"))
 
 
 @query("an14_anchor_changes", """
@@ -288,15 +342,15 @@ def _(lib):
 
 
 def paper_terms(lib):
-    """Two terms a paper: the first two words of its second line, and its first word."""
-    r = lib.regions().where("ord <= 1")
+    """A term from every line: its first word, the first two of every second line, the first five of every seventh."""
     flat = F.split(X.flat("text"), " ")
-    return r.select("paper_id", F.when(F.col("ord") == 0, F.get(flat, F.lit(0))).otherwise(F.array_join(F.slice(flat, 1, 2), " ")).alias("term")).distinct()
+    k = F.when(F.col("ord") % 7 == 6, 5).when(F.col("ord") % 2 == 1, 2).otherwise(1)
+    return lib.regions().select("paper_id", F.array_join(F.slice(flat, F.lit(1), k), " ").alias("term")).distinct()
 
 
 add_table("terms", r"""
-  SELECT DISTINCT paper_id, CASE WHEN ord = 0 THEN split_part(f, ' ', 1) ELSE array_to_string(list_slice(string_split(f, ' '), 1, 2), ' ') END AS term
-  FROM (SELECT paper_id, ord, trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')) AS f FROM regions WHERE ord <= 1)""", "regions")
+  SELECT DISTINCT paper_id, array_to_string(list_slice(string_split(f, ' '), 1, CASE WHEN ord % 7 = 6 THEN 5 WHEN ord % 2 = 1 THEN 2 ELSE 1 END), ' ') AS term
+  FROM (SELECT paper_id, ord, trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')) AS f FROM regions)""", "regions")
 BARE = r"lower(regexp_replace(regexp_replace({}, '^[^\p{{L}}\p{{N}}\p{{M}}_]+', ''), '[^\p{{L}}\p{{N}}\p{{M}}_]+$', ''))"
 add_table("bare_words", rf"SELECT *, {BARE.format('text')} AS bare, row_number() OVER (PARTITION BY paper_id, page ORDER BY word_ord) - 1 AS idx FROM words", "words")
 add_table("term_hits", rf"""

@@ -23,10 +23,16 @@ add_table("claims", """
   SELECT a.paper_id, 'p1-r2' AS span_id, array_to_string(list_slice(string_split(CASE WHEN a.paper_id % 2 = 0 OR a.paper_id % 4 = 1 THEN a.text ELSE coalesce(b.text, a.text) END, ' '), 1,
          CASE WHEN a.paper_id % 2 = 0 THEN 5 WHEN a.paper_id % 4 = 1 THEN 2 ELSE 5 END), ' ') AS quote
   FROM pspans a LEFT JOIN pspans b ON b.paper_id = a.paper_id + 1 AND b.span_id = 'p1-r2' WHERE a.span_id = 'p1-r2'""", "pspans")
-add_table("held_claims", r"""
-  SELECT c.paper_id, c.span_id, c.quote, s.page, s.x0 FROM (SELECT *, trim(regexp_replace(nfc_normalize(quote), '[\s\p{Z}]+', ' ', 'g')) AS q FROM claims) c
+add_table("every_claim", """
+  SELECT a.paper_id, a.span_id, array_to_string(list_slice(string_split(CASE WHEN (a.paper_id + a.ord) % 2 = 0 OR (a.paper_id + a.ord) % 4 = 1 THEN a.text ELSE coalesce(b.text, a.text) END, ' '), 1,
+         CASE WHEN (a.paper_id + a.ord) % 4 = 1 THEN 2 ELSE 3 + (a.ord % 9) END), ' ') AS quote
+  FROM pspans a LEFT JOIN pspans b ON b.paper_id = a.paper_id + 1 AND b.span_id = a.span_id""", "pspans")
+HELD = r"""
+  SELECT c.paper_id, c.span_id, c.quote, s.page, s.x0 FROM (SELECT *, trim(regexp_replace(nfc_normalize(quote), '[\s\p{Z}]+', ' ', 'g')) AS q FROM %s) c
   JOIN pspans s ON s.paper_id = c.paper_id AND s.span_id = c.span_id WHERE len(string_split(q, ' ')) >= 3 AND regexp_matches(trim(regexp_replace(nfc_normalize(s.text), '[\s\p{Z}]+', ' ', 'g')),
-    '(^|[^\p{L}\p{N}\p{M}_])' || regexp_escape(q) || '($|[^\p{L}\p{N}\p{M}_])')""", "claims", "pspans")
+    '(^|[^\p{L}\p{N}\p{M}_])' || regexp_escape(q) || '($|[^\p{L}\p{N}\p{M}_])')"""
+add_table("every_held", HELD % "every_claim", "every_claim", "pspans")
+add_table("held_claims", HELD % "claims", "claims", "pspans")
 
 
 def spans(lib):
@@ -42,14 +48,24 @@ def claims(lib):
     return s.join(nxt, "paper_id", "left").select("paper_id", "span_id", F.array_join(words, " ").alias("quote"))
 
 
+def every_claim(lib):
+    """A claim on every span of every paper: words of its own, too few words, or words of the next paper's span."""
+    s = spans(lib).select("paper_id", "span_id", "ord", "text")
+    nxt = s.select((F.col("paper_id") - 1).alias("paper_id"), "span_id", F.col("text").alias("other"))
+    k = F.col("paper_id") + F.col("ord")
+    own = (k % 2 == 0) | (k % 4 == 1)
+    words = F.slice(F.split(F.when(own, F.col("text")).otherwise(F.coalesce("other", "text")), " "), F.lit(1), F.when(k % 4 == 1, 2).otherwise(3 + F.col("ord") % 9))
+    return s.join(nxt, ["paper_id", "span_id"], "left").select("paper_id", "span_id", F.array_join(words, " ").alias("quote"))
+
+
 @query("gd01_paper_spans", "SELECT paper_id, page, span_id, md5(text) AS text_md5 FROM pspans", ("pspans",))
 def _(lib):
     return spans(lib).select("paper_id", "page", "span_id", F.md5("text").alias("text_md5"))
 
 
-@query("gd02_ground", "SELECT paper_id, span_id, quote, page, x0 FROM held_claims", ("held_claims",))
+@query("gd02_ground", "SELECT paper_id, span_id, quote, page, x0 FROM every_held", ("every_held",))
 def _(lib):
-    return GD.ground(claims(lib), spans(lib)).select("paper_id", "span_id", "quote", "page", "x0")
+    return GD.ground(every_claim(lib), spans(lib)).select("paper_id", "span_id", "quote", "page", "x0")
 
 
 def answers(lib):
@@ -159,7 +175,7 @@ add_table("ai_terms", "SELECT paper_id, row_number() OVER (PARTITION BY paper_id
 
 def ai_terms(lib):
     from pyspark.sql import Window
-    w = Window.partitionBy("paper_id").orderBy("term")   # two terms a paper
+    w = Window.partitionBy("paper_id").orderBy("term")
     return paper_terms(lib).select("paper_id", (F.row_number().over(w) - 1).alias("i"), "term", F.concat(F.lit("About "), "term").alias("explanation"))
 
 

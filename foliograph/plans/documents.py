@@ -38,12 +38,15 @@ def rows_of(paragraphs):
     return paragraphs.select("paper_id", F.to_json("pos").alias("pos"), "text")
 
 
-@query("ag11_paper_markdown", r"""
+PAPER_MARKDOWN = r"""
 SELECT paper_id, string_agg(t, chr(10) || chr(10) ORDER BY ord, k) || chr(10) AS text FROM (
   SELECT s.paper_id, s.ord, 0 AS k, CASE WHEN s.ord = 0 THEN '# ' || title ELSE repeat('#', CAST(depth + 1 AS BIGINT)) || ' ' || title || ' (' || CASE WHEN a = b THEN 'p. ' || (a + 1) ELSE 'pp. ' || (a + 1) || '–' || (b + 1) END || ')' END AS t
   FROM sections s JOIN (SELECT paper_id, section_id, min(page) AS a, max(page) AS b FROM section_rects GROUP BY 1, 2) r ON r.paper_id = s.paper_id AND r.section_id = s.section_id
   UNION ALL SELECT paper_id, ord, 1, regexp_replace(regexp_replace(text, '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '') FROM sections WHERE regexp_replace(text, '[\s\p{Z}]+', '', 'g') <> ''
-  UNION ALL SELECT doc_id, 0, 0, '# ' || doc_id FROM documents WHERE doc_id NOT IN (SELECT paper_id FROM sections)) GROUP BY 1""", ("sections", "section_rects"))
+  UNION ALL SELECT doc_id, 0, 0, '# ' || doc_id FROM documents WHERE doc_id NOT IN (SELECT paper_id FROM sections)) GROUP BY 1"""
+
+
+@query("ag11_paper_markdown", PAPER_MARKDOWN, ("sections", "section_rects"))
 def _(lib):
     secs, ext = lib.sections()
     papers = lib.table("documents").select(F.col("doc_id").alias("paper_id"))

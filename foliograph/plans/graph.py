@@ -51,28 +51,33 @@ def board(lib):
     return lib.shared("paper_board", lib.paper_board)
 
 
+def closure(lib):
+    """One closure of the groups for every query that walks them."""
+    return lib.shared("closure", lambda: G.ancestors(lib.nodes()))
+
+
 @query("gr01_slot_of", """
 SELECT paper_id, node_id, slot_id FROM (SELECT a.paper_id, a.node_id, a.ancestor_id AS slot_id, row_number() OVER (PARTITION BY a.paper_id, a.node_id ORDER BY a.depth) AS k
 FROM anc a JOIN nodes g ON g.node_id = a.ancestor_id AND g.paper_id = a.paper_id AND g.prompt <> '') WHERE k = 1""", ("anc",))
 def _(lib):
-    return G.slot_of(lib.nodes())
+    return G.slot_of(lib.nodes(), closure(lib))
 
 
 @query("gr02_ancestors", "SELECT paper_id, node_id, ancestor_id, depth FROM anc", ("anc",))
 def _(lib):
-    return G.ancestors(lib.nodes())
+    return closure(lib)
 
 
 @query("gr02_in_tray", "SELECT DISTINCT a.paper_id, a.node_id FROM anc a JOIN nodes g ON g.node_id = a.ancestor_id AND g.paper_id = a.paper_id AND g.tray", ("anc",))
 def _(lib):
-    return G.in_tray(lib.nodes())
+    return G.in_tray(lib.nodes(), closure(lib))
 
 
 @query("gr03_absolute_positions", """
 SELECT n.paper_id, n.node_id, n.x + coalesce(sum(g.x), 0) AS abs_x, n.y + coalesce(sum(g.y), 0) AS abs_y FROM nodes n
 LEFT JOIN anc a ON a.paper_id = n.paper_id AND a.node_id = n.node_id LEFT JOIN nodes g ON g.paper_id = a.paper_id AND g.node_id = a.ancestor_id GROUP BY n.paper_id, n.node_id, n.x, n.y""", ("anc",))
 def _(lib):
-    return G.absolute_positions(lib.nodes())
+    return G.absolute_positions(lib.nodes(), closure(lib))
 
 
 @query("gr04_hidden_nodes", """
@@ -87,7 +92,7 @@ SELECT n.paper_id, n.node_id, least(n.ord, coalesce(b.o, n.ord)) AS first_ord, c
 LEFT JOIN (SELECT a.paper_id, a.ancestor_id, min(c.ord) AS o FROM anc a JOIN nodes c ON c.paper_id = a.paper_id AND c.node_id = a.node_id GROUP BY 1, 2) b ON b.paper_id = n.paper_id AND b.ancestor_id = n.node_id
 LEFT JOIN (SELECT paper_id, node_id, max(depth) AS d FROM anc GROUP BY 1, 2) d ON d.paper_id = n.paper_id AND d.node_id = n.node_id""", ("anc",))
 def _(lib):
-    return G.parents_first(lib.nodes())
+    return G.parents_first(lib.nodes(), closure(lib))
 
 
 @query("gr06_new_connections", """
@@ -262,14 +267,15 @@ def _(lib):
 SELECT paper_id, node_id AS id, 'listed before its parent' AS problem FROM nodes WHERE parent_id IS NOT NULL AND ord % 11 = 0
 UNION ALL SELECT paper_id, node_id, 'unknown parent' FROM nodes WHERE parent_id IS NOT NULL AND ord % 13 = 0 AND ord % 11 <> 0
 UNION ALL SELECT paper_id, edge_id, 'unknown end' FROM edges WHERE ord % 17 = 0
-UNION ALL SELECT paper_id, node_id, 'duplicate id' FROM nodes WHERE type = 'note'""", ("nodes", "edges"))
+UNION ALL SELECT paper_id, node_id, 'duplicate id' FROM nodes WHERE type = 'note'
+UNION ALL SELECT paper_id, node_id, 'wrong prefix' FROM nodes WHERE type = 'note'""", ("nodes", "edges"))
 def _(lib):
     n, e = big(lib), lib.edges()
     o, kid = F.col("ord"), F.col("parent_id").isNotNull()
     bad = n.withColumn("parent_id", F.when(kid & (o % 13 == 0) & (o % 11 != 0), "n-none").otherwise(F.col("parent_id"))).withColumn("ord", F.when(kid & (o % 11 == 0), F.lit(-1).cast("long")).otherwise(o))
     marks = n.where("type = 'note'").select("paper_id", F.col("node_id").alias("h_id"))
     edges = e.withColumn("to_id", F.when(o % 17 == 0, "h-none").otherwise(F.col("to_id")))
-    return G.validate_board(bad, edges, marks).where("problem <> 'wrong prefix'")
+    return G.validate_board(bad, edges, marks)
 
 
 @query("fl06_reader_layer_nodes", "SELECT paper_id, node_id FROM nodes WHERE NOT (type = 'note' AND origin IS NOT DISTINCT FROM 'ai')", ("nodes",))

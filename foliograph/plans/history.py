@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliograph.operators import documents
 from foliograph.operators import history as H
+from foliograph.plans.documents import PAPER_MARKDOWN
 from foliograph.plans.graph import snapshot
 from foliograph.plans.prelude import add_table
 from foliograph.plans.registry import query
 from foliograph.sources import library, sinks
-from foliograph.sources.fixtures import StreamingLibrary, run_stream
+from foliograph.operators.spread import checkpoint_folder
+from foliograph.sources.fixtures import StreamingLibrary, run_stream, staged
 from foliograph.streaming import activity as ST
 
 add_table("turns", """
   SELECT c.paper_id, c.line_no, c.question, c.answer FROM chat c LEFT JOIN (SELECT paper_id, max(line_no) AS cut FROM chat WHERE new_chat GROUP BY 1) d ON d.paper_id = c.paper_id
   WHERE NOT c.new_chat AND (d.cut IS NULL OR c.line_no > d.cut)""", "chat")
 add_table("views", "SELECT paper_id AS session, event_id AS seq, t, CASE WHEN k % 13 = 0 THEN NULL ELSE page END AS page FROM activity WHERE event_type IN ('view', 'click')", "activity")
-add_table("dwell", """
-  SELECT session, page + 1 AS page, CAST(floor(ms / 1000 + 0.5) AS BIGINT) AS seconds FROM (
-    SELECT *, date_diff('microsecond', t, lead(t) OVER (PARTITION BY session ORDER BY t, seq)) / 1000 AS ms FROM (
+add_table("dwell", "SELECT session, page, seconds FROM dwell_ends", "dwell_ends")
+add_table("dwell_ends", """
+  SELECT session, page + 1 AS page, CAST(floor(ms / 1000 + 0.5) AS BIGINT) AS seconds, until FROM (
+    SELECT *, lead(t) OVER (PARTITION BY session ORDER BY t, seq) AS until, date_diff('microsecond', t, lead(t) OVER (PARTITION BY session ORDER BY t, seq)) / 1000 AS ms FROM (
       SELECT *, lag(page) OVER w AS prev, row_number() OVER w AS n FROM views WINDOW w AS (PARTITION BY session ORDER BY t, seq)) WHERE n = 1 OR page IS DISTINCT FROM prev)
   WHERE page IS NOT NULL AND ms >= 2000""", "views")
 
@@ -98,14 +106,21 @@ def edit_events(lib):
                                  F.concat(F.lit("v"), F.floor(F.col("k") / 40)).alias("text"))
 
 
-@query("st04_board_change_feed", """
-WITH things AS (SELECT paper_id, node_id AS id, 'node' AS kind, type, tag, ord FROM nodes UNION ALL SELECT paper_id, edge_id, 'edge', NULL, NULL, ord FROM edges)
-SELECT paper_id, 1 AS version, 'remove' AS action, id FROM things WHERE ord % 3 <> 0 AND ord % 7 = 0
-UNION ALL SELECT paper_id, 1, CASE WHEN kind = 'edge' THEN 'connect' ELSE 'cut' END, id FROM things WHERE ord % 3 = 0 AND ord % 7 <> 0 AND (kind = 'edge' OR type = 'chunk')
-UNION ALL SELECT paper_id, 1, 'tag', id FROM things WHERE ord % 3 <> 0 AND ord % 7 <> 0 AND ord % 5 = 0""", ("nodes", "edges"))
+BOARD_EVENTS = """
+  SELECT paper_id, 1 AS version, 'remove' AS action, id FROM things WHERE ord % 3 <> 0 AND ord % 7 = 0
+  UNION ALL SELECT paper_id, 1, CASE WHEN kind = 'edge' THEN 'connect' ELSE 'cut' END, id FROM things WHERE ord % 3 = 0 AND ord % 7 <> 0 AND (kind = 'edge' OR type = 'chunk')
+  UNION ALL SELECT paper_id, 1, 'tag', id FROM things WHERE ord % 3 <> 0 AND ord % 7 <> 0 AND ord % 5 = 0
+  UNION ALL SELECT DISTINCT paper_id, 1, 'group', id FROM things WHERE ord % 7 <> 0 AND type = 'group' AND (ord % 3 = 0 OR (id = 'n-r0' AND paper_id IN (
+    SELECT paper_id FROM things WHERE type = 'note' AND ord % 10 = 1 AND ord % 3 <> 0 AND ord % 7 <> 0)))"""
+add_table("things", """
+  SELECT paper_id, node_id AS id, 'node' AS kind, type, tag, ord FROM nodes UNION ALL SELECT paper_id, edge_id, 'edge', NULL, NULL, ord FROM edges""", "nodes", "edges")
+add_table("board_events", BOARD_EVENTS, "things")
+
+
+@query("st04_board_change_feed", "SELECT paper_id, version, action, id FROM board_events", ("board_events",))
 def _(lib):
     both = snapshot(lib, False).withColumn("version", F.lit(0)).unionByName(snapshot(lib, True).withColumn("version", F.lit(1)))
-    return H.board_change_feed(both).where("action <> 'group'")
+    return H.board_change_feed(both)
 
 
 def writes(lib):
@@ -139,7 +154,8 @@ def deltas(lib):
     c = lib.table("conversations")
     last = F.max("turn").over(Window.partitionBy("conv_id"))
     kind = F.when(F.col("turn") == last, F.when(F.col("conv_id") % 7 == 0, "error").otherwise("done")).otherwise("delta")
-    return c.select(F.col("conv_id").alias("call_id"), F.col("turn").alias("seq"), kind.alias("kind"), "text")
+    number = (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long")
+    return c.select(F.col("conv_id").alias("call_id"), number.alias("seq"), kind.alias("kind"), "text")
 
 
 @query("st07_assemble_answers", """
@@ -159,6 +175,43 @@ def _(lib):
     return library.paper_list(papers, lib.sections()[0])
 
 
+add_table("doc_lines", """
+  SELECT doc_id, i - 1 AS line_no, md5(l) AS text_md5 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""")
+
+
+@query("src03_ordered_lines", "SELECT doc_id, line_no, text_md5 FROM doc_lines", ("doc_lines",))
+def _(lib):
+    """The documents' lines written to text files one after another, read in many splits, and numbered by their place in the files."""
+    docs = lib.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    path = f"{new_folder(lib)}/lines"
+    ordered = docs.repartition(3, "doc_id").sortWithinPartitions("doc_id", "i")
+    ordered.select(F.to_json(F.struct("doc_id", "line"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    read = library.ordered_lines(lib.spark, path).withColumn("x", F.from_json("value", "doc_id long, line string"))
+    firsts = read.groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.min("line_no").alias("_first"))
+    return read.select("x.doc_id", "x.line", "line_no").join(firsts, "doc_id").select("doc_id", (F.col("line_no") - F.col("_first")).alias("line_no"), F.md5("line").alias("text_md5"))
+
+
+@query("snk01_write_markdown", PAPER_MARKDOWN, ("sections", "section_rects"))
+def _(lib):
+    """Every paper's Markdown written by buckets, written again, and read back."""
+    secs, ext = lib.sections()
+    papers = lib.table("documents").select(F.col("doc_id").alias("paper_id"))
+    paragraphs, path = documents.paper_markdown(papers, secs, ext), f"{new_folder(lib)}/out"
+    sinks.write_markdown(paragraphs.withColumn("text", F.lit("old")), path, "paper")
+    sinks.write_markdown(paragraphs, path, "paper")
+    return documents.as_text(sinks.read_markdown(lib.spark, path, "paper"))
+
+
+@query("snk02_append_log", "SELECT event_id, kind, action FROM activity", ("activity",))
+def _(lib):
+    """The activity appended by three micro-batches, compacted half way, and read back."""
+    rows = lib.activity().select("paper_id", "event_id", "kind", "action")
+    schema, base = "paper_id long, event_id long, kind string, action string", new_folder(lib)
+    sinks.append_log(staged(lib, rows, F.col("event_id")), f"{base}/log", f"{base}/state", once=True).awaitTermination()
+    sinks.compact_log(lib.spark, f"{base}/log", schema)
+    return sinks.read_appended(lib.spark, f"{base}/log", schema).select("event_id", "kind", "action")
+
+
 @query("snk03_upsert_papers", "SELECT doc_id AS paper_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM documents UNION ALL SELECT -1 - doc_id, 'new' FROM documents WHERE doc_id % 100 = 0")
 def _(lib):
     d = lib.table("documents").select(F.col("doc_id").alias("paper_id"))
@@ -176,29 +229,115 @@ def _(lib):
 # -- the same logs as streams ----------------------------------------------------------
 
 
+#: Milliseconds of rest that no key of the test data has.
+ALWAYS = 10 * 365 * 24 * 3600 * 1000
+
+
+def new_folder(lib):
+    return f"{checkpoint_folder(lib.spark)}/{uuid.uuid4()}"
+
+
 def streaming(lib):
     return StreamingLibrary(lib.spark, lib.root)
 
 
+def late(rows):
+    """Rows in the order they arrive: every fourth an hour late."""
+    return F.unix_micros("t") + F.when(F.col("seq") % 4 == 0, 3_600_000_000).otherwise(0)
+
+
+#: What the streams have handled in the end: rows before the last watermark.
+PASSED = "(SELECT epoch_ms(epoch_ms(max(t)) - 7200000) FROM activity)"
+
+
 @query("st01_activity_ingest_stream", "SELECT event_id, CASE WHEN kind = 'other' THEN 'kind' END AS reason FROM activity", ("activity",))
 def _(lib):
-    events = streaming(lib).activity().withWatermark("t", "1 hour")
-    return run_stream(lib, events.select("event_id", H.rejection(F.col("kind"), F.col("action")).alias("reason")))
+    """Three micro-batches through the operator, both of its outputs read back."""
+    events = lib.activity().select("event_id", F.col("event_id").alias("seq"), "t", "kind", "action")
+    base = new_folder(lib)
+    ST.activity_ingest(staged(lib, events, late(events)), f"{base}/good", f"{base}/bad", f"{base}/state").awaitTermination()
+    read = lambda name, schema: lib.spark.read.schema(schema).parquet(f"{base}/{name}/batch=*")
+    return read("good", "event_id long").withColumn("reason", F.lit(None).cast("string")).unionByName(read("bad", "event_id long, reason string"))
 
 
-@query("st02_page_dwell_stream", "SELECT session, page, seconds FROM dwell", ("dwell",))
+@query("st02_page_dwell_stream", f"SELECT session, page, seconds FROM dwell_ends WHERE until < {PASSED}", ("dwell_ends", "activity"))
 def _(lib):
-    return run_stream(lib, ST.page_dwell(views(streaming(lib)))).select("session", "page", "seconds")
+    rows = views(lib).select("session", "t", "seq", "page")
+    return run_stream(lib, ST.page_dwell(staged(lib, rows, late(rows)), "2 hours", ALWAYS)).select("session", "page", "seconds")
 
 
-@query("st03_note_edits_stream", """
-SELECT paper_id::VARCHAR AS note_id, seq, text FROM (SELECT paper_id, event_id AS seq, kind, text,
+@query("st03_note_edits_stream", f"""
+SELECT paper_id::VARCHAR AS note_id, seq, text FROM (SELECT paper_id, event_id AS seq, t, kind, text,
     coalesce(last_value(CASE WHEN kind = 'ended' THEN text END IGNORE NULLS) OVER w, first_value(CASE WHEN kind = 'seen' THEN text END IGNORE NULLS) OVER w, '') AS was
-  FROM (SELECT paper_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'seen' ELSE 'ended' END AS kind, 'v' || (k // 40) AS text FROM activity) WINDOW w AS (PARTITION BY paper_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-WHERE kind = 'ended' AND text <> was""", ("activity",))
+  FROM (SELECT paper_id, event_id, t, CASE WHEN event_id % 3 = 0 THEN 'seen' ELSE 'ended' END AS kind, 'v' || (k // 40) AS text FROM activity) WINDOW w AS (PARTITION BY paper_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+WHERE kind = 'ended' AND text <> was AND t < {PASSED}""", ("activity",))
+def _(lib):
+    edits = edit_events(lib).select(F.col("paper_id").cast("string").alias("note_id"), "t", "seq", "kind", "text")
+    return run_stream(lib, ST.note_edits(staged(lib, edits, late(edits)), "2 hours", ALWAYS))
+
+
+def versions(lib):
+    """Two versions of the boards, then none of their things, then the first again: each version in a micro-batch of its own."""
+    none = lambda kind: F.lit(None).cast(kind)
+    papers = lib.nodes().select("paper_id").distinct()
+    header = lambda v: papers.select("paper_id", F.lit(v).cast("long").alias("version"), *[none(k).alias(c) for c, k in (
+        ("id", "string"), ("kind", "string"), ("type", "string"), ("parent_id", "string"), ("tags", "array<string>"), ("text", "string"))])
+    held = lambda v, later: snapshot(lib, later).withColumn("version", F.lit(v).cast("long"))
+    rows = reduce(DataFrame.unionByName, [header(0), header(1), header(2), header(3), header(4), held(0, False), held(1, True), held(3, False)])
+    return rows.withColumn("t", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("version") * 600))
+
+
+@query("st04_board_change_feed_stream", """
+SELECT paper_id, version, action, id FROM board_events
+UNION ALL SELECT paper_id, 2, 'remove', id FROM things WHERE ord % 7 <> 0
+UNION ALL SELECT paper_id, 3, CASE WHEN kind = 'edge' THEN 'connect' WHEN type = 'chunk' THEN 'cut' ELSE 'group' END, id FROM things WHERE ord % 3 <> 0 AND (kind = 'edge' OR type IN ('chunk', 'group'))""",
+       ("board_events", "things"))
+def _(lib):
+    """Four versions over three micro-batches, an emptied board among them. The fifth version only moves the watermark on."""
+    rows = versions(lib)
+    return run_stream(lib, ST.board_change_feed(staged(lib, rows, F.col("version")), "0 seconds", ALWAYS))
+
+
+@query("st06_debounced_saves_stream", """
+SELECT paper_id, seq FROM (SELECT paper_id, event_id AS seq, t, date_diff('microsecond', t, lead(t) OVER (PARTITION BY paper_id ORDER BY t, event_id)) AS gap FROM activity)
+WHERE (gap IS NULL OR gap >= 3600000000) AND t + INTERVAL 1 HOUR <= (SELECT epoch_ms(epoch_ms(max(t)) - 7200000) FROM activity)""", ("activity",))
+def _(lib):
+    edits = lib.activity().select("paper_id", "t", F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("text"))
+    return run_stream(lib, ST.debounced_saves(staged(lib, edits, late(edits)), "1 hour", "2 hours")).select("paper_id", F.col("text").cast("long").alias("seq"))
+
+
+def answer_pieces(lib):
+    """Each paper's answer to a question as a call of pieces of 40 characters, with an end. Every seventh fails, every fifth sends an error
+    after its end, every eleventh repeats its first piece at the end."""
+    from foliograph.plans.answers import claims
+
+    raw = F.to_json(F.struct(F.lit(" So it is. ").alias("answer"), F.array(F.struct(F.col("span_id").alias("span"), "quote")).alias("grounds"), F.array(F.lit("n-t"), F.lit("n-gone"), F.lit("n-t")).alias("notes")))
+    cut = F.regexp_extract_all(raw, F.lit("(?s).{1,40}"), F.lit(0))
+    p = F.col("paper_id")
+    piece = lambda seq, kind, text: F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    none, n = F.lit(None).cast("string"), F.size("_cut")
+    every = F.concat(F.transform("_cut", lambda x, i: piece(i, "delta", x)),
+                     F.when(p % 7 == 0, F.array(piece(n, "error", none))).otherwise(F.array(piece(n, "done", none))),
+                     F.when(p % 5 == 0, F.array(piece(n + 1, "error", none))).otherwise(F.array(piece(n + 1, "delta", F.lit("after")))),
+                     F.when(p % 11 == 0, F.array(piece(F.lit(0), "delta", F.get("_cut", F.lit(0))))).otherwise(F.array().cast("array<struct<seq:bigint,kind:string,text:string>>")))
+    rows = claims(lib).withColumn("_cut", cut).select(p.alias("call_id"), F.explode(every).alias("x")).select("call_id", "x.*")
+    return rows.withColumn("t", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+
+
+@query("st07_answers_stream", """
+SELECT c.paper_id, 'So it is.' AS answer, CASE WHEN h.paper_id IS NOT NULL THEN 1 ELSE 0 END AS grounds, 'n-t' AS notes FROM claims c LEFT JOIN held_claims h ON h.paper_id = c.paper_id
+WHERE c.paper_id % 7 <> 0""", ("claims", "held_claims"))
 def _(lib):
-    edits = edit_events(streaming(lib)).select(F.col("paper_id").cast("string").alias("note_id"), "seq", "kind", "text")
-    return run_stream(lib, ST.note_edits(edits))
+    """Pieces that arrive out of order over three micro-batches, assembled, parsed and checked."""
+    from foliograph.plans.answers import claims, spans
+    from foliograph.plans.graph import board
+
+    rows, base = answer_pieces(lib), new_folder(lib)
+    calls = claims(lib).select("paper_id", F.col("paper_id").alias("call_id"))
+    stream = staged(lib, rows, F.pmod(F.col("seq") * 7 + F.col("call_id"), F.lit(3)))
+    ST.answer_sink(stream, calls, spans(lib), board(lib)[0], f"{base}/out", f"{base}/state", delay="1 hour", idle=ALWAYS).awaitTermination()
+    done = lib.spark.read.parquet(f"{base}/out/batch=*")
+    return done.select("paper_id", "answer", F.coalesce(F.size("grounds"), F.lit(0)).alias("grounds"), F.array_join("notes", ",").alias("notes"))
 
 
 @query("st08_activity_timeline_stream", "SELECT event_id, strftime(t, '%H:%M') AS clock FROM activity", ("activity",))

@@ -249,6 +249,22 @@ class StreamingLibrary(Library):
         return self.spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(self.root)
 
 
+def staged(lib: Library, rows: DataFrame, arrival, batches: int = 3, files: int = 4) -> DataFrame:
+    """`rows` as a stream of `batches` micro-batches: written in that many steps in the order of `arrival` (a long), then read as many
+    files at a time as a step has."""
+    path = f"{checkpoint_folder(lib.spark)}/{uuid.uuid4()}/in"
+    timed = rows.withColumn("_arrival", arrival)
+    bounds = timed.agg(F.percentile_approx("_arrival", [(i + 1) / batches for i in range(batches - 1)])).head()[0] or []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = timed
+        if low is not None:
+            part = part.where(F.col("_arrival") > low)
+        if high is not None:
+            part = part.where(F.col("_arrival") <= high)
+        part.drop("_arrival").repartition(files).write.mode("append").parquet(path)
+    return lib.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def run_stream(lib: Library, stream: DataFrame) -> DataFrame:
     """Drain a stream into a fresh folder beside the checkpoints and read it back."""
     base = f"{checkpoint_folder(lib.spark)}/{uuid.uuid4()}"

@@ -6,7 +6,7 @@ Schemas are declared, so a scan reads each file once and prunes unused children;
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as X
@@ -147,20 +147,34 @@ def read_boards(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value): the lines of text files, numbered from 0 in file order. A file may be read in many splits.
+
+    A task reads a split's lines one after another, so their running ids differ from the split's first by the place in the split; the
+    splits of a file, a row each, add up to where each of them starts. No file is sorted or read by one task."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), "value",
+                                                               F.monotonically_increasing_id().alias("_id"))
+    splits = raw.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return raw.join(starts, ["file", "_block"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
+
+
 def read_log(spark: SparkSession, root: str, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, damaged lines) of a JSON-lines log; one torn line never hides the rest. Blank lines are no rows."""
+    """(rows, damaged lines) of a JSON-lines log with their `line_no` in the file; one torn line never hides the rest. Blank lines are
+    no rows, but count."""
     name, schema = LOGS[kind]
     path = f"{root}/papers/*/{name}"
     try:
-        lines = spark.read.text(path).select(folder_id().alias("paper_id"), "value").where("trim(value) <> ''")
+        lines = ordered_lines(spark, path).select(F.element_at(F.split("file", "/"), -2).alias("paper_id"), "line_no", "value").where("trim(value) <> ''")
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" not in str(exc):
             raise
-        lines = spark.createDataFrame([], "paper_id string, value string")
+        lines = spark.createDataFrame([], "paper_id string, line_no long, value string")
     read = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     parsed = lines.withColumn("r", read)
     bad = F.col("r._corrupt_record").isNotNull()
-    return parsed.where(~bad).select("paper_id", "r.*").drop("_corrupt_record"), parsed.where(bad).select("paper_id", F.col("value").alias("line"))
+    return parsed.where(~bad).select("paper_id", "line_no", "r.*").drop("_corrupt_record"), parsed.where(bad).select("paper_id", "line_no", F.col("value").alias("line"))
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:

@@ -1,20 +1,27 @@
 """Structured Streaming forms of the logs. Each has a batch twin in `operators.history` giving the same rows.
 
-State per key is a page and a time, a text, a version or the open pieces of one answer; it is cleared when the key ends.
+Streams whose rows have an order keep it by event time (`inorder`): a row is handled once the watermark has passed it, so the result
+is that of the batch twin for all rows before the last watermark, however the input was cut. State of a key is a page and a
+time, a text, a version or the open pieces of one answer; it goes when the key rests.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from foliograph.operators.history import DWELL_MIN_MS, rejection, timeline
+from foliograph.operators import grounding
+from foliograph.operators.history import DWELL_MIN_MS, board_events, rejection, timeline
+from foliograph.streaming.inorder import PROVIDER, ROCKSDB, InOrder, in_order, plain
 
 NO_TIMEOUT = "NoTimeout"
+#: Milliseconds after which a key at rest is forgotten.
+IDLE_MS = 24 * 3600 * 1000
 
 
 def _types(ddl: str) -> T.StructType:
@@ -35,44 +42,61 @@ def activity_ingest(events: DataFrame, good_path: str, bad_path: str, checkpoint
     return judged.withWatermark("t", "1 hour").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def page_dwell(views: DataFrame) -> DataFrame:
-    """Stays of at least two seconds per session, emitted at the move that ends them. `views`: session, t, page, seq."""
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["t", "seq"])
-        page, since = state.get if state.exists else (None, 0)
-        out = []
-        for r in rows.itertuples(index=False):
-            here = None if pd.isna(r.page) else int(r.page)
-            now = r.t.value // 1000
+class _Dwell(InOrder):
+    columns, out = "t long, seq long, page int", ("session", "t", "page", "seconds")
+
+    def begin(self, handle) -> None:
+        self.open = handle.getValueState("open", "page int, since long")
+
+    def forget(self) -> None:
+        self.open.clear()
+
+    def step(self, key: tuple, rows: Sequence[tuple]) -> list[tuple]:
+        page, since = self.open.get() if self.open.exists() else (None, 0)
+        found = []
+        for now, _, here in rows:
             if page is not None and here == page:
                 continue
             if page is not None and (now - since) / 1000 >= DWELL_MIN_MS:
-                out.append((key[0], pd.Timestamp(since, unit="us"), page + 1, int((now - since) / 1_000_000 + 0.5)))
+                found.append((key[0], pd.Timestamp(since, unit="us"), page + 1, int((now - since) / 1_000_000 + 0.5)))
             page, since = here, now
-        state.update((page, since))
-        yield pd.DataFrame(out, columns=["session", "t", "page", "seconds"])
+        self.open.update((page, since))
+        return found
 
-    schema = _types("session long, t timestamp, page int, seconds long")
-    return views.groupBy("session").applyInPandasWithState(run, schema, _types("page int, since long"), "append", NO_TIMEOUT)
 
+def page_dwell(views: DataFrame, delay: str = "1 minute", idle: int = IDLE_MS) -> DataFrame:
+    """Stays of at least two seconds per session, emitted when the watermark passes the move that ends them. `views`: session, t, page,
+    seq."""
+    return in_order(views, "session", _Dwell(idle), "session long, t timestamp, page int, seconds long", delay)
 
-def note_edits(edits: DataFrame) -> DataFrame:
-    """Ended edits that changed the text. `edits`: note_id, seq, kind, text."""
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        base = state.get[0] if state.exists else None
-        out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            if r.kind == "seen":
-                base = r.text if base is None else base
+
+class _NoteEdits(InOrder):
+    columns, out = "t long, seq long, kind string, text string", ("note_id", "seq", "text")
+
+    def begin(self, handle) -> None:
+        self.base = handle.getValueState("base", "text string")
+
+    def forget(self) -> None:
+        self.base.clear()
+
+    def step(self, key: tuple, rows: Sequence[tuple]) -> list[tuple]:
+        base = self.base.get()[0] if self.base.exists() else None
+        found = []
+        for _, seq, kind, text in rows:
+            if kind == "seen":
+                base = text if base is None else base
             else:
-                if (base or "") != r.text:
-                    out.append((key[0], r.seq, r.text))
-                base = r.text
+                if (base or "") != text:
+                    found.append((key[0], seq, text))
+                base = text
         if base is not None:
-            state.update((base,))
-        yield pd.DataFrame(out, columns=["note_id", "seq", "text"])
+            self.base.update((base,))
+        return found
+
 
-    return edits.groupBy("note_id").applyInPandasWithState(run, _types("note_id string, seq long, text string"), _types("base string"), "append", NO_TIMEOUT)
+def note_edits(edits: DataFrame, delay: str = "1 minute", idle: int = IDLE_MS) -> DataFrame:
+    """Ended edits that changed the text. `edits`: note_id, t, seq, kind, text. A note at rest for `idle` starts afresh."""
+    return in_order(edits, "note_id", _NoteEdits(idle), "note_id string, seq long, text string", delay)
 
 
 def versioned_writes(writes: DataFrame) -> DataFrame:
@@ -90,46 +114,113 @@ def versioned_writes(writes: DataFrame) -> DataFrame:
     return writes.groupBy("paper_id").applyInPandasWithState(run, _types("paper_id long, seq long, accepted boolean, version long"), _types("version long"), "append", NO_TIMEOUT)
 
 
-def assemble_answers(deltas: DataFrame) -> DataFrame:
-    """A call's pieces as one text at its done marker; an error closes it with nothing. `deltas`: call_id, seq, kind, text."""
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        text = state.get[0] if state.exists else ""
-        out, closed = [], False
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            if r.kind == "delta" and not closed:
-                text += r.text
-            elif r.kind == "done" and not closed:
-                out.append((key[0], text))
-                closed = True
-            elif r.kind == "error":
-                closed = True
+class _Answers(StatefulProcessor):
+    """Pieces of one call, taken in the order of their numbers. Pieces that come early wait; a closed call stays known until it has
+    rested for `idle`, so what comes after its end changes nothing."""
+
+    def __init__(self, first: int, idle: int):
+        self.first, self.idle = first, idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.early = handle.getMapState("early", "seq long", "kind string, text string")
+        self.said = handle.getListState("said", "text string")
+        self.at = handle.getValueState("at", "next long, closed boolean, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        number, closed, last = self.at.get() if self.at.exists() else (self.first, False, 0)
+        done = False
+        for frame in rows:
+            for t, seq, kind, text in frame[["t", "seq", "kind", "text"]].itertuples(index=False, name=None):
+                last = max(last, plain(t) // 1000)
+                if closed or seq < number:
+                    continue
+                if not self.early.containsKey((int(seq),)):
+                    self.early.updateValue((int(seq),), (kind, plain(text)))
+        while not closed and self.early.containsKey((number,)):
+            kind, text = self.early.getValue((number,))
+            self.early.removeKey((number,))
+            if kind == "delta":
+                self.said.appendValue((text or "",))
+                number += 1
+            else:
+                closed, done = True, kind == "done"
+        self.at.update((number, closed, last))
+        self.handle.registerTimer(last + self.idle)
         if closed:
-            state.remove()
-        else:
-            state.update((text,))
-        yield pd.DataFrame(out, columns=["call_id", "raw"])
-
-    return deltas.groupBy("call_id").applyInPandasWithState(run, _types("call_id long, raw string"), _types("text string"), "append", NO_TIMEOUT)
-
-
-def board_change_feed(snapshots: DataFrame) -> DataFrame:
-    """Ids added, retagged or removed between a paper's consecutive snapshots. `snapshots`: paper_id, version, id, tags (text),
-    one row a thing, all of a version in one micro-batch; state is the last snapshot's ids and tags."""
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = dict(zip(state.get[0], state.get[1], strict=True)) if state.exists else None
-        out = []
-        for version, rows in pd.concat(list(batches)).groupby("version", sort=True):
-            now = dict(zip(rows["id"], rows["tags"], strict=True))
-            if last is not None:
-                out += [(key[0], version, "add", i) for i in now if i not in last]
-                out += [(key[0], version, "remove", i) for i in last if i not in now]
-                out += [(key[0], version, "tag", i) for i in now if i in last and last[i] != now[i]]
-            last = now
-        state.update((list(last), list(last.values())))
-        yield pd.DataFrame(out, columns=["paper_id", "version", "action", "id"])
-
-    return snapshots.groupBy("paper_id").applyInPandasWithState(run, _types("paper_id long, version long, action string, id string"),
-                                                              _types("ids array<string>, tags array<string>"), "append", NO_TIMEOUT)
+            whole = "".join(x[0] for x in self.said.get()) if done and self.said.exists() else ""
+            self.said.clear()
+            self.early.clear()
+            if done:
+                yield pd.DataFrame([(key[0], whole)], columns=["call_id", "raw"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.at.exists() and self.at.get()[2] + self.idle <= timerValues.getCurrentWatermarkInMs():
+            self.at.clear()
+            self.said.clear()
+            self.early.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def assemble_answers(deltas: DataFrame, first: int = 0, delay: str = "10 minutes", idle: int = IDLE_MS) -> DataFrame:
+    """A call's pieces as one text when all up to its end are there. The end is the first done or error marker by number; an error
+    closes the call with nothing, and nothing after the end counts. `deltas`: call_id, t, seq (from `first`), kind, text."""
+    conf = deltas.sparkSession.conf
+    if conf.get(PROVIDER, "") != ROCKSDB:
+        conf.set(PROVIDER, ROCKSDB)
+    kind = deltas.schema["call_id"].dataType.simpleString()
+    return deltas.withWatermark("t", delay).groupBy("call_id").transformWithStateInPandas(_Answers(first, idle), f"call_id {kind}, raw string", "Append", "EventTime")
+
+
+def answer_sink(deltas: DataFrame, calls: DataFrame, spans: DataFrame, notes: DataFrame, path: str, checkpoint: str, **options):
+    """Finished answers parsed and checked against their paper, written by micro-batch; a batch run again replaces its own files.
+    `calls`: call_id, paper_id."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        good, _ = grounding.parse_answers(batch.join(calls, "call_id"), grounding.ASK_SCHEMA)
+        grounding.ask_results(good, spans, notes).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return assemble_answers(deltas, **options).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _BoardFeed(InOrder):
+    columns = "t long, seq long, id string, kind string, type string, parent_id string, tags string"
+    out = ("paper_id", "version", "action", "id")
+
+    def begin(self, handle) -> None:
+        self.items = handle.getMapState("items", "id string", "kind string, type string, parent_id string, tags string")
+        self.version = handle.getValueState("version", "version long")
+
+    def forget(self) -> None:
+        self.items.clear()
+        self.version.clear()
+
+    def step(self, key: tuple, rows: Sequence[tuple]) -> list[tuple]:
+        found = []
+        last = self.version.get()[0] if self.version.exists() else None
+        held = {k[0]: tuple(v) for k, v in self.items.iterator()} if last is not None else {}
+        for version in sorted({r[1] for r in rows}):
+            now = {r[2]: tuple(r[3:]) for r in rows if r[1] == version and r[2] is not None}
+            if last is not None and version == last + 1:
+                found += [(key[0], version, action, id) for action, id in board_events(held, now)]
+            for id in held.keys() - now.keys():
+                self.items.removeKey((id,))
+            for id, item in now.items():
+                if held.get(id) != item:
+                    self.items.updateValue((id,), item)
+            held, last = now, version
+        self.version.update((last,))
+        return found
+
+
+def board_change_feed(snapshots: DataFrame, delay: str = "1 minute", idle: int = IDLE_MS) -> DataFrame:
+    """Build events between a paper's consecutive versions, named as by `history.board_change_feed`. State holds the last version's
+    items by id; only what changed is written. `snapshots`: paper_id, t, version, id, kind, type, parent_id, tags; a version's rows share
+    its t, and a row with a null id says that the version exists, which is all there is of an empty board."""
+    rows = snapshots.select("paper_id", "t", F.col("version").alias("seq"), "id", "kind", "type", "parent_id", F.concat_ws("\x01", "tags").alias("tags"))
+    return in_order(rows, "paper_id", _BoardFeed(idle), "paper_id long, version long, action string, id string", delay)
 
 
 def debounced_saves(edits: DataFrame, gap: str = "500 milliseconds", late: str = "1 minute") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators against hand-made tables and brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from foliograph.operators import history as H
 from foliograph.operators import layout as L
 from foliograph.operators import search as S
 from foliograph.operators.contains import substring_join
-from foliograph.operators.spread import page_numbering, running
+from foliograph.operators.spread import materialise, page_numbering, running
 
 BOX = "x0 double, y0 double, x1 double, y1 double"
 
@@ -321,3 +322,124 @@ def test_merge_rows_with_interleaved_heights(spark):
     got = [(r.block, r.text) for r in L.merge_rows(df).collect()]
     assert {t for b, t in got if b == 0} == {"A C", "B"}
     assert sorted(got) == [x for b in range(9) for x in slow_rows([r for r in runs if r[2] == b])]
+
+
+def boards(spark, groups, others=()):
+    rows = [(1, f"g{i}", "group", None if p is None else f"g{p}") for i, p in groups] + [(1, f"c{i}", "chunk", f"g{p}") for i, p in others]
+    return spark.createDataFrame(rows, "paper_id long, node_id string, type string, parent_id string")
+
+
+def walked(groups, others):
+    up, found = dict(groups), {}
+    for name, start in [*((f"g{i}", p) for i, p in groups), *((f"c{i}", p) for i, p in others)]:
+        seen, at, depth = [], start, 1
+        while at is not None and at in up and f"g{at}" not in seen and f"g{at}" != name:
+            seen.append(f"g{at}")
+            at = up[at]
+        found.update({(name, a): d for d, a in enumerate(seen, 1)})
+    return found
+
+
+@pytest.mark.parametrize("groups", [[(0, None)], [(0, 1), (1, 0)], [(0, 0)], [(i, i - 1 if i else None) for i in range(40)], [(i, (i + 1) % 7 if i < 7 else i - 6) for i in range(23)],
+                                    [(i, None if i == 9 else (i * 7 + 3) % 31) for i in range(30)]])
+def test_closure_is_that_of_walking_up(spark, groups):
+    others = [(i, i * 3 % (len(groups) + 1)) for i in range(12)]
+    got = {(r.node_id, r.ancestor_id): r.depth for r in G.ancestors(boards(spark, groups, others)).collect()}
+    assert got == walked(groups, others)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(G, "materialise", lambda df: calls.append(1) or materialise(df))
+    assert G.ancestors(boards(spark, [(i, i - 1 if i else None) for i in range(600)])).count() == 600 * 599 // 2
+    assert len(calls) <= 1 + 3 * 11
+
+
+def test_terms_of_any_length(spark):
+    rng = random.Random(12)
+    spell = ["A", "bee", "Bee.", "(cat)", "dog", "-", "the", "The", "x1"]
+    pages = [[rng.choice(spell) for _ in range(60)] for _ in range(4)]
+    words = [(1, p, i, float(i), 0.0, i + 0.5, 1.0, w) for p, ws in enumerate(pages) for i, w in enumerate(ws)]
+    terms = {" ".join(rng.choices(["a", "BEE", "cat!", "dog", "the", "x1"], k=rng.randint(1, 4))) for _ in range(40)} | {"the", "bee cat dog the a", "--", "  the   bee "}
+    bare = lambda w: re.sub(r"^\W+|\W+$", "", w).lower()
+    want = set()
+    for t in terms:
+        toks = [b for w in t.split() if (b := bare(w))]
+        want |= {(t, p, float(i), i + len(toks) - 0.5) for p, ws in enumerate(pages) for i in range(len(ws) - len(toks) + 1) if toks and [bare(w) for w in ws[i:i + len(toks)]] == toks}
+    got = S.term_occurrences(spark.createDataFrame([(1, t) for t in terms], "paper_id long, term string"),
+                             spark.createDataFrame(words, f"paper_id long, page int, word_ord long, {BOX}, text string"))
+    rows = [(r.term, r.page, r.x0, r.x1) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) and "regexp_extract_all" not in got._jdf.queryExecution().toString()
+
+
+def test_term_places_in_text(spark):
+    docs = [(1, 0, "The cat's Cat-flap, the CAT; concatenate (cat) cat"), (1, 1, "-- a cat flap -- a"), (1, 2, "")]
+    terms = [(1, t) for t in ("cat", "cat-flap", "the cat", "(cat)", "--", "a", "flap -- a")]
+    got = S.term_spans(spark.createDataFrame(docs, "paper_id long, d int, text string"), spark.createDataFrame(terms, "paper_id long, term string"), ["d"]).collect()
+    want = set()
+    for _, d, text in docs:  # earliest first, of those the longest, none inside another
+        low, hits = text.lower(), []
+        for _, t in terms:
+            hits += [(m.start(), -len(t), t) for m in re.finditer(f"(?={re.escape(t)})", low) if not re.match(r"[^\W_]", low[m.start() - 1:m.start()]) and not re.match(r"[^\W_]", low[m.start() + len(t):m.start() + len(t) + 1])]
+        end = 0
+        for s, n, t in sorted(hits):
+            if s >= end:
+                want.add((d, s, s - n, t))
+                end = s - n
+    assert {(r.d, r.start, r.end, r.term) for r in got} == want
+
+
+def test_longest_head_has_no_limit(spark):
+    head = "ab" * 1_500_000
+    df = spark.createDataFrame([(head + "tail", "x" + head + "y"), ("abc", "zabd"), ("q", "zzz"), ("same", "same"), ("", "text")], "q string, t string")
+    assert [r[0] for r in df.select(A.longest_head(F.col("q"), F.col("t"))).collect()] == [3_000_000, 2, 0, 4, 0]
+
+
+def test_only_items_over_changed_pages_are_looked_for(spark):
+    """Two papers of three pages; in the new extraction a page of the first grew and one of its regions moved. Items before it keep their
+    anchors, those after it are found again, and only the chunk whose rects changed gets new blocks."""
+    def extraction(second, moved):
+        regions, words, texts = [], [], []
+        for p in (1, 2):
+            n = 0
+            for page in range(3):
+                lines = ["alpha beta gamma", f"page {page} of paper {p}", second if (p, page) == (1, 1) else "delta epsilon zeta"]
+                texts.append((p, page, "\n".join(lines)))
+                for k, line in enumerate(lines):
+                    y = 72.0 + 24 * k + (moved if (p, page) == (1, 2) else 0.0)
+                    regions.append((p, n, page, 50.0, y, 250.0, y + 20, "text", line))
+                    for i, w in enumerate(line.split()):
+                        words.append((p, page, n, 0, i, 50.0 + 30 * i, y + 4, 75.0 + 30 * i, y + 16, w, n * 100 + i))
+                    n += 1
+        return (spark.createDataFrame(texts, "paper_id long, page int, text string"), spark.createDataFrame(regions, f"paper_id long, ord int, page int, {BOX}, label string, text string"),
+                spark.createDataFrame(words, f"paper_id long, page int, block int, line int, word_no int, {BOX}, text string, word_ord long"))
+
+    old_text, old_regions, old_words = extraction("delta epsilon zeta", 0.0)
+    text, regions, words = extraction("delta epsilon zeta eta theta", 300.0)
+    box = lambda y: (50.0, y, 250.0, y + 20)
+    marks, ends, chunk_rects = [], [], []
+    starts = {(r.paper_id, r.page): r.page_start for r in A.page_index(old_text).collect()}
+    for p in (1, 2):
+        for page in range(3):
+            quote = f"page {page} of paper {p}"
+            marks.append((p, f"h{page}", quote, "gamma\n", "\ndelta", starts[p, page] + 17, page, 1, "anchored", *box(96.0)))
+            for which, exact, y in (("start", "alpha beta gamma", 72.0), ("end", quote, 96.0)):
+                ends.append((p, f"c{page}", which, exact, "", "\npage" if which == "start" else "\ndelta", starts[p, page]))
+            chunk_rects.append((p, f"c{page}", 0, page, 50.0, 72.0, 250.0, 116.0))
+    quotes = spark.createDataFrame(marks, f"paper_id long, q_id string, exact string, prefix string, suffix string, position long, page_hint int, span int, state string, {BOX}")
+    mark_rects = quotes.select("paper_id", "q_id", F.col("page_hint").alias("page"), "x0", "y0", "x1", "y1")
+    ends = spark.createDataFrame(ends, "paper_id long, node_id string, which string, exact string, prefix string, suffix string, position long")
+    rects = spark.createDataFrame(chunk_rects, f"paper_id long, node_id string, rect_ord int, page int, {BOX}")
+    held = mark_rects.select("paper_id", F.lit("highlight").alias("kind"), F.col("q_id").alias("id"), "page").unionByName(rects.select("paper_id", F.lit("chunk").alias("kind"), F.col("node_id").alias("id"), "page"))
+    paper = A.anchor_basis(old_text, old_regions).withColumnRenamed("basis", "paper_basis")
+    at = quotes.select("paper_id", F.lit("highlight").alias("kind"), F.col("q_id").alias("id"), "position").unionByName(ends.where("which = 'start'").select("paper_id", F.lit("chunk").alias("kind"), F.col("node_id").alias("id"), "position"))
+    stored = A.item_basis(held, old_text, old_regions).join(paper, "paper_id").join(at, ["paper_id", "kind", "id"]).withColumn("state", F.when((F.col("paper_id") == 1) & (F.col("id") == "h0"), "orphaned").otherwise("anchored"))
+    sizes = regions.select("paper_id", "page").distinct().withColumn("width", F.lit(612.0))
+    done = A.reanchor(stored, quotes, mark_rects, ends, rects, text, regions, words, sizes)
+    states = {(r.paper_id, r.id): (r.state, r.looked_for) for r in done.states.collect()}
+    assert states == {**{(p, f"{k}{n}"): ("anchored", False) for p in (1, 2) for k in "hc" for n in range(3)}, (1, "h0"): ("anchored", True), (1, "h1"): ("anchored", True), (1, "c1"): ("anchored", True),
+                      (1, "h2"): ("relocated", True), (1, "c2"): ("relocated", True)}
+    moved = {(r.paper_id, r.id): (r.page, r.y0) for r in done.rects.collect()}
+    assert moved[1, "h2"] == (2, 400.0) and moved[1, "c2"][0] == 2 and moved[1, "c2"][1] == 372.0 and moved[1, "h1"] == (1, 96.0) and len(moved) == 12
+    assert {(r.paper_id, r.node_id) for r in done.blocks.collect()} == {(1, "c2")}
+    assert [r.text for r in done.blocks.orderBy("region_ord").collect()][:2] == ["alpha beta gamma\n", "page 2 of paper 1\n"]

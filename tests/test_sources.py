@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliograph.operators import documents as D
+from foliograph.operators import history as H
 from foliograph.sources import library as L
 from foliograph.sources import sinks
 
@@ -85,7 +86,70 @@ def test_defaults(spark, root, tmp_path):
 def test_write_markdown_keeps_the_order(spark, lib, tmp_path):
     secs, ext = lib.sections()
     papers = lib.table("documents").select(F.col("doc_id").alias("paper_id"))
-    paras = D.paper_markdown(papers, secs, ext).where("paper_id = 0")
-    sinks.write_markdown(paras, str(tmp_path / "out"), "paper")
-    said = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "out/document=paper/paper_id=0")).collect()).strip()
-    assert said == D.as_text(paras).first()["text"].strip()
+    paras, out = D.paper_markdown(papers, secs, ext), str(tmp_path / "out")
+    sinks.write_markdown(paras, out, "paper", buckets=5)
+    sinks.write_markdown(paras.where("paper_id < 3"), out, "board", buckets=5)
+    assert same(D.as_text(sinks.read_markdown(spark, out, "paper")), D.as_text(paras))
+    rows = [r for f in spark.read.parquet(out).where("document = 'paper' AND bucket = 2").inputFiles() for r in spark.read.parquet(f).select("paper_id", "pos").collect()]
+    assert rows == sorted(rows) or len(spark.read.parquet(out).where("document = 'paper' AND bucket = 2").inputFiles()) > 1
+    assert sinks.read_markdown(spark, out, "board").select("paper_id").distinct().count() == 3
+
+
+def same(a, b):
+    return sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_log_batches_replace_themselves(spark, tmp_path):
+    """A replayed micro-batch, before and after compaction, changes nothing; an unfinished run is not read."""
+    path, schema = str(tmp_path / "log"), "paper_id long, seq long"
+    rows = spark.range(90).select((F.col("id") % 7).alias("paper_id"), F.col("id").alias("seq"))
+    stream = lambda name: sinks.append_log(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), path, str(tmp_path / name), once=True)
+    for k in range(3):
+        rows.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream("first").awaitTermination()
+    assert same(sinks.read_appended(spark, path, schema), rows) and sinks._runs(spark, path) == [(0, 0), (1, 1), (2, 2)]
+    stream("again").awaitTermination()  # a new checkpoint runs all batches again
+    assert same(sinks.read_appended(spark, path, schema), rows)
+    sinks.compact_log(spark, path, schema, buckets=4)
+    assert same(sinks.read_appended(spark, path, schema), rows) and sinks._runs(spark, path) == [(0, 2)]
+    stream("later").awaitTermination()
+    assert same(sinks.read_appended(spark, path, schema), rows) and sinks._runs(spark, path) == [(0, 2)]
+    rows.write.parquet(f"{path}/run=3-3")
+    (tmp_path / "log" / "run=3-3" / "_SUCCESS").unlink()
+    assert same(sinks.read_appended(spark, path, schema), rows)
+    assert sinks.read_appended(spark, str(tmp_path / "none"), schema).count() == 0
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    texts = {f"f{k}.txt": [f"{k}:{i}" + "x" * (i * 7 % 50) for i in range(n)] for k, n in enumerate((0, 1, 300, 500))}
+    texts["gaps.txt"] = ["", "a", "", "", "b", ""]
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("".join(f"{x}\n" for x in lines))
+    small = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        got = L.ordered_lines(spark, str(tmp_path / "*.txt")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    found = {}
+    for r in got:
+        found.setdefault(r.file.rsplit("/", 1)[1], {})[r.line_no] = r.value
+    assert {n: [lines[i] for i in range(len(lines))] for n, lines in found.items()} == {n: x for n, x in texts.items() if x}
+
+
+def test_chat_read_in_file_order(spark, tmp_path):
+    """The current chat and its history within a budget, straight from a log on disk."""
+    folder = tmp_path / "papers" / "a-paper"
+    folder.mkdir(parents=True)
+    lines = [{"t": "2024-01-01T00:00:00Z", "question": f"q{i}", "answer": "a" * 8, "grounds": [], "notes": []} for i in range(6)]
+    lines.insert(2, {"t": "2024-01-01T00:00:00Z", "new_chat": True})
+    (folder / "chat.jsonl").write_text("\n".join(["", *map(json.dumps, lines[:4]), "{torn", "", *map(json.dumps, lines[4:])]) + "\n")
+    rows, torn = L.read_log(spark, str(tmp_path), "chat")
+    assert [(r.line_no, r.line) for r in torn.collect()] == [(5, "{torn")]
+    turns = H.current_chat(rows.withColumn("new_chat", F.coalesce("new_chat", F.lit(False))))
+    assert [(r.line_no, r.question) for r in turns.orderBy("line_no").collect()] == [(4, "q2"), (7, "q3"), (8, "q4"), (9, "q5")]
+    kept = H.history_within_budget(turns, 25).orderBy("line_no").collect()
+    assert [(r.question, r.trimmed) for r in kept] == [("q4", True), ("q5", True)]
