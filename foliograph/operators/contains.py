@@ -3,7 +3,8 @@
 Texts are cut into aligned blocks of `w` characters; a needle of at least 2w-1 characters covers a whole aligned block
 wherever it occurs, and which one is decided by its offset modulo w. So each needle offers its first `w` windows of
 length w, each text its aligned blocks, and the two meet in an equi-join; every occurrence meets exactly once and is
-then verified in full. `w` follows the needle's length (a power of two), so long needles touch few blocks.
+then verified in full. `w` follows the needle's length (a power of two), so long needles touch few blocks. Small blocks are alike in
+many texts; they carry their neighbours, so a needle is compared with up to three blocks before it is joined with a text.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Blocks of more characters than this say enough by their hash.
+NEAR = 16
+
+
 def _width(length: Column) -> Column:
     """Largest power of two w with 2w - 1 <= length."""
     return F.pow(F.lit(2), F.floor(F.log2((length + 1) / 2 + 1e-9))).cast("int")
@@ -26,19 +31,25 @@ def substring_join(needles: DataFrame, texts: DataFrame, needle: str, text: str,
     within = list(within)
     keyed = (needles.where(F.length(needle) > 0)
              .withColumn("_w", _width(F.length(needle))))
+    head = F.col("_r") + F.col("_w") + F.least(F.col("_w"), F.length(needle) - F.col("_r") - F.col("_w"))  # what up to three blocks hold of it
     grams = (keyed.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)))
-             .withColumn("_gram", F.xxhash64(F.expr(f"substring({needle}, _r + 1, _w)"))))
+             .withColumn("_gram", F.xxhash64(F.expr(f"substring({needle}, _r + 1, _w)")))
+             .withColumn("_head", F.when(F.col("_w") <= NEAR, F.substring(needle, F.lit(1), head.cast("int")))))
     # At most one width per power of two: a bounded array, whatever the number of needles.
-    widths = keyed.select(F.array_sort(F.collect_set("_w")).alias("w")).scalar()
+    widths = F.array_sort(F.collect_set("_w")).alias("_ws")
     carried = [k for k in text_keys if k not in within]
-    blocks = (texts.select(*within, *carried, F.col(text).alias("_text"), widths.alias("_ws"))
-              .withColumn("_w", F.explode("_ws"))
-              .select(*within, *carried, "_w",
-                      F.posexplode(F.expr("regexp_extract_all(_text, concat('(?s).{', _w, '}'), 0)")).alias("_b", "_piece"))
-              .withColumn("_gram", F.xxhash64("_piece")).drop("_piece"))
+    bodies = texts.select(*within, *carried, F.col(text).alias("_text"))  # cut to the widths that needles of their own key have
+    sized = bodies.join(keyed.groupBy(*within).agg(widths), within) if within else bodies.withColumn("_ws", keyed.select(widths).scalar())
+    cut = (sized.withColumn("_w", F.explode("_ws"))
+           .select(*within, *carried, "_w", F.expr("regexp_extract_all(_text, concat('(?s).{', _w, '}'), 0)").alias("_pieces")))
+    near = lambda i: F.when(F.col("_w") <= NEAR, F.concat(F.coalesce(F.get("_pieces", i - 1), F.lit("")), F.get("_pieces", i), F.get("_pieces", i + 1)))
+    blocks = cut.select(*within, *carried, "_w", F.posexplode(F.transform("_pieces", lambda p, i: F.struct(F.xxhash64(p).alias("gram"), near(i).alias("near")))).alias("_b", "_x")).select(
+        *within, *carried, "_w", "_b", F.col("_x.gram").alias("_gram"), F.col("_x.near").alias("_near"))
+    before = F.when(F.col("_b") > 0, F.col("_w")).otherwise(0)  # no neighbours at all for the last block: its text may go on
+    alike = F.col("_near").isNull() | F.col("_head").isNull() | (F.substring("_near", (before - F.col("_r") + 1).cast("int"), F.length("_head")) == F.col("_head"))
     met = (grams.join(blocks, [*within, "_w", "_gram"])
-           .withColumn("at", F.col("_b") * F.col("_w") - F.col("_r")).where("at >= 0")
-           .drop("_w", "_r", "_gram", "_b"))
+           .withColumn("at", F.col("_b") * F.col("_w") - F.col("_r")).where((F.col("at") >= 0) & alike)
+           .drop("_w", "_r", "_gram", "_b", "_head", "_near"))
     held = texts.select(*within, *carried, F.col(text).alias("_text"))
     return (met.join(held, [*within, *carried])
             .where(F.expr(f"substring(_text, at + 1, length({needle})) = {needle}")).drop("_text"))

@@ -18,10 +18,13 @@ BLOCK = 4096
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (`spark.checkpoint.dir`); a temporary one only where none is set, as in local tests."""
+    """The cluster's shared folder (`spark.checkpoint.dir`). Only a session on one machine without it (local tests) gets a folder of its
+    own; elsewhere executors would not see each other's files."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 
