@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,10 +117,13 @@ def merged(tokens: Column, ranks: RankMap, table: Column) -> Column:
                         F.array(ranks.rank(table, F.get(row, at - 4), token), token, ranks.rank(table, token, F.get(row, at + 2))),
                         F.slice(row, at + 3, F.lit(1 << 30)))
 
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        """`use` of a value that is worked out once, however often it is used."""
+        return F.get(F.transform(F.array(value), use), 0)
+
     def step(row: Column, _: Column) -> Column:
-        low = F.array_min(row)
-        place = F.array(F.struct(low.alias("low"), F.array_position(row, low).cast("int").alias("at")))
-        return F.when(low >= ranks.LIMIT, row).otherwise(F.get(F.transform(place, lambda x: splice(row, x["low"], x["at"])), 0))
+        return bound(F.array_min(row), lambda low: F.when(low >= ranks.LIMIT, row).otherwise(
+            bound(F.array_position(row, low).cast("int"), lambda at: splice(row, low, at))))
 
     return F.filter(F.aggregate(F.slice(tokens, F.lit(4), F.lit(1 << 30)), start, step), lambda x: x >= ranks.BASE)
 
@@ -246,10 +249,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     if tasks:
         source = source.coalesce(tasks)
     rows = pa.list_(pa.list_(pa.int64()))
+    base, last = table.BASE, table.edge  # all that the Python steps need of the rank map
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, single, pairs = _Pieces(pattern), [ranks[bytes([b])] for b in range(256)], None
-        tokens, edge = [table.BASE + x for x in single], table.BASE + table.edge
+        tokens, edge = [base + x for x in single], base + last
         for batch in batches:
             for start, end in _blocks(pc.utf8_length(batch.column("text")).to_numpy(), BLOCK_CHARS):
                 part, restart = batch.slice(start, end - start), pieces.count > MAX_PIECES
@@ -272,12 +276,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                                                   pa.array([restart, *[False for _ in others]])], names=[*carried, "at", "new", "done", "restart"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(table.BASE)
+        known = _Known(base)
         for batch in batches:
             restarts = np.flatnonzero(batch.column("restart").to_numpy(zero_copy_only=False))
             for start, end in zip([0, *restarts], [*restarts, batch.num_rows], strict=True):
                 if start in restarts:
-                    known = _Known(table.BASE)
+                    known = _Known(base)
                 part = batch.slice(start, end - start)
                 known.add(part.column("merged").flatten(), part.column("done").flatten())
                 at = part.column("at")
