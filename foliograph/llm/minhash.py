@@ -224,8 +224,23 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_i
     return found.select(F.col("_id").alias(id), "node", "n_shingles", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component")).alias("component"))
 
 
+#: Added to a hash of the text, the id of rows without one: above all ids that count documents.
+_NAMELESS = 1 << 62
+
+
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay: of each component the one whose id is the smallest. Rows without an id stay only without words."""
-    found = classes(docs, words, percent, id, text)
-    stay = found.where(F.col(id).eqNullSafe(F.col("component"))).select(F.col(id).alias("_stays")).distinct()
-    return docs.join(stay, F.col(id).eqNullSafe(F.col("_stays")), "left_semi")
+    """The documents that stay: of each component the one whose id is the smallest, and those without words. Rows without an id
+    (whole numbers) are linked like others and stay only where no row with an id is in their component, of equal texts one."""
+    if docs.schema[id].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        found = classes(docs, words, percent, id, text)
+        stay = found.where(F.col(id).eqNullSafe(F.col("component"))).select(F.col(id).alias("_stays")).distinct()
+        return docs.join(stay, F.col(id).eqNullSafe(F.col("_stays")), "left_semi")
+    key = F.coalesce(F.col(id).cast("bigint"), F.xxhash64(text).bitwiseAND(_NAMELESS - 1) + F.lit(_NAMELESS))
+    name = "_node"
+    while name in docs.columns:
+        name += "_"
+    named = docs.withColumn(name, key)
+    found = classes(named, words, percent, name, text)
+    stay = found.where(F.col(name) == F.col("component")).select(name).distinct()
+    kept = named.join(stay, name, "left_semi")
+    return kept.where(F.col(id).isNotNull()).unionByName(kept.where(F.col(id).isNull()).dropDuplicates([name])).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -62,6 +62,11 @@ def test_minhash_odd_rows(spark):
     assert got == [(0, 0, 0), (0, 0, 1), (0, 1, 1), (1, 1, 1), (1, 1, 1), (2, 2, 0)]
     assert minhash.classes(docs.limit(0)).count() == 0
     assert minhash.dedup(docs).columns == docs.columns
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows += [(None, "lonely words here", 6), (7, near, 7), (None, near + " end", 8), (None, near.replace(" z", " y"), 9), (None, None, 10), (None, "aa " * 6 + near[9:], 11), (None, "aa " * 6 + near[9:] + " b", 12)]
+    stay = sorted(r._node for r in minhash.dedup(spark.createDataFrame(rows, "doc_id bigint, text string, _node int")).collect())
+    assert stay[:3] == [0, 1, 3] or stay[:3] == [0, 1, 6]  # both rows of document 1, one of two equal rows without an id
+    assert set(stay) - {3, 6} == {0, 1, 5, 7, min(set(stay) & {4, 10}), min(set(stay) & {11, 12})} and len(stay) == 7
 
 
 def test_shards_fit_and_split_only_when_needed(spark):
