@@ -102,8 +102,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, id: str = "do
             for first in range(0, batch.num_rows, 1024):
                 rows = batch.slice(first, 1024)
                 ids, sizes = encoder.batch(rows.column("_text").to_pylist())
-                for name, own in zip(rows.column("_id").to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
-                    names.append(name), found.append(np.append(own, np.uint32(end_id)))
+                after = np.cumsum(sizes)
+                ids, edges = np.insert(ids, after, end_id), (after + np.arange(1, len(sizes) + 1)).tolist()
+                for name, a, b in zip(rows.column("_id").to_pylist(), [0, *edges[:-1]], edges, strict=True):
+                    names.append(name), found.append(ids[a:b])
                     size += len(found[-1])
                     if size >= SEGMENT_IDS:
                         yield closed()
@@ -129,10 +131,10 @@ def read(segments: DataFrame, id: str = "doc_id") -> DataFrame:
             for row in range(batch.num_rows):
                 names, ends, base = batch.column("ids")[row].values, batch.column("ends")[row].values.to_numpy(), batch.column("_from")[row].as_py()
                 codes, starts = Codes(batch.column("levels")[row].as_py()), np.concatenate([[0], ends[:-1]])
-                for low in range(0, len(ends), 256):
-                    pairs = list(zip(starts[low:low + 256], ends[low:low + 256], strict=True))
-                    yield pa.RecordBatch.from_arrays([names.slice(low, 256).cast(id_type), pa.array(base + starts[low:low + 256]), pa.array([b - a for a, b in pairs], pa.int64()),
-                                                      pa.array([codes.span(int(a), int(b)).astype("<u4").tobytes() for a, b in pairs], pa.binary())], names=[id, "start", "n_tokens", "ids"])
+                whole = codes.span(0, int(ends[-1])).astype("<u4")
+                edges = np.concatenate([[0], ends * 4]).astype(np.int32)
+                found = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(whole.tobytes())])
+                yield pa.RecordBatch.from_arrays([names.cast(id_type), pa.array(base + starts), pa.array(ends - starts), found], names=[id, "start", "n_tokens", "ids"])
 
     placed = segments.join(offsets, "part").select((F.col("_offset") + F.col("local_start")).alias("_from"), F.col("ids"), "ends", "levels")
     return placed.mapInArrow(documents, f"`{id}` {kind}, start bigint, n_tokens bigint, ids binary")

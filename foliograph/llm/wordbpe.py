@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Pieces a worker remembers before it starts afresh, about 25 bytes each.
-MAX_PIECES = 1_000_000
+MAX_PIECES = 2_000_000
 #: A text is handled by so many characters, up to the next space; so are many short texts at once.
 STRETCH = 1 << 19
 _EDGE = 0x250
