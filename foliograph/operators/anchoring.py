@@ -39,7 +39,7 @@ POSITION_BUCKET = 256
 #: Least quote similarity of a fuzzy place, a fixed value of the scoring rule too.
 MIN_QUOTE = 0.6
 #: Pieces of fewer characters are in too many texts to prune anything.
-PIECE_CHARS = 6
+PIECE_CHARS = 7
 
 
 def page_index(pages: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def candidates(quotes: DataFrame, index: DataFrame, settle: bool = True, min_cha
     return exact.unionByName(near).unionByName(far)
 
 
-def find_everywhere(quotes: DataFrame, index: DataFrame, min_quote: float = 0.95, min_chars: int = FUZZY_MIN_CHARS) -> DataFrame:
+def find_everywhere(quotes: DataFrame, index: DataFrame, min_quote: float = 0.97, min_chars: int = FUZZY_MIN_CHARS) -> DataFrame:
     """The best place of each quote in each paper that has it, exactly or as a copy of at least `min_quote` similarity. `quotes` have no
     paper of their own. Complete for that similarity: no quote meets a page without a shared piece."""
     stripped = stripped_quotes(quotes)
