@@ -33,6 +33,8 @@ MAX_PIECES = 1_000_000
 FOLD_BYTES = 512
 #: Texts are handled in blocks of about so many characters; the first row of a block brings the new pieces of all.
 BLOCK_CHARS = 1_000_000
+#: Rows that Spark hands to Python at a time; texts are long rows, and each of two steps holds such a batch twice.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Input splits that a task takes one after another: the more text a task sees, the fewer of its pieces are new.
 SPLITS_PER_TASK = 3
 _LEFT = 1 << 20
@@ -95,8 +97,10 @@ class RankMap:
 
     def literal(self) -> Column:
         """Both arrays as one struct of literals, folded while planning: no expression per element."""
-        return F.struct(*(F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>").alias(name)
-                          for name, values in (("offsets", self.offsets), ("entries", self.entries))))
+        def written(values: np.ndarray) -> str:
+            return ",".join(",".join(map(str, values[low:low + 8192].tolist())) for low in range(0, len(values), 8192))
+
+        return F.struct(*(F.split(F.lit(written(values)), ",").cast("array<bigint>").alias(name) for name, values in (("offsets", self.offsets), ("entries", self.entries))))
 
     def rank(self, table: Column, left: Column, right: Column) -> Column:
         """Rank of the token made of two adjacent ones; at least `LIMIT` if there is none."""
@@ -242,6 +246,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     `ranks` is a vocabulary of bounded size whose ids are its ranks and which holds every single byte. Long pieces take
     a heap (`FOLD_BYTES`) with the same result. The order of rows inside a task carries state between the steps, so
     nothing may reorder rows in between; no operator stands there but a projection."""
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_ROWS) == "10000":  # Spark's own; a session that says otherwise is left alone
+        conf.set(BATCH_ROWS, "1000")
     table = RankMap(ranks)
     kept = docs.drop(ids, *([text] if drop_text else []))
     carried = [f"c{i}" for i in range(len(kept.columns))]  # the caller's columns, out of the way of the steps' own
