@@ -108,6 +108,16 @@ class RankMap:
         return entry.bitwiseXOR(F.shiftleft(left, 20))
 
 
+_MAPS: list[tuple[dict[bytes, int], RankMap]] = []
+
+
+def rank_map(ranks: dict[bytes, int]) -> RankMap:
+    """The map of a vocabulary; the last one made is kept, for the driver need not lay it out for every query."""
+    if not _MAPS or _MAPS[0][0] != ranks:
+        _MAPS[:] = [(dict(ranks), RankMap(ranks))]
+    return _MAPS[0][1]
+
+
 def merged(tokens: Column, ranks: RankMap, table: Column) -> Column:
     """Tokens of one piece after all merges: the lowest rank first, the leftmost of equal ones, as BPE defines it.
 
@@ -249,7 +259,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     conf = docs.sparkSession.conf
     if conf.get(BATCH_ROWS) == "10000":  # Spark's own; a session that says otherwise is left alone
         conf.set(BATCH_ROWS, "1000")
-    table = RankMap(ranks)
+    table = rank_map(ranks)
     kept = docs.drop(ids, *([text] if drop_text else []))
     carried = [f"c{i}" for i in range(len(kept.columns))]  # the caller's columns, out of the way of the steps' own
     source = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(a) for c, a in zip(kept.columns, carried, strict=True)))
