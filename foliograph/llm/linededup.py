@@ -22,12 +22,16 @@ from foliograph.llm.store import new_path, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
+#: A character beyond ASCII that is neither a lower-case letter nor punctuation.
+_CASED = r"[^\p{ASCII}\p{Ll}\p{P}]"
 _LAST = (1 << 63) - 1
 
 
 def line_key(line: Column) -> Column:
     """Binary hash of the stripped line in lower case (A-Z); null for lines of fewer than `MIN_CHARS` code points."""
-    plain = F.translate(F.btrim(line, F.lit(SPACE)), string.ascii_uppercase, string.ascii_lowercase)
+    bare = F.btrim(line, F.lit(SPACE))
+    # translate works letter by letter; lower gives the same where no other letter has a lower case
+    plain = F.when(bare.rlike(_CASED), F.translate(bare, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(bare))
     return F.when(F.char_length(plain) >= MIN_CHARS, F.unhex(F.md5(plain.cast("binary"))))
 
 

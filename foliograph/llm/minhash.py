@@ -2,13 +2,15 @@
 
 A task turns each text into the set of its word shingles, hashed to 64 bits, and takes the minima of `ROWS * BANDS` hash
 functions. Bands of minima make candidates; the low `BITS` bits of every minimum are packed in bit planes, so a pair's
-similarity is estimated by counting bits, corrected for chance agreement. What passes is confirmed on the full sets.
+similarity is estimated by counting bits, corrected for chance agreement. A parity sketch (one bit flipped per shingle) bounds
+from below by how many shingles two sets differ, so it drops pairs near the threshold without ever losing a link. What passes
+is confirmed on the full sets.
 
 Texts with the same words are one node, found by a hash of their words. Inside a bucket no pairs of all members are made:
 while there are many pairs across components, members meet leaders, the lowest members of ever finer sub-groups, and each
 is compared with the likeliest one. When few pairs are left, or leaders bring no more, all pairs that are still in different
-components meet directly. So no link that could join two components goes untested, and a large group of copies costs little
-more than its first leaders.
+components meet directly; only those that both sketches let through become rows. So no link that could join two components
+goes untested, and a large group of copies costs little more than its first leaders.
 
 Texts without words (or null) have no shingles and are linked with nothing. Repeated rows and rows that share an id keep
 their places. Rows without an id belong to the component of a document with the same words, if there is one; otherwise they
@@ -32,8 +34,12 @@ ROWS, BANDS, BITS = 5, 25, 4
 PLANE = 128
 #: Members of a bucket meet directly when there are at most so many pairs across components for each member.
 PAIRS = 8
-#: Rounds of leaders at most; there are 2 ** round of them in a bucket.
-LEVELS = 9
+#: Bits of a leader's sub-group in each round; a bucket has 2 ** bits leaders.
+LEVELS = (0, 3, 6, 9)
+#: Bits of the parity sketch.
+PARITY = 1024
+#: Pairs with one text in a block of the confirmation.
+BLOCK = 1000
 #: An estimate may be so many standard errors below the threshold.
 SIGMAS = 4.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -94,31 +100,38 @@ def _packed(minima: np.ndarray) -> np.ndarray:
     return np.packbits(planes.astype(np.uint8), axis=1).view(np.int64).ravel()
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """`PARITY` bits, each the parity of the shingles that fall on it: two sets differ by at least as many shingles as bits."""
+    at = (shingles >> np.uint64(32)) % np.uint64(PARITY)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, words: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, node, n_shingles, bits, bands) of every row."""
+    """(id, node, n_shingles, bits, parity, bands) of every row."""
     kind = docs.schema[id].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _Shingler(words)
         for batch in batches:
-            nodes, sizes, bits, bands = [], [], [], []
+            nodes, sizes, bits, parity, bands = [], [], [], [], []
             for value in batch.column("_text"):
                 found, plain = shingler.of(value.as_py())
                 sizes.append(len(found))
                 nodes.append(_node(plain))
                 if len(found):
                     minima = _minima(found)
-                    bits.append(_packed(minima))
+                    bits.append(_packed(minima)), parity.append(_parity(found))
                     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
                     for row in minima[:ROWS * BANDS].reshape(BANDS, ROWS).T:
                         keys = _scrambled(keys * _MIX + row)
                     bands.append(keys.view(np.int64))
                 else:
-                    bits.append(None), bands.append(None)
+                    bits.append(None), parity.append(None), bands.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(nodes, pa.string()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())),
-                                              pa.array(bands, pa.list_(pa.int64()))], names=["_id", "node", "n_shingles", "bits", "bands"])
+                                              pa.array(parity, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
+                                             names=["_id", "node", "n_shingles", "bits", "parity", "bands"])
 
-    return docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).mapInArrow(sign, f"_id {kind}, node string, n_shingles bigint, bits array<bigint>, bands array<bigint>")
+    return docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).mapInArrow(sign, f"_id {kind}, node string, n_shingles bigint, bits array<bigint>, parity array<bigint>, bands array<bigint>")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -150,9 +163,20 @@ def _most_differing(threshold: float) -> int:
     return int((1 - chance) * (1 - floor) * PLANE)
 
 
+def _possible(a: str, b: str, percent: int) -> str:
+    """SQL that holds for every pair of similar sets but those whose estimate is too far off: the parity sketches first, which
+    never err (a sets' difference d of s shingles in both means a similarity of (s - d) / (s + d))."""
+    odd = " + ".join(f"bit_count({a}.parity[{i}] ^ {b}.parity[{i}])" for i in range(PARITY // 64))
+    return (f"({odd}) * {100 + percent} <= ({a}.n_shingles + {b}.n_shingles) * {100 - percent} "
+            f"AND {_differing(f'{a}.bits', f'{b}.bits')} <= {_most_differing(percent / 100)}")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
+    """Pairs (a, b) whose full sets are similar enough. A `b` of many pairs (a leader) meets them in blocks."""
+    blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")).join(blocks, "b").withColumn("_block", F.explode(F.expr("sequence(0, _blocks - 1)"))).drop("_blocks")
+    left = pairs.join(blocks, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("_blocks")).cast("int").alias("_block"))
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a").join(right, ["b", "_block"])
     common = F.size(F.array_intersect("_a", "_b"))
     return both.where(common * 100 >= (F.size("_a") + F.size("_b") - common) * percent).select("a", "b")
 
@@ -177,29 +201,29 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     and in the end all of it. Rounds of leaders go on as long as they bring down the pairs across components."""
     nodes = members.select("node").distinct()
     labels, links = nodes.withColumn("comp", F.col("node")), []
-    most, level, before, last = _most_differing(percent / 100), 0, float("inf"), False
+    rounds, before, last = iter(LEVELS), float("inf"), False
     while not last:
-        current = members.join(labels, "node")
+        current, level = members.join(labels, "node"), next(rounds, None)
         parts = current.groupBy("band", "comp").agg(F.count("*").alias("m")).groupBy("band").agg(
             F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.max(F.struct("m", "comp"))["comp"].alias("main"))
         parts = stored(parts.select("band", "main", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("open")).where("open > 0"), "buckets")
         many = parts.where(F.col("open") > F.col("size") * PAIRS).agg(F.sum("open")).head()[0]
-        last = not many or level >= LEVELS or many > before * 0.97
+        last = not many or level is None or many > before * 0.97
         before = many
         here = current.join(parts.select("band", "main"), "band")
         if not last:
-            lead = here.groupBy("band", F.col("rank").bitwiseAND((1 << level) - 1).alias("sub")).agg(F.min(F.struct("rank", "node", "comp", "bits")).alias("l"))
-            pairs = here.where("comp <> main").alias("m").join(lead.alias("l"), F.expr(f"m.band = l.band AND m.comp <> l.l.comp AND {_differing('m.bits', 'l.l.bits')} <= {most}"))
-            pairs = (pairs.select(F.col("m.node").alias("a"), F.col("l.l.node").alias("b"), F.expr(_differing("m.bits", "l.l.bits")).alias("far"))
+            sub = F.col("rank").bitwiseAND((1 << level) - 1).alias("sub")
+            lead = here.groupBy("band", sub).agg(F.min(F.struct("rank", "node", "comp", "bits", "parity", "n_shingles")).alias("l")).select("band", "l.*")
+            pairs = here.where("comp <> main").alias("m").join(lead.alias("l"), F.expr(f"m.band = l.band AND m.comp <> l.comp AND {_possible('m', 'l', percent)}"))
+            pairs = (pairs.select(F.col("m.node").alias("a"), F.col("l.node").alias("b"), F.expr(_differing("m.bits", "l.bits")).alias("far"))
                      .groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")))
         else:
-            apart = F.expr(f"m.band = o.band AND m.comp <> o.comp AND (o.comp = o.main OR m.node < o.node) AND {_differing('m.bits', 'o.bits')} <= {most}")
+            apart = F.expr(f"m.band = o.band AND m.comp <> o.comp AND (o.comp = o.main OR m.node < o.node) AND {_possible('m', 'o', percent)}")
             pairs = here.where("comp <> main").alias("m").join(here.alias("o"), apart)
             pairs = pairs.select(F.col("m.node").alias("a"), F.col("o.node").alias("b")).distinct()
         links.append(stored(_confirmed(pairs, sets, percent), "links"))
         if not last:
             labels = stored(nodes.join(_named(reduce(DataFrame.unionAll, links)), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "labels")
-        level += 1
     return _named(reduce(DataFrame.unionAll, links))
 
 
@@ -207,10 +231,10 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_i
     """(id, node, n_shingles, component) of every row: documents are linked from `percent` per cent Jaccard similarity of their
     shingle sets on, `component` is the smallest id reachable."""
     signed = stored(signatures(docs, words, id, text), "signatures")
-    nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("first"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
+    nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("first"), *(F.first(c).alias(c) for c in ("bits", "parity", "n_shingles", "bands"))), "nodes")
     bands = nodes.where("first IS NOT NULL").select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    members = stored(bands.join(shared, "band").join(nodes.select("node", "bits"), "node").withColumn("rank", F.xxhash64("node")), "members")
+    members = stored(bands.join(shared, "band").join(nodes.select("node", "bits", "parity", "n_shingles"), "node").withColumn("rank", F.xxhash64("node")), "members")
     if not members.isEmpty():
         wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("first").alias("_id"), "node")
         texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(wanted, "_id")
