@@ -35,7 +35,7 @@ PLANE = 128
 #: Members of a bucket meet directly when there are at most so many pairs across components for each member.
 PAIRS = 8
 #: Bits of a leader's sub-group in each round; a bucket has 2 ** bits leaders.
-LEVELS = (0, 3, 6, 9)
+LEVELS = (0, 4)
 #: Bits of the parity sketch.
 PARITY = 1024
 #: Pairs with one text in a block of the confirmation.
@@ -208,7 +208,7 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.max(F.struct("m", "comp"))["comp"].alias("main"))
         parts = stored(parts.select("band", "main", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("open")).where("open > 0"), "buckets")
         many = parts.where(F.col("open") > F.col("size") * PAIRS).agg(F.sum("open")).head()[0]
-        last = not many or level is None or many > before * 0.97
+        last = not many or level is None or many > before * 0.9
         before = many
         here = current.join(parts.select("band", "main"), "band")
         if not last:
