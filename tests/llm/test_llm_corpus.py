@@ -2,8 +2,10 @@
 
 import random
 import re
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 from foliograph.llm import decontaminate, minhash, quality_rules, queries, sharding
 from pyspark.sql import functions as F
 
@@ -55,6 +57,42 @@ def test_leaders_give_the_same_components(spark, monkeypatch):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_parity_sketch_never_exceeds_the_difference():
+    state = np.random.default_rng(3)
+    for size in (1, 40, 900, 9000):
+        a = np.unique(state.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[:int(size * 0.9)], state.integers(0, 1 << 63, size // 8 + 1, dtype=np.uint64)]))
+        bits = sum(int(x).bit_count() for x in (minhash._parity(a) ^ minhash._parity(b)).view(np.uint64))
+        differ = len(np.setxor1d(a, b))
+        assert bits <= differ and (size > 100 or bits >= differ - 4)
+
+
+def test_minhash_on_a_whole_table_against_shared_shingles(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets, holders, near = {}, defaultdict(list), defaultdict(set)
+    for id, text in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        sets[id] = {tuple(w[i:i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
+    for id, found in sets.items():
+        for shingle in found:
+            holders[shingle].append(id)
+    for id, found in sets.items():
+        for other, common in Counter(o for shingle in found for o in holders[shingle]).items():
+            if 100 * common >= 85 * (len(found) + len(sets[other]) - common):
+                near[id].add(other)
+    first = {}
+    for id in sorted(sets):
+        open_ids = [id] if id not in first else []
+        while open_ids:
+            at = open_ids.pop()
+            if at not in first:
+                first[at] = id
+                open_ids += near[at]
+    got = {r.doc_id: (r.component, r.n_shingles) for r in minhash.classes(docs, 3, 85).collect()}
+    assert got == {id: (first[id], len(found)) for id, found in sets.items()}
+    assert len(set(first.values())) < len(sets)
+
+
 def test_minhash_odd_rows(spark):
     rows = [(1, "p q r s t", 0), (1, "p q r s t", 1), (None, "p q r s t", 2), (None, "lonely words here", 3), (None, None, 4), (2, "", 5)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, component int")

@@ -1,6 +1,7 @@
 """Operators on whole texts against the libraries and brute force."""
 
 import base64
+import hashlib
 import random
 import re
 import zlib
@@ -106,6 +107,13 @@ def test_em_finds_the_accuracies():
     assert ((odds > 0) == truth).mean() > 0.95
 
 
+def test_line_keys_lower_nothing_but_a_to_z(spark):
+    lines = [f"A plain Line {c} of Letters" for c in ["é", "É", "ß", "ẞ", "İ", "ı", "Σ", "ς", "Ⅷ", "ⅷ", "Ⓐ", "ⓐ", "ǅ", "字", "😀", "𐐀", "𐐨", "«»", "±", "ª", "\u0301", "e\u0301", "Ａ", "ａ", "ŉ", "“", "–"]]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = {r.line: bytes(r.key) for r in df.select("line", linededup.line_key(F.col("line")).alias("key")).collect()}
+    assert got == {x: hashlib.md5(re.sub("[A-Z]", lambda m: m.group().lower(), x).encode()).digest() for x in lines}
+
+
 def test_line_dedup_against_brute_force(spark):
     random.seed(2)
     lines = ["A line of some length ", "a line of some length", "short", "Another long line!", "", "  ", "third longer line here", "É" * 10, "é" * 10]
