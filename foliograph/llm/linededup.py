@@ -27,12 +27,21 @@ _CASED = r"[^\p{ASCII}\p{Ll}\p{P}]"
 _LAST = (1 << 63) - 1
 
 
-def line_key(line: Column) -> Column:
-    """Binary hash of the stripped line in lower case (A-Z); null for lines of fewer than `MIN_CHARS` code points."""
+def _plain(line: Column) -> Column:
+    """The stripped line in lower case (A-Z)."""
     bare = F.btrim(line, F.lit(SPACE))
     # translate works letter by letter; lower gives the same where no other letter has a lower case
-    plain = F.when(bare.rlike(_CASED), F.translate(bare, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(bare))
-    return F.when(F.char_length(plain) >= MIN_CHARS, F.unhex(F.md5(plain.cast("binary"))))
+    return F.when(bare.rlike(_CASED), F.translate(bare, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(bare))
+
+
+def line_keys(lines: Column) -> Column:
+    """Binary hashes of an array of lines, stripped and in lower case; null for lines of fewer than `MIN_CHARS` code points.
+    In an array, each line is stripped once, not once for every expression that reads it."""
+    return F.transform(F.transform(lines, _plain), lambda p: F.when(F.char_length(p) >= MIN_CHARS, F.unhex(F.md5(p.cast("binary")))))
+
+
+def line_key(line: Column) -> Column:
+    return line_keys(F.array(line))[0]
 
 
 class LineRuns:
@@ -72,8 +81,8 @@ def dropped_lines(docs: DataFrame, batches: int = 4, id: str = "doc_id", text: s
     """(doc, drop): for each document that loses lines, the hashes of those; batches follow the order of ids."""
     spark = docs.sparkSession
     doc = F.coalesce(F.col(id), F.lit(_LAST)).cast("bigint")
-    lines = stored(docs.select(doc.alias("doc"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-                   .select(line_key(F.col("line")).alias("key"), "doc").where("key IS NOT NULL"), "lines")
+    lines = stored(docs.select(doc.alias("doc"), F.explode(line_keys(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))).alias("key"))
+                   .select("key", "doc").where("key IS NOT NULL"), "lines")
     bounds = lines.agg(F.expr(f"percentile_approx(doc, array({','.join(str((i + 1) / batches) for i in range(batches - 1))}))")).head()[0] if batches > 1 else []
     bounds = sorted(set(bounds or []))
     runs, found = LineRuns(spark), []
