@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as X
@@ -75,17 +75,21 @@ def card_index(pages: DataFrame, span: int = 1) -> DataFrame:
     joined = join_hyphens(pages.select("paper_id", "page", "text"), vocab, ["page"], glue=GLUE)
     texts = A.page_windows(joined, span) if span > 1 else joined
     base = A.page_index(pages).select("paper_id", "page", "page_start", "total_len")
-    chars = F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))
-    offsets = F.filter(F.transform(chars, lambda c, i: F.when(~c.isin(*X.WS_CHARS, GLUE[0]), i)), lambda i: i.isNotNull())
-    return materialise(texts.withColumn("stripped", F.regexp_replace("text", HIDDEN, "")).withColumn("offsets", offsets).join(base, ["paper_id", "page"]))
+    return materialise(texts.join(base, ["paper_id", "page"]).withColumn("stripped", F.regexp_replace("text", HIDDEN, "")))
+
+
+def card_offsets(text: str) -> Column:
+    """For every character that a card matches its offset in the page's own text."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.filter(F.transform(chars, lambda c, i: F.when(~c.isin(*X.WS_CHARS, GLUE[0]), i)), lambda i: i.isNotNull())
 
 
 def quotes_in_region(quotes: DataFrame, rects: DataFrame, pages: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, missing): printed lines of words chosen in a chunk, found on one page or across two, taken only when their
     first and last line lie inside the chunk; only the inside lines come back. `quotes`: paper_id, q_id, exact, prefix,
     suffix, position, page_hint; `rects`: paper_id, q_id, rect_ord, page, box."""
-    one, one_lines = find_quote_inside(quotes, rects, card_index(pages), pages, words)
-    two, two_lines = find_quote_inside(quotes, rects, card_index(pages, 2), pages, words, span=2)
+    one, one_lines = find_quote_inside(quotes, rects, card_index(pages), pages, words, offsets=card_offsets)
+    two, two_lines = find_quote_inside(quotes, rects, card_index(pages, 2), pages, words, span=2, offsets=card_offsets)
     a = one.select("paper_id", "q_id", F.col("score").alias("s1"))
     b = two.select("paper_id", "q_id", F.col("score").alias("s2"))
     pick = materialise(a.join(b, ["paper_id", "q_id"], "full").withColumn("span", F.when(F.col("s2") > F.coalesce("s1", F.lit(-1.0)), 2).otherwise(1)))

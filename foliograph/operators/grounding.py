@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,7 +112,8 @@ def ground_slots(parsed: DataFrame, spans: DataFrame, slots: DataFrame) -> DataF
     return once.withColumn("k", F.row_number().over(w)).where(F.col("k") <= MAX_SLOT_SPANS)
 
 
-def find_quote_inside(quotes: DataFrame, rects: DataFrame, index: DataFrame, pages: DataFrame, words: DataFrame, span: int = 1) -> tuple[DataFrame, DataFrame]:
+def find_quote_inside(quotes: DataFrame, rects: DataFrame, index: DataFrame, pages: DataFrame, words: DataFrame, span: int = 1,
+                      offsets: Callable[[str], Column] = X.kept_offsets) -> tuple[DataFrame, DataFrame]:
     """(places, lines): the best place of each quote whose first and last printed line lie inside the quote's own rects
     (paper_id, q_id, page, box). Only the pages those rects are on can hold one, so a quote meets those pages alone."""
     stripped = A.stripped_quotes(quotes)
@@ -129,7 +130,7 @@ def find_quote_inside(quotes: DataFrame, rects: DataFrame, index: DataFrame, pag
     open_pairs = asked.where(F.length("needle") >= A.FUZZY_MIN_CHARS).join(exact.select("paper_id", "q_id", "page").distinct(), ["paper_id", "q_id", "page"], "left_anti")
     fuzzy = (open_pairs.join(index.select("paper_id", "page", F.col("stripped").alias("_t")), ["paper_id", "page"]).withColumn("_f", fuzzy_window("needle", "_t"))
              .where("_f.score IS NOT NULL").withColumn("s", F.col("_f.s")).withColumn("e", F.col("_f.e")).withColumn("quote_score", F.col("_f.score")).drop("_f", "_t"))
-    scored = materialise(A.score_candidates(exact.unionByName(fuzzy), index).where(F.col("score") >= A.MIN_SCORE).withColumn("m_first", F.col("page")))
+    scored = materialise(A.score_candidates(exact.unionByName(fuzzy), index, offsets).where(F.col("score") >= A.MIN_SCORE).withColumn("m_first", F.col("page")))
     spans = A.page_spans(scored.select("paper_id", "q_id", "m_first", "page", "start", "end", F.col("start").alias("at_start")), pages, ["q_id", "m_first", "at_start"], span) if span > 1 else scored.select(
         "paper_id", "q_id", "page", "start", "end", F.col("page").alias("m_first"), F.col("start").alias("at_start"))
     lines = materialise(A.matched_lines(spans, words, pages, ["q_id", "m_first", "at_start"]))

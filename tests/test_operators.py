@@ -2,12 +2,14 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliograph.functions.similarity import best_window, lcs_length, similarity
 from foliograph.operators import anchoring as A
+from foliograph.operators import contains
 from foliograph.operators import graph as G
 from foliograph.operators import grounding as GD
 from foliograph.operators import history as H
@@ -57,6 +59,29 @@ def test_substring_join_finds_every_occurrence(spark):
     assert set(rows) == want and len(rows) == len(want)
 
 
+def test_short_papers_meet_as_they_stand_and_long_ones_by_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [(i % 3, i, "".join(rng.choices("ab\\\U0001f600\n", k=rng.randint(0, 60 if i % 3 else 200)))) for i in range(40)]
+    needles = [(i % 3, i, "".join(rng.choices("ab\\\U0001f600\n", k=rng.randint(0, 3)))) for i in range(30)] + [(0, 30, "\\E"), (1, 31, "\\Q"), (2, 32, "aa")]
+    want = {(n, t, i) for p, n, nd in needles for q, t, b in texts if p == q and nd for i in range(len(b)) if b.startswith(nd, i)}
+    frames = spark.createDataFrame(needles, "paper_id int, n int, needle string"), spark.createDataFrame(texts, "paper_id int, t int, body string")
+    by_blocks, asked = contains._by_blocks, []
+    monkeypatch.setattr(contains, "_by_blocks", lambda *a: asked.append(1) or by_blocks(*a))
+    for whole, blocks in ((10_000, 0), (1000, 1), (0, 1)):
+        monkeypatch.setattr(contains, "WHOLE", whole)
+        asked.clear()
+        rows = [(r["n"], r["t"], r["at"]) for r in substring_join(*frames, "needle", "body", ["t"]).collect()]
+        assert set(rows) == want and len(rows) == len(want) and len(asked) == blocks
+        held = {(r["n"], r["t"]) for r in substring_join(*frames, "needle", "body", ["t"], places=False).collect()}
+        assert held == {w[:2] for w in want}
+
+
+def test_kept_tables_are_packed(spark):
+    kept = materialise(spark.range(2000).selectExpr("id", "repeat('the same words again ', 50) AS text"))
+    size = sum(Path(f.removeprefix("file://")).stat().st_size for f in kept.inputFiles())
+    assert kept.where("length(text) = 1050").count() == 2000 and size < 200_000  # 2 MB of text
+
+
 def test_running_crosses_blocks(spark):
     rows = [(p, i, i % 7) for p in (1, 2) for i in range(50)]
     df = spark.createDataFrame(rows, "paper_id int, ord int, v int")
