@@ -202,7 +202,10 @@ def find_everywhere(quotes: DataFrame, index: DataFrame, min_quote: float = 0.97
     """The best place of each quote in each paper that has it, exactly or as a copy of at least `min_quote` similarity. `quotes` have no
     paper of their own. Complete for that similarity: no quote meets a page without a shared piece."""
     stripped = stripped_quotes(quotes)
-    exact = materialise(score_candidates(exact_candidates(stripped, index, within=[]), index))
+    exact = score_candidates(exact_candidates(stripped, index, within=[]), index)
+    if min_quote >= 1:  # nothing but the quote itself is so much alike
+        return best_place(exact, ["q_id", "paper_id"])
+    exact = materialise(exact)
     asked = stripped.where(F.length("needle") >= min_chars).withColumn("alike", F.lit(min_quote))
     near = score_candidates(piece_candidates(asked, index, exact, min_quote, within=[]), index)
     return best_place(exact.unionByName(near), ["q_id", "paper_id"])

@@ -468,3 +468,23 @@ def test_only_items_over_changed_pages_are_looked_for(spark):
     assert moved[1, "h2"] == (2, 400.0) and moved[1, "c2"][0] == 2 and moved[1, "c2"][1] == 372.0 and moved[1, "h1"] == (1, 96.0) and len(moved) == 12
     assert {(r.paper_id, r.node_id) for r in done.blocks.collect()} == {(1, "c2")}
     assert [r.text for r in done.blocks.orderBy("region_ord").collect()][:2] == ["alpha beta gamma\n", "page 2 of paper 1\n"]
+
+
+def test_find_quote_query_has_the_exact_places_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    passage = "the quick brown fox jumps over the lazy dog while seven other animals look on and say nothing at all"
+    copy = passage.replace("lazy", "lady")
+    filler = "\n".join(["nothing of the kind is printed here"] * 30)
+    papers = [(1, f"{copy}\n{filler}\n{passage}"), (2, f"{filler}\n{copy}"), (3, f"{passage} {passage}")]
+    spark.createDataFrame(papers, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [(r.q_id, r.paper_id, r.page, r.start, r.score) for r in queries()["an04_find_quote"](spark, str(tmp_path)).collect()]
+    copies = {r.paper_id for r in queries()["an04_find_copies"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(f"SELECT q_id, paper_id, page, start, score FROM ({oracle_sql()['an04_find_quote']})").fetchall()
+    assert sorted(got) == sorted(want) and len(want) == 2 and copies == {1, 2, 3}
