@@ -15,7 +15,7 @@ from foliograph.operators.layout import column_runs
 from foliograph.operators.pieces import boxed, midpoints
 from foliograph.operators.search import join_hyphens, paper_words
 from foliograph.operators.spread import materialise
-from foliograph.operators.words import CORNERS, printed_lines, text_under, words_under
+from foliograph.operators.words import CORNERS, Lines, printed_lines, text_under, words_under
 
 GLUE = "\ue001\n"   # a joined line-end hyphen keeps its two places, so offsets still count in the page's own text
 HIDDEN = r"(?U)[\s\x1c-\x1f\ue001]+"
@@ -132,7 +132,12 @@ def join_chunks(rects: DataFrame, words: DataFrame, regions: DataFrame, pages: D
     ordered = materialise(spans.withColumn("place", F.row_number().over(w) - 1).withColumn("next", F.lead("first").over(w)))
     gaps = ordered.where("next IS NOT NULL AND next > last").select("paper_id", "join_id", "place", "last", "next")
     spread = gaps.withColumn("page", F.explode(F.sequence(F.col("last.page"), F.col("next.page"))))
-    between = words.join(spread, ["paper_id", "page"]).where((F.struct("page", "word_ord") > F.col("last")) & (F.struct("page", "word_ord") < F.col("next")))
+    if isinstance(words, Lines):
+        far = lambda w: (F.struct("page", w["word_ord"].alias("word_ord")) > F.col("last")) & (F.struct("page", w["word_ord"].alias("word_ord")) < F.col("next"))
+        words = words.rows.join(spread, ["paper_id", "page"]).select("paper_id", "page", "join_id", "place", F.explode(F.filter(words.laid(F.col), far)).alias("_w"))
+        between = words.select("paper_id", "page", "join_id", "place", "_w.*")
+    else:
+        between = words.join(spread, ["paper_id", "page"]).where((F.struct("page", "word_ord") > F.col("last")) & (F.struct("page", "word_ord") < F.col("next")))
     pts = midpoints(between, "paper_id", "page", "join_id", "place", "word_ord")
     furniture = boxed(regions.where(F.col("label").isin(*X.FURNITURE)), "g_", "paper_id", "page")
     excused = points_in_rects(pts, furniture, "px", "py", "g_").select("paper_id", "page", "join_id", "place", "word_ord").distinct()

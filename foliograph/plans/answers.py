@@ -36,7 +36,7 @@ add_table("held_claims", HELD % "claims", "claims", "pspans")
 
 
 def spans(lib):
-    return lib.shared("spans", lambda: GD.paper_spans(lib.regions(), lib.words()))
+    return lib.shared("spans", lambda: GD.paper_spans(lib.regions(), lib.word_lines()))
 
 
 def claims(lib):
@@ -110,7 +110,7 @@ def _(lib):
 SELECT c.paper_id, c.quote, r.ord AS block, r.y0 + 4 AS y0, r.y1 - 4 AS y1 FROM held_claims c JOIN pspans s ON s.paper_id = c.paper_id AND s.span_id = c.span_id JOIN regions r ON r.paper_id = s.paper_id AND r.ord = s.ord""", ("held_claims", "pspans"))
 def _(lib):
     held = GD.ground(claims(lib), spans(lib)).withColumn("q_id", F.col("span_id")).withColumn("has_lines", F.lit(False))
-    lines = GD.ground_lines(held, A.page_index(lib.page_text()), lib.page_text(), lib.words())
+    lines = GD.ground_lines(held, A.page_index(lib.page_text()), lib.page_text(), lib.word_lines())
     return lines.join(held.select("paper_id", "q_id", "quote"), ["paper_id", "q_id"]).select("paper_id", "quote", "block", "y0", "y1")
 
 
@@ -160,13 +160,13 @@ def requests(lib):
 
 @query("jn22_define_context")
 def _(lib):
-    return GD.define_context(requests(lib), spans(lib), lib.sections()[1], lib.words())
+    return GD.define_context(requests(lib), spans(lib), lib.sections()[1], lib.word_lines())
 
 
 @query("jn24_ai_underlines", """
 SELECT t.paper_id, t.term, t.page, t.x0, t.y0 FROM term_hits t WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.paper_id = t.paper_id AND m.page = t.page AND t.x0 < m.x1 AND m.x0 < t.x1 AND t.y0 < m.y1 AND m.y0 < t.y1)""", ("term_hits", "marks"))
 def _(lib):
-    hits = lib.shared("term_hits", lambda: S.term_occurrences(paper_terms(lib), lib.words()))
+    hits = lib.shared("term_hits", lambda: S.term_occurrences(paper_terms(lib), lib.word_lines()))
     return P.not_overlapping(hits, lib.highlights(), ["term", "at"]).select("paper_id", "term", "page", "x0", "y0")
 
 

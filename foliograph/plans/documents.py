@@ -103,7 +103,7 @@ def _(lib):
 @query("ag16_define_prompts")
 def _(lib):
     r = requests(lib)
-    near = GD.define_context(r, spans(lib), lib.sections()[1], lib.words())
+    near = GD.define_context(r, spans(lib), lib.sections()[1], lib.word_lines())
     none = lib.spark.createDataFrame([], "paper_id long, request_id string, sentence string")
     return D.define_prompts(r, near, spans(lib), none)
 
@@ -126,7 +126,7 @@ def selections(lib):
 SELECT paper_id, sel_id, regexp_replace(regexp_replace(string_agg(t, chr(10) ORDER BY f), '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '') AS exact FROM (
   SELECT paper_id, sel_id, block, string_agg(text, ' ' ORDER BY word_ord) AS t, min(word_ord) AS f FROM drag_words GROUP BY 1, 2, 3) GROUP BY 1, 2""", ("drag_words",))
 def _(lib):
-    anchors, _lines = C.make_highlights(selections(lib), lib.page_text(), lib.words())
+    anchors, _lines = C.make_highlights(selections(lib), lib.page_text(), lib.word_lines())
     return anchors.where("exact <> ''").select("paper_id", "sel_id", "exact")
 
 
@@ -135,12 +135,12 @@ SELECT paper_id, sel_id, which, CASE which WHEN 'start' THEN substring(e, 1, 64)
   SELECT paper_id, sel_id, regexp_replace(regexp_replace(string_agg(t, chr(10) ORDER BY f), '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '') AS e FROM (
   SELECT paper_id, sel_id, block, string_agg(text, ' ' ORDER BY word_ord) AS t, min(word_ord) AS f FROM drag_words GROUP BY 1, 2, 3) GROUP BY 1, 2))""", ("drag_words",))
 def _(lib):
-    return C.make_chunk_anchors(selections(lib), lib.page_text(), lib.words()).where("exact <> ''").select("paper_id", "sel_id", "which", "exact")
+    return C.make_chunk_anchors(selections(lib), lib.page_text(), lib.word_lines()).where("exact <> ''").select("paper_id", "sel_id", "which", "exact")
 
 
 @query("an16_area_quotes")
 def _(lib):
-    return C.area_quotes(lib.drags(), lib.page_text(), lib.words()).select("paper_id", "sel_id", "exact", "prefix", "suffix", "position")
+    return C.area_quotes(lib.drags(), lib.page_text(), lib.word_lines()).select("paper_id", "sel_id", "exact", "prefix", "suffix", "position")
 
 
 def region_quotes(lib):
@@ -154,7 +154,7 @@ def region_quotes(lib):
 
 def in_region(lib):
     quotes, rects = lib.shared("region_quotes", lambda: region_quotes(lib))
-    return lib.shared("in_region", lambda: C.quotes_in_region(quotes, rects, lib.page_text(), lib.words())), rects
+    return lib.shared("in_region", lambda: C.quotes_in_region(quotes, rects, lib.page_text(), lib.word_lines())), rects
 
 
 @query("an17_quotes_in_region", """
@@ -188,7 +188,7 @@ def neighbours(lib):
 @query("gr10_join_chunks")
 def _(lib):
     sizes = lib.pages()
-    return C.join_chunks(neighbours(lib), lib.words(), lib.headed_regions(), sizes)[0]
+    return C.join_chunks(neighbours(lib), lib.word_lines(), lib.headed_regions(), sizes)[0]
 
 
 @query("jn23_chunk_blocks", """
@@ -199,7 +199,7 @@ JOIN words w ON w.paper_id = r.paper_id AND w.block = r.ord AND greatest(0, leas
 UNION ALL SELECT d.paper_id, d.sel_id, r.ord, 'clip', NULL FROM drags d JOIN regions r ON r.paper_id = d.paper_id AND r.page = d.page AND r.label = 'picture'
   AND (r.x0 + r.x1) / 2 BETWEEN d.x0 AND d.x1 AND (r.y0 + r.y1) / 2 BETWEEN d.y0 AND d.y1""", ("drags", "words"))
 def _(lib):
-    blocks = P.chunk_blocks(selections(lib), lib.regions(), lib.words(), ["sel_id"])
+    blocks = P.chunk_blocks(selections(lib), lib.regions(), lib.word_lines(), ["sel_id"])
     return S.join_hyphens(blocks, S.paper_words(lib.page_text()), ["sel_id", "region_ord"]).select("paper_id", "sel_id", "region_ord", "kind", "text")
 
 
@@ -224,7 +224,7 @@ def _(lib):
 @query("jn27_destination_cards")
 def _(lib):
     links = lib.drags().select("paper_id", F.col("sel_id").alias("link_id"), "page", F.when(F.col("paper_id") % 9 != 0, F.col("y0") - 20).alias("top"), F.when(F.col("paper_id") % 4 != 0, F.lit(52.0)).alias("left_x"))
-    return P.destination_cards(links, lib.pages(), lib.headed_regions(), lib.figures(), lib.words()).select("paper_id", "link_id", "kind", "text")
+    return P.destination_cards(links, lib.pages(), lib.headed_regions(), lib.figures(), lib.word_lines()).select("paper_id", "link_id", "kind", "text")
 
 
 @query("src05_agent_notes", r"""

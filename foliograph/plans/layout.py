@@ -19,14 +19,14 @@ def as_query_rects(df):
 
 @query("jn01_lines_under", "SELECT paper_id, sel_id, page, block, word_ord, text FROM drag_words", ("drag_words",))
 def _(lib):
-    return W.words_under(lib.words(), as_query_rects(lib.drags()), ["sel_id"]).select("paper_id", "sel_id", "page", "block", "word_ord", "text")
+    return W.words_under(lib.word_lines(), as_query_rects(lib.drags()), ["sel_id"]).select("paper_id", "sel_id", "page", "block", "word_ord", "text")
 
 
 @query("jn02_text_under", """
 SELECT paper_id, sel_id, string_agg(t, chr(10) ORDER BY f) || chr(10) AS text FROM (
   SELECT paper_id, sel_id, block, string_agg(text, ' ' ORDER BY word_ord) AS t, min(word_ord) AS f FROM drag_words GROUP BY 1, 2, 3) GROUP BY 1, 2""", ("drag_words",))
 def _(lib):
-    return W.text_under(lib.words(), as_query_rects(lib.drags()), ["sel_id"])
+    return W.text_under(lib.word_lines(), as_query_rects(lib.drags()), ["sel_id"])
 
 
 @query("jn03_highlights_in", """
@@ -87,7 +87,7 @@ SELECT d.paper_id, d.sel_id, coalesce(c.whole > 0 AND c.inside / c.whole >= 0.6,
 FROM drags2 d LEFT JOIN small s ON s.paper_id = d.paper_id AND s.sel_id = d.sel_id LEFT JOIN chars c ON c.paper_id = d.paper_id AND c.sel_id = d.sel_id""",
        ("drags2", "words"))
 def _(lib):
-    return P.snap_text(rough(lib), lib.regions(), lib.words()).select("paper_id", "sel_id", "took", "x0", "y1")
+    return P.snap_text(rough(lib), lib.regions(), lib.word_lines()).select("paper_id", "sel_id", "took", "x0", "y1")
 
 
 def rough(lib):
@@ -149,7 +149,7 @@ def _(lib):
 @query("ag01_line_hulls", """
 SELECT paper_id, sel_id, page, block, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM drag_words GROUP BY 1, 2, 3, 4""", ("drag_words",))
 def _(lib):
-    under = W.words_under(lib.words(), as_query_rects(lib.drags()), ["sel_id"])
+    under = W.words_under(lib.word_lines(), as_query_rects(lib.drags()), ["sel_id"])
     return W.printed_lines(under, ["sel_id"]).select("paper_id", "sel_id", "page", "block", *CORNERS)
 
 
