@@ -13,7 +13,7 @@ from foliograph.operators.geomjoin import points_in_rects
 from foliograph.operators.grounding import find_quote_inside
 from foliograph.operators.layout import column_runs
 from foliograph.operators.pieces import boxed, midpoints
-from foliograph.operators.search import join_hyphens, paper_words
+from foliograph.operators.search import HYPHENATED, join_hyphens, paper_words
 from foliograph.operators.spread import materialise
 from foliograph.operators.words import CORNERS, Lines, printed_lines, text_under, words_under
 
@@ -68,14 +68,22 @@ def area_quotes(rects: DataFrame, pages: DataFrame, words: DataFrame, keys: Sequ
     return A.global_position(A.quote_under(materialise(asked), pages, words, keys), pages)
 
 
-def card_index(pages: DataFrame, span: int = 1) -> DataFrame:
-    """The page index as a card reads it: line-end hyphens of words the paper knows are left out of the matched text, while
-    offsets still point into the pages' own text."""
-    vocab = paper_words(pages)
+def card_texts(pages: DataFrame) -> DataFrame:
+    """Pages as a card reads them, with their places: hyphens of words the paper knows are marked at line ends. Only papers with a
+    hyphen at a line end need their words."""
+    broken = pages.where(F.col("text").rlike(HYPHENATED)).select("paper_id").distinct()
+    vocab = paper_words(pages.join(broken, "paper_id", "left_semi"))
     joined = join_hyphens(pages.select("paper_id", "page", "text"), vocab, ["page"], glue=GLUE)
-    texts = A.page_windows(joined, span) if span > 1 else joined
-    base = A.page_index(pages).select("paper_id", "page", "page_start", "total_len")
-    return materialise(texts.join(base, ["paper_id", "page"]).withColumn("stripped", F.regexp_replace("text", HIDDEN, "")))
+    return joined.join(A.page_places(pages), ["paper_id", "page"])
+
+
+def card_index(pages: DataFrame, span: int = 1, texts: DataFrame | None = None) -> DataFrame:
+    """The page index as a card reads it: line-end hyphens of words the paper knows are left out of the matched text, while
+    offsets still point into the pages' own text. `texts` are the `card_texts` of the pages, where they are known."""
+    texts = card_texts(pages) if texts is None else texts
+    if span > 1:
+        texts = A.page_windows(texts, span).join(texts.drop("text"), ["paper_id", "page"])
+    return materialise(texts.withColumn("stripped", F.regexp_replace("text", HIDDEN, "")))
 
 
 def card_offsets(text: str) -> Column:
@@ -88,8 +96,14 @@ def quotes_in_region(quotes: DataFrame, rects: DataFrame, pages: DataFrame, word
     """(lines, missing): printed lines of words chosen in a chunk, found on one page or across two, taken only when their
     first and last line lie inside the chunk; only the inside lines come back. `quotes`: paper_id, q_id, exact, prefix,
     suffix, position, page_hint; `rects`: paper_id, q_id, rect_ord, page, box."""
-    one, one_lines = find_quote_inside(quotes, rects, card_index(pages), pages, words, offsets=card_offsets)
-    two, two_lines = find_quote_inside(quotes, rects, card_index(pages, 2), pages, words, span=2, offsets=card_offsets)
+    index = card_index(pages)
+    one, one_lines = find_quote_inside(quotes, rects, index, pages, words, offsets=card_offsets)
+    one = materialise(one)
+    # No place over two pages beats the full score of 1: only the other quotes are looked for there, in their own papers.
+    rest = materialise(quotes.join(one.where("score >= 1").select("paper_id", "q_id"), ["paper_id", "q_id"], "left_anti"))
+    near = rest.select("paper_id").distinct()
+    two, two_lines = find_quote_inside(rest, rects.join(rest.select("paper_id", "q_id"), ["paper_id", "q_id"], "left_semi"),
+                                       card_index(pages, 2, index.drop("stripped").join(near, "paper_id", "left_semi")), pages, words, span=2, offsets=card_offsets)
     a = one.select("paper_id", "q_id", F.col("score").alias("s1"))
     b = two.select("paper_id", "q_id", F.col("score").alias("s2"))
     pick = materialise(a.join(b, ["paper_id", "q_id"], "full").withColumn("span", F.when(F.col("s2") > F.coalesce("s1", F.lit(-1.0)), 2).otherwise(1)))

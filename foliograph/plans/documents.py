@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as X
+from foliograph.operators import anchoring as A
 from foliograph.operators import chunks as C
 from foliograph.operators import documents as D
 from foliograph.operators import grounding as GD
 from foliograph.operators import history as H
 from foliograph.operators import pieces as P
 from foliograph.operators import search as S
+from foliograph.operators.spread import materialise
 from foliograph.operators.words import CORNERS
 from foliograph.plans.answers import requests, slots, spans
 from foliograph.plans.graph import board, no_tags
@@ -144,10 +146,13 @@ def _(lib):
 
 
 def region_quotes(lib):
-    """Each highlight asked for inside the section that holds it."""
+    """Each highlight asked for inside the section that holds it, with the context and the position of the words under it: a repeated line
+    is told apart by nothing else."""
     held = P.highlights_in(lib.highlights(), lib.sections()[1].withColumnRenamed("section_id", "node_id"))
-    q = held.join(lib.highlights().select("paper_id", "h_id", "exact", "prefix", "suffix", "page"), ["paper_id", "h_id"]).select(
-        "paper_id", F.concat_ws("|", "h_id", "node_id").alias("q_id"), "node_id", "exact", "prefix", "suffix", F.lit(0).cast("long").alias("position"), F.col("page").alias("page_hint"))
+    under = lib.highlights().select("paper_id", "page", "h_id", "exact", *[F.col(c).alias(f"q_{c}") for c in CORNERS])
+    own = A.global_position(A.quote_under(under, lib.page_text(), lib.word_lines(), ["h_id"]), lib.page_text())
+    q = materialise(held.join(own, ["paper_id", "h_id"]).select(
+        "paper_id", F.concat_ws("|", "h_id", "node_id").alias("q_id"), "node_id", "exact", "prefix", "suffix", F.col("position").cast("long").alias("position"), F.col("page").alias("page_hint")))
     ext = lib.sections()[1].select("paper_id", F.col("section_id").alias("node_id"), F.col("run_ord").alias("rect_ord"), "page", *CORNERS)
     return q.drop("node_id"), q.select("paper_id", "q_id", "node_id").join(ext, ["paper_id", "node_id"]).drop("node_id")
 
