@@ -40,6 +40,12 @@ def starts(text: Column, needle: Column) -> Column:
     return F.aggregate(F.slice(sizes, F.lit(1), F.size(sizes) - 1), begin, step, lambda a: a["out"])
 
 
+def long_keys(texts: DataFrame, text: str, within: Sequence[str]) -> DataFrame | None:
+    """Keys whose texts hold more than `WHOLE` characters together; None if there are none."""
+    large = texts.groupBy(*within).agg(F.sum(F.length(text)).alias("_all")).where(F.col("_all") > WHOLE).select(*within)
+    return None if large.isEmpty() else materialise(large)
+
+
 def substring_join(needles: DataFrame, texts: DataFrame, needle: str, text: str, text_keys: Sequence[str],
                    within: Sequence[str] = ("paper_id",), places: bool = True) -> DataFrame:
     """Every occurrence of `needle` in `text` among rows equal on `within`: needle columns, text keys and `at`, the
@@ -51,10 +57,9 @@ def substring_join(needles: DataFrame, texts: DataFrame, needle: str, text: str,
         return met if places else met.drop("at")
     if set(text_keys) <= set(within):  # one text a key
         return _as_they_stand(needles, texts, needle, text, text_keys, within, places)
-    large = texts.groupBy(*within).agg(F.sum(F.length(text)).alias("_all")).where(F.col("_all") > WHOLE).select(*within)
-    if large.isEmpty():
+    large = long_keys(texts, text, within)
+    if large is None:
         return _as_they_stand(needles, texts, needle, text, text_keys, within, places)
-    large = materialise(large)
     of = lambda df, how: df.join(large, within, how)
     short = _as_they_stand(of(needles, "left_anti"), of(texts, "left_anti"), needle, text, text_keys, within, places)
     blocks = _by_blocks(of(needles, "left_semi"), of(texts, "left_semi"), needle, text, text_keys, within)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliograph.functions import text as X
 from foliograph.operators.anchoring import laid_out
-from foliograph.operators.contains import substring_join
+from foliograph.operators.contains import long_keys, substring_join
 from foliograph.operators.spread import materialise, page_numbering
 from foliograph.operators.words import CORNERS, Lines, let, page_array, page_words, text_under
 
@@ -56,25 +56,65 @@ def reflow(docs: DataFrame, vocabulary: DataFrame, keys: Sequence[str], text: st
 
 def find_in_papers(queries: DataFrame, page_text: DataFrame, sections: DataFrame) -> DataFrame:
     """Case-free, whitespace-free, non-overlapping hits in paper order, with four words either side,
-    the section they fall in and their place on the page. `queries`: paper_id, query_id, query."""
-    q = queries.withColumn("needle", X.squeeze("query")).where("needle <> ''")
+    the section they fall in and their place on the page. `queries`: paper_id, query_id, query, one row each.
+
+    Pages and sections of a paper of at most `contains.WHOLE` characters meet where the paper is, each shuffled once; those of longer papers
+    meet in substring joins."""
+    q = queries.select("paper_id", "query_id", X.squeeze("query").alias("needle")).where("needle <> ''").distinct()
+    texts = page_text.select("paper_id", "text").unionByName(sections.select("paper_id", "text"))
+    large = long_keys(texts, "text", ["paper_id"])
+    if large is None:
+        return _find_in_short(q, page_text, sections)
+    of = lambda df, how: df.join(large, ["paper_id"], how)
+    parts = [find(*(of(df, how) for df in (q, page_text, sections))) for find, how in ((_find_in_short, "left_anti"), (_find_in_long, "left_semi"))]
+    return parts[0].unionByName(parts[1])
+
+
+def _quoted(needle: str) -> Column:
+    return F.concat(F.lit(r"\Q"), F.replace(F.col(needle), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def _context(start: Column, end: Column) -> list[Column]:
+    """`before`, `match` and `after` of a hit in `text`."""
+    near = rf"(?U)^\s*(?:\S+\s+){{0,{FIND_CONTEXT_WORDS - 1}}}\S+"   # anchored, so only the words next to the hit are scanned
+    head, tail = F.substring("text", F.lit(1), start), F.substring("text", end + 1, F.length("text"))
+    return [X.flat(F.reverse(F.regexp_extract(F.reverse(head), near, 0))).alias("before"),
+            X.single_spaced(F.substring("text", start + 1, end - start)).alias("match"), X.flat(F.regexp_extract(tail, near, 0)).alias("after")]
+
+
+def _find_in_short(q: DataFrame, page_text: DataFrame, sections: DataFrame) -> DataFrame:
+    """Everything by paper: a page's hits are one array until they are numbered and know their section."""
+    near = q.join(page_text.select("paper_id", "page", "text"), "paper_id").where(F.contains(X.squeeze("text"), F.col("needle")))
+    spans = let(X.kept_offsets("text"), lambda off: F.transform(X.match_spans(X.squeeze("text"), _quoted("needle")), lambda m: F.struct(
+        F.get(off, m["start"]).alias("start"), (F.get(off, m["end"] - 1) + 1).alias("end"))))
+    held = F.transform(spans, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), i.alias("nth"), *_context(m["start"], m["end"])))
+    paged = near.select("paper_id", "query_id", "page", held.alias("_hits")).withColumn("_size", F.size("_hits"))
+    before = Window.partitionBy("paper_id", "query_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = paged.withColumn("_shift", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    body = sections.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ord"), "section_id", X.squeeze("text").alias("flat")))).alias("_secs"))
+    hits = numbered.join(body, "paper_id", "left").select(
+        "paper_id", "query_id", "page", "_shift", "_secs", F.explode("_hits").alias("h")).select("paper_id", "query_id", "page", "_shift", "_secs", "h.*")
+
+    def held_by(*said: str) -> Column:
+        return let(X.squeeze(F.concat(*said)), lambda way: F.get(F.filter("_secs", lambda s: (way != "") & F.contains(s["flat"], way)), F.lit(0))["section_id"])
+
+    return hits.select("paper_id", "query_id", (F.col("_shift") + F.col("nth")).cast("long").alias("hit"), "page", "start", "end", "nth", "before", "match", "after",
+                       F.coalesce(held_by("before", "match", "after"), held_by("before", "match"), held_by("match", "after")).alias("section_id"))
+
+
+def _find_in_long(q: DataFrame, page_text: DataFrame, sections: DataFrame) -> DataFrame:
     squeezed = page_text.withColumn("flat", X.squeeze("text"))
     pages = substring_join(q.select("paper_id", "query_id", "needle"), squeezed, "needle", "flat", ["paper_id", "page"], places=False).select("paper_id", "query_id", "needle", "page").distinct()
-    quoted = F.concat(F.lit(r"\Q"), F.replace(F.col("needle"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     held = laid_out(squeezed, pages)
     # Only (start, end) pairs leave a page's row for the numbering shuffle; its text is joined back for the hits kept.
     spans = pages.join(held.select("paper_id", "page", "flat", "_off"), ["paper_id", "page"]).select(
-        "paper_id", "query_id", "page", "_off", F.explode(X.match_spans(F.col("flat"), quoted)).alias("m"))
+        "paper_id", "query_id", "page", "_off", F.explode(X.match_spans(F.col("flat"), _quoted("needle"))).alias("m"))
     hits = materialise(spans.select("paper_id", "query_id", "page", F.get("_off", F.col("m.start")).alias("start"), (F.get("_off", F.col("m.end") - 1) + 1).alias("end")))
     placed = page_numbering(hits, ["paper_id", "query_id"], [F.col("start")], "hit")
-    n = FIND_CONTEXT_WORDS
-    near = rf"(?U)^\s*(?:\S+\s+){{0,{n - 1}}}\S+"   # anchored, so only the words next to the hit are scanned
-    head, tail = F.substring("text", F.lit(1), F.col("start")), F.substring("text", F.col("end") + 1, F.length("text"))
     w = Window.partitionBy("paper_id", "query_id", "page").orderBy("start")
     counted = placed.withColumn("nth", F.row_number().over(w) - 1)
     worded = materialise(counted.join(page_text.select("paper_id", "page", "text"), ["paper_id", "page"]).select(
-        "paper_id", "query_id", "page", "start", "end", "hit", "nth", X.flat(F.reverse(F.regexp_extract(F.reverse(head), near, 0))).alias("before"),
-        X.single_spaced(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("match"), X.flat(F.regexp_extract(tail, near, 0)).alias("after")))
+        "paper_id", "query_id", "page", "start", "end", "hit", "nth", *_context(F.col("start"), F.col("end"))))
     ways = worded.select("paper_id", "query_id", "hit", F.posexplode(F.array(
         F.concat("before", "match", "after"), F.concat("before", "match"), F.concat("match", "after"))).alias("way", "_t")).withColumn("needle", X.squeeze("_t")).drop("_t")
     body = sections.select("paper_id", F.col("ord").alias("s_ord"), "section_id", X.squeeze("text").alias("flat"))
