@@ -304,9 +304,9 @@ def _(lib):
     return G.any_tagged(big(lib), big(lib).where("false"), e)
 
 
-def snapshot(lib, later: bool):
+def snapshot(lib, later: bool, edges=None):
     n = big(lib).select("paper_id", F.col("node_id").alias("id"), F.lit("node").alias("kind"), "type", "parent_id", "tags", "text", "ord")
-    e = lib.edges().select("paper_id", F.col("edge_id").alias("id"), F.lit("edge").alias("kind"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("parent_id"), no_tags().alias("tags"), F.lit("").alias("text"), "ord")
+    e = (lib.edges() if edges is None else edges).select("paper_id", F.col("edge_id").alias("id"), F.lit("edge").alias("kind"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("parent_id"), no_tags().alias("tags"), F.lit("").alias("text"), "ord")
     every, o = n.unionByName(e), F.col("ord")
     if later:
         every = every.where("ord % 7 <> 0").withColumn("tags", F.when(o % 5 == 0, F.array(F.lit("t-new"))).otherwise(F.col("tags"))).withColumn(

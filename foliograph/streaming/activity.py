@@ -7,9 +7,13 @@ time, a text, a version or the open pieces of one answer; it goes when the key r
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,12 +189,18 @@ def answer_sink(deltas: DataFrame, calls: DataFrame, spans: DataFrame, notes: Da
     return assemble_answers(deltas, **options).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Parts a board is cut into by the ids of its items, each part a key of its own. A key has a cost of its own, so small boards take few.
+BOARD_PARTS = 4
+#: What a version's rows say of a group in one part: that the part holds it, and that an item of the part moved there.
+HELD, JOINED = "held", "joined"
+
+
 class _BoardFeed(InOrder):
     columns = "t long, seq long, id string, kind string, type string, parent_id string, tags string"
-    out = ("paper_id", "version", "action", "id")
+    out = ("paper_id", "t", "version", "action", "id")
 
     def begin(self, handle) -> None:
-        self.items = handle.getMapState("items", "id string", "kind string, type string, parent_id string, tags string")
+        self.items = handle.getValueState("items", "items binary")
         self.version = handle.getValueState("version", "version long")
 
     def forget(self) -> None:
@@ -200,27 +210,67 @@ class _BoardFeed(InOrder):
     def step(self, key: tuple, rows: Sequence[tuple]) -> list[tuple]:
         found = []
         last = self.version.get()[0] if self.version.exists() else None
-        held = {k[0]: tuple(v) for k, v in self.items.iterator()} if last is not None else {}
-        for version in sorted({r[1] for r in rows}):
-            now = {r[2]: tuple(r[3:]) for r in rows if r[1] == version and r[2] is not None}
+        held = pickle.loads(self.items.get()[0]) if last is not None and self.items.exists() else {}
+        versions: dict[int, dict[str, tuple]] = {}
+        times = {}
+        for t, version, id, *item in rows:
+            now = versions.setdefault(version, {})
+            times[version] = t
+            if id is not None:
+                now[id] = tuple(item)
+        for version in sorted(versions):
+            now = versions[version]
             if last is not None and version == last + 1:
-                found += [(key[0], version, action, id) for action, id in board_events(held, now)]
-            for id in held.keys() - now.keys():
-                self.items.removeKey((id,))
-            for id, item in now.items():
-                if held.get(id) != item:
-                    self.items.updateValue((id,), item)
+                due = pd.Timestamp(times[version] // 1000 + 1, unit="ms")  # when the watermark has passed it: not late for the next step
+                found += [(key[0], due, version, action, id) for action, id in item_events(held, now)]
             held, last = now, version
+        self.items.update((pickle.dumps(held),))
         self.version.update((last,))
         return found
 
 
-def board_change_feed(snapshots: DataFrame, delay: str = "1 minute", idle: int = IDLE_MS) -> DataFrame:
-    """Build events between a paper's consecutive versions, named as by `history.board_change_feed`. State holds the last version's
-    items by id; only what changed is written. `snapshots`: paper_id, t, version, id, kind, type, parent_id, tags; a version's rows share
-    its t, and a row with a null id says that the version exists, which is all there is of an empty board."""
+def item_events(before: Mapping[str, tuple], after: Mapping[str, tuple]) -> list[tuple[str, str]]:
+    """(action, id) of a board's part: each item's own events (`history.board_events`), and what it knows of groups."""
+    alone = {id: (kind, type_, None, tags) for id, (kind, type_, _, tags) in after.items()}  # groups are settled over all parts
+    own = board_events(before, alone)
+    known = [(HELD, id) for id, item in after.items() if item[1] == "group"]
+    moved = {item[2] for id, item in after.items() if item[2] is not None and id in before and before[id][2] != item[2]}
+    return own + known + [(JOINED, id) for id in moved]
+
+
+def _by_part(rows: DataFrame, parts: int) -> DataFrame:
+    """Each item with its part; every part hears of every version."""
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields] + [T.StructField("part", T.IntegerType())])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said: set[tuple] = set()
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            items = table.filter(pc.is_valid(table["id"])).combine_chunks()
+            own = pa.array([zlib.crc32(x.encode()) % parts for x in items["id"].to_pylist()], pa.int32())
+            yield from items.append_column("part", own).to_batches()
+            new = [v for v in table.select(["paper_id", "t", "seq"]).group_by(["paper_id", "t", "seq"]).aggregate([]).to_pylist() if tuple(v.values()) not in said]
+            said.update(tuple(v.values()) for v in new)
+            if new:
+                every = pa.Table.from_pylist([v | {"part": part} for v in new for part in range(parts)], pa.schema([*table.schema, pa.field("part", pa.int32())]))
+                yield from every.to_batches()
+
+    return rows.mapInArrow(dealt, schema)
+
+
+def board_change_feed(snapshots: DataFrame, delay: str = "1 minute", idle: int = IDLE_MS, parts: int = BOARD_PARTS) -> DataFrame:
+    """Build events between a paper's consecutive versions, named as by `history.board_change_feed`. `snapshots`: paper_id, t, version, id,
+    kind, type, parent_id, tags; a version's rows share its t, and a row with a null id says that the version exists, which is all there is
+    of an empty board.
+
+    A board is cut into `parts` by its items' ids; a part's state is what it held in the last version. Which groups gained items is known
+    over all parts only, so a second step puts together what they say of a group; it holds nothing beyond the watermark."""
     rows = snapshots.select("paper_id", "t", F.col("version").alias("seq"), "id", "kind", "type", "parent_id", F.concat_ws("\x01", "tags").alias("tags"))
-    return in_order(rows, "paper_id", _BoardFeed(idle), "paper_id long, version long, action string, id string", delay)
+    said = in_order(_by_part(rows, parts), ["paper_id", "part"], _BoardFeed(idle), "paper_id long, t timestamp, version long, action string, id string", delay, "t")
+    of_group = F.col("action").isin("group", HELD, JOINED)
+    heard = said.groupBy("t", "paper_id", "version", "id", F.when(~of_group, F.col("action")).alias("own")).agg(
+        F.bool_or(F.col("action") == HELD).alias("held"), F.bool_or(F.col("action").isin("group", JOINED)).alias("gained"))
+    return heard.where("own IS NOT NULL OR (held AND gained)").select("paper_id", "version", F.coalesce("own", F.lit("group")).alias("action"), "id")
 
 
 def debounced_saves(edits: DataFrame, gap: str = "500 milliseconds", late: str = "1 minute") -> DataFrame:

@@ -7,6 +7,7 @@ on how the input was cut into micro-batches, and state ends.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -48,7 +49,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.columns)
+        self.waiting = handle.getListState("waiting", "rows binary")  # packed: a call of the state for every row costs more than the row
         self.last = handle.getValueState("last", "ms long")
         self.names, self.kinds = zip(*(c.split() for c in self.columns.split(", ")), strict=True)
         self.begin(handle)
@@ -58,7 +59,7 @@ class InOrder(StatefulProcessor):
         for frame in rows:
             new = [tuple(map(plain, r, self.kinds)) for r in frame[list(self.names)].itertuples(index=False, name=None) if r[1] == r[1] and r[1] is not None]
             if new:
-                self.waiting.appendList(new)
+                self.waiting.appendValue((pickle.dumps(new),))
                 first = min([r[0] // 1000 for r in new] + ([first] if first is not None else []))
         if first is not None:
             self.handle.registerTimer(first + 1)
@@ -66,13 +67,13 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
-        due = [tuple(r) for r in rows if r[0] // 1000 < now]
-        later = [tuple(r) for r in rows if r[0] // 1000 >= now]
+        rows = sorted((r for packed in self.waiting.get() for r in pickle.loads(packed[0])), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] // 1000 < now]
+        later = [r for r in rows if r[0] // 1000 >= now]
         last = self.last.get()[0] if self.last.exists() else None
         if due:
             if later:
-                self.waiting.put(later)
+                self.waiting.put([(pickle.dumps(later),)])
             else:
                 self.waiting.clear()
             last = max(due[-1][0] // 1000, last or 0)
@@ -92,9 +93,11 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def in_order(rows: DataFrame, key: str, processor: InOrder, schema: str, delay: str) -> DataFrame:
-    """`processor` over `rows` by `key`, in event time `t` with rows up to `delay` late."""
+def in_order(rows: DataFrame, key: str | Sequence[str], processor: InOrder, schema: str, delay: str, time: str = "") -> DataFrame:
+    """`processor` over `rows` by `key`, in event time `t` with rows up to `delay` late. `time` is the result's event time where another step
+    with state follows."""
     conf = rows.sparkSession.conf
     if conf.get(PROVIDER, "") != ROCKSDB:
         conf.set(PROVIDER, ROCKSDB)  # the only store that keeps several states and timers a key
-    return rows.withWatermark("t", delay).groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    keys = [key] if isinstance(key, str) else key
+    return rows.withWatermark("t", delay).groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime", eventTimeColumnName=time)

@@ -169,3 +169,15 @@ def test_board_change_feed(spark, tmp_path):
     assert want.where("action = 'remove' AND version = 3").count() > 10 and want.select("action").distinct().count() == 6
     rows = [sorted((r.paper_id, r.version, r.action, r.id) for r in x.collect()) for x in (got, want)]
     assert rows[0] == rows[1]
+
+
+def test_a_board_spreads_over_its_parts(spark, tmp_path):
+    """One board's items are handled by several keys, and a group that items of several parts join is named once."""
+    item = lambda version, id, type_, parent: (1, version, at(version * 60), id, "node", type_, parent, [], "")
+    rows = [item(0, "g", "group", None), *[item(0, f"n{k}", "note", None) for k in range(9)], item(1, "g", "group", None), *[item(1, f"n{k}", "note", "g") for k in range(9)]]
+    snapshots = spark.createDataFrame(rows, THINGS).select("paper_id", "t", F.col("version").alias("seq"), "id")
+    dealt = ST._by_part(snapshots.coalesce(1), 4).collect()
+    assert {r.part for r in dealt if r.id is not None} == {r.part for r in dealt if r.id is None} == set(range(4))
+    assert sum(r.id is not None for r in dealt) == len(rows) and sum(r.id is None for r in dealt) == 2 * 4
+    got = drain(ST.board_change_feed(arriving(spark, THINGS, tmp_path, [rows[:14], rows[14:], [(9, 0, at(9_000), *[None] * 6)]]), "5 minutes", 10**12), tmp_path)
+    assert [tuple(r) for r in got.collect()] == [(1, 1, "group", "g")]
