@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tracemalloc
 
-from foliograph.llm.bpe import RankMap, _pair_ranks
+from foliograph.llm.bpe import RankMap, _pair_ranks, encode
 
 
 def test_many_partners_in_little_memory():
@@ -20,3 +20,13 @@ def test_many_partners_in_little_memory():
         left, right = divmod(key, 1 << 20)
         entry = int(table.entries[table.offsets[left] + right + table.BASE])
         assert entry == (table.BASE + left) * table.LIMIT + rank
+
+
+def test_the_plan_does_not_spell_the_map_out(spark):
+    """The driver keeps a plan's text several times a query."""
+    single = [bytes([i]) for i in range(256)]
+    ranks = {token: i for i, token in enumerate([*single, *(bytes([i, j]) for i in range(97, 123) for j in range(97, 123))])}
+    coded = encode(spark.createDataFrame([(1, "abc ab"), (2, None)], "doc_id long, text string"), ranks, r"\S+|\s+")
+    assert len(coded._jdf.queryExecution().toString()) < 100_000
+    ab = ranks[b"ab"]
+    assert {r.doc_id: r.ids for r in coded.collect()} == {1: [ab, ord("c"), ord(" "), ab], 2: []}
