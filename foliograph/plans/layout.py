@@ -181,6 +181,24 @@ def _(lib):
     return buried(lib)[1].select("paper_id", "ord", "line_idx", "number", "text")
 
 
+def printed_runs(lib):
+    """The spans of `buried`, those of a region in its row."""
+    k = F.col("paper_id") + F.col("block")
+    own = (F.col("block") == 0) | (k % 7 == 0)
+
+    def run(word, i):
+        row = F.floor(i / 6)
+        marked = (k % 3 == 1) & (row % 4 == 0)
+        numbered = F.concat(((F.col("block") + row) % 9).cast("string"), F.lit(" X"), word)
+        x0, y0 = 50.0 + i % 6 * 20, F.col("y0") + 4 + 14.0 * row
+        return F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + 16.0).alias("x1"), (y0 + 12.0).alias("y1"), F.when((i % 6 == 0) & marked, numbered).otherwise(word).alias("text"),
+                        (own | marked).alias("bold"), F.when(own, 12.0).otherwise(10.0).alias("size"))
+
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    spread = lib.regions().repartition("paper_id", "ord")  # the text alone, before its runs are made
+    return spread.withColumnRenamed("ord", "block").select("paper_id", "page", "block", F.transform(words, run).alias("runs"))
+
+
 def buried(lib):
     """Styled lines inside regions, and the headings accepted among them. Words wrap into printed lines of six; in every
     third region each fourth line starts like a heading that may or may not continue the paper's numbering."""
@@ -190,7 +208,7 @@ def buried(lib):
     spans = spans.withColumn("y0", F.col("y0") + 14.0 * F.col("_row")).withColumn("y1", F.col("y0") + 12.0)
     numbered = F.concat(((F.col("block") + row) % 9).cast("string"), F.lit(" X"), "text")
     spans = spans.withColumn("text", F.when((F.col("word_no") % 6 == 0) & marked, numbered).otherwise(F.col("text"))).withColumn("bold", F.col("bold") | marked)
-    lines = lib.shared("buried_lines", lambda: L.merge_rows(spans))
+    lines = lib.shared("buried_lines", lambda: L.merge_runs(printed_runs(lib)))
     found = L.inline_headings(lines, L.body_size(spans), lib.regions().withColumn("header_level", F.lit(None).cast("int")))
     return lines, lib.shared("buried_headings", lambda: found)
 

@@ -336,6 +336,22 @@ def slow_rows(runs):
     return sorted((r[0][2], " ".join(x[7] for x in sorted(r, key=lambda x: x[3]))) for r in rows)
 
 
+def test_merge_runs_are_merged_rows(spark):
+    """Blocks with even rows, wide gaps, mixed heights and nested runs: the same lines as from rows, and even blocks never become rows of runs."""
+    rng = random.Random(8)
+    kind = f"{BOX}, text string, bold boolean, size double"
+    rows = []
+    for block in range(60):
+        for k in range(rng.randrange(0, 14)):
+            x, y = 50.0 + k % 4 * rng.choice([20, 20, 60]), 70.0 + 14 * (k // 4) + (rng.choice([0, 5, 9]) if block % 3 else 0)
+            rows.append((1, block // 20, block, x, y, x + 16, y + (rng.choice([6, 12, 40]) if block % 3 else 12), f"w{k} ", rng.random() < 0.5, rng.choice([10.0, 12.0])))
+    spans = spark.createDataFrame(rows, f"paper_id long, page int, block int, {kind}")
+    blocks = spans.groupBy("paper_id", "page", "block").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", "text", "bold", "size")).alias("runs"))
+    columns = ["block", "x0", "y0", "x1", "y1", "text", "bold", "size"]
+    got, want = (sorted(map(tuple, d.select(*columns).collect())) for d in (L.merge_runs(blocks), L.merge_rows(spans)))
+    assert got == want and len(want) > 100
+
+
 def test_merge_rows_with_interleaved_heights(spark):
     state = random.Random(7)
     runs = [(1, 0, 0, 50.0, 10.0, 60.0, 20.0, "A", True, 10.0), (1, 0, 0, 300.0, 10.0, 310.0, 20.0, "B", False, 10.0), (1, 0, 0, 65.0, 10.2, 75.0, 20.2, "C", True, 10.0)]
