@@ -153,9 +153,9 @@ SELECT s.paper_id, s.section_id AS chunk_id, coalesce(min(CASE WHEN contains(tri
 def _(lib):
     from pyspark.sql import Window
 
-    from foliograph.operators.layout import section_rows
+    from foliograph.operators.layout import sectioned
     w = Window.partitionBy("paper_id", "section_ord").orderBy("ord")
-    rows = section_rows(lib.headed_regions()).select("paper_id", F.concat(F.lit("sec-"), "section_ord").alias("chunk_id"), (F.row_number().over(w) - 1).alias("piece_ord"), "text")
+    rows = sectioned(lib.headed_body()).select("paper_id", F.concat(F.lit("sec-"), "section_ord").alias("chunk_id"), (F.row_number().over(w) - 1).alias("piece_ord"), "text")
     quotes = lib.sections()[0].select("paper_id", F.col("section_id").alias("chunk_id"), F.col("title").alias("exact"))
     return G.piece_of_quote(rows, quotes)
 

@@ -59,3 +59,12 @@ def test_find_by_paper(spark, lib, monkeypatch):
     for whole in (0, 2000):
         monkeypatch.setattr(contains, "WHOLE", whole)
         assert rows(S.find_in_papers(asked, pages, sections)) == want
+
+
+def test_sections_read_the_documents_once(lib):
+    """Sections, their rectangles and their pieces come from one kept table; pages need no shuffle."""
+    kept = layout.sectioned(lib.headed_body())
+    assert "documents.parquet" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert rows(kept) == rows(layout.section_rows(lib.headed_regions()))
+    assert "Exchange" not in lib.pages()._jdf.queryExecution().executedPlan().toString()
+    assert rows(lib.pages().select("paper_id", "page")) == rows(lib.regions().select("paper_id", "page").distinct())
