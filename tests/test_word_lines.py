@@ -68,3 +68,41 @@ def test_not_overlapping_items_once(spark):
     left = P.not_overlapping(items, others, ["k"])
     assert sorted(r.k for r in left.collect()) == [0, 2, 3]
     assert not re.search(r"_band", left._jdf.queryExecution().toString())
+
+
+def test_only_touched_lines_are_laid_out(spark):
+    """A span lays out the words of its own lines, each line once; all spans of a page that match in either form are told apart."""
+    lines = [(1, 0, i, 0, 100 * i, 10.0 * i, 10.0 * i + 8, " ".join(f"w{i}\x1cx{k}" for k in range(30))) for i in range(20)]
+    rows_ = spark.createDataFrame(lines, "paper_id int, page int, block int, line int, line_first long, l_y0 double, l_y1 double, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(text):
+        seen.add(1)
+        return text.split(" ")
+
+    def laid(of):
+        return W.let(cut(of("text")), lambda ws: F.transform(ws, lambda w, i: F.struct(
+            (of("line_first") + i).alias("word_ord"), (of("l_y0") + i).alias("x0"), of("l_y0").alias("y0"), (of("l_y0") + i + 1).alias("x1"), of("l_y1").alias("y1"), w.alias("text"))))
+
+    pages = spark.createDataFrame([(1, 0, "\n".join(row[-1] for row in lines))], "paper_id int, page int, text string")
+    text = pages.head().text
+    spans = spark.createDataFrame([(1, 0, str(k), text.index("w3") + k, text.index("w5") - 2) for k in range(9)], "paper_id int, page int, k string, start int, end int")
+    held = W.Lines(rows_.localCheckpoint(), laid, lambda of: of("text"))
+    columns = ["paper_id", "page", "k", "block", "line", "word_ord", "x0", "y0", "x1", "y1", "text"]
+    whole = held.rows.select("paper_id", "page", "block", "line", F.explode(laid(F.col)).alias("w")).select("paper_id", "page", "block", "line", "w.*")
+    want = rows(A.matched_words(spans, whole, pages, ["k"]), *columns)
+    seen.value = 0
+    got = rows(A.matched_words(spans, held, pages, ["k"]), *columns)
+    assert want == got and len(got) > 9 * 50
+    assert 0 < seen.value <= 2
+
+
+def test_quotes_that_occur_once_need_no_words(spark, lib):
+    """What is on the page but once does not depend on the words under the rect."""
+    pages = spark.createDataFrame([(1, 0, "one two three\nfour two five")], "paper_id int, page int, text string")
+    asked = spark.createDataFrame([(1, 0, "a", "three\nfour", 0.0, 0.0, 9.0, 9.0)], "paper_id int, page int, k string, exact string, q_x0 double, q_y0 double, q_x1 double, q_y1 double")
+    broken = W.Lines(lib.word_lines().rows.limit(1), lambda of: F.raise_error(F.lit("words were laid out")).cast(
+        "array<struct<word_ord:bigint,x0:double,y0:double,x1:double,y1:double,text:string>>"), lambda of: of("text"))
+    assert [tuple(r) for r in A.quote_under(asked, pages, broken.where(lambda r: r.withColumn("paper_id", F.lit(1)).withColumn("page", F.lit(0))), ["k"]).select("k", "start", "prefix", "suffix").collect()] == [
+        ("a", 8, "one two ", " two five")]
