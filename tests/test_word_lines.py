@@ -106,3 +106,24 @@ def test_quotes_that_occur_once_need_no_words(spark, lib):
         "array<struct<word_ord:bigint,x0:double,y0:double,x1:double,y1:double,text:string>>"), lambda of: of("text"))
     assert [tuple(r) for r in A.quote_under(asked, pages, broken.where(lambda r: r.withColumn("paper_id", F.lit(1)).withColumn("page", F.lit(0))), ["k"]).select("k", "start", "prefix", "suffix").collect()] == [
         ("a", 8, "one two ", " two five")]
+
+
+def test_covered_lines_are_not_laid_out(spark, lib):
+    """Only lines that a rectangle cuts are laid out for its text."""
+    held = lib.word_lines()
+    refused = lambda of: F.raise_error(F.concat(F.lit("laid out: "), of("text"))).cast(
+        "array<struct<word_ord:bigint,x0:double,y0:double,x1:double,y1:double,text:string>>")
+    over = lib.regions().select("paper_id", "page", "ord", *[F.col(c).alias(f"q_{c}") for c in W.CORNERS])
+    want = rows(W.text_under(lib.words(), over, ["ord"]), "paper_id", "ord", "text")
+    assert want and rows(W.text_under(W.Lines(held.rows, refused, held.said, held.reach), over, ["ord"]), "paper_id", "ord", "text") == want
+
+
+def test_settled_quotes_are_not_cut(spark, monkeypatch):
+    """An exact place that misses the full score by less than a changed character costs is final."""
+    pages = spark.createDataFrame([(1, k, f"page {k} has its own words and nothing more of them") for k in range(40)], "paper_id int, page int, text string")
+    quotes = spark.createDataFrame([(1, "a", "page 7 has its own words", "", "", 0, 0), (1, "b", "page 7 had its own words", "", "", 0, 0)],
+                                   "paper_id int, q_id string, exact string, prefix string, suffix string, position int, page_hint int")
+    index, cut, whole = A.page_index(pages), [], A.piece_candidates
+    monkeypatch.setattr(A, "piece_candidates", lambda q, *rest: cut.extend(r.q_id for r in q.collect()) or whole(q, *rest))
+    found = {r.q_id: (r.page, r.start) for r in A.find_quote(quotes, index).collect()}
+    assert cut == ["b"] and found == {"a": (7, 0), "b": (7, 0)}
