@@ -88,8 +88,7 @@ def card_index(pages: DataFrame, span: int = 1, texts: DataFrame | None = None)
 
 def card_offsets(text: str) -> Column:
     """For every character that a card matches its offset in the page's own text."""
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    return F.filter(F.transform(chars, lambda c, i: F.when(~c.isin(*X.WS_CHARS, GLUE[0]), i)), lambda i: i.isNotNull())
+    return F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(~c.isin("", *X.WS_CHARS, GLUE[0]), i)), lambda i: i.isNotNull())
 
 
 def quotes_in_region(quotes: DataFrame, rects: DataFrame, pages: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
